@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, mixing, quality
+from tessera.llm import bpe, exact_dedup, licences, line_dedup, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
     "op3_quality_classifier": quality.query,
+    "op5_exact_dedup": exact_dedup.query,
+    "op6_line_dedup": line_dedup.query,
     "op7_bpe": bpe.query,
+    "op8_licence_scan": licences.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE_SQL,
+    "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op6_line_dedup": line_dedup.ORACLE_SQL,
+    "op8_licence_scan": licences.ORACLE_SQL,
 }
