@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup, licences, line_dedup, mixing, quality
+from tessera.llm import bpe, exact_dedup, licences, line_dedup, mixing, neighbours, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
     "op3_quality_classifier": quality.query,
+    "op4_nearest_neighbours": neighbours.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_line_dedup": line_dedup.query,
     "op7_bpe": bpe.query,
