@@ -29,7 +29,7 @@ def byte_letters() -> list[str]:
 
 
 class Merges:
-    """A tokenizer file as plain lookups: byte to id, pair to (rank, merged id), id to bytes."""
+    """A tokenizer file as plain lookups: byte to id, pair of ids to rank, rank to merged id, id to bytes."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -38,70 +38,73 @@ class Merges:
         letters = byte_letters()
         back = {c: b for b, c in enumerate(letters)}
         self.first = [vocab[c] for c in letters]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(file["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.pairs[vocab[left], vocab[right]] = rank, vocab[left + right]
+            self.rank[vocab[left] << 20 | vocab[right]] = rank
+            self.made.append(vocab[left + right])
         self.special = {x["content"]: x["id"] for x in file.get("added_tokens", [])}
         self.bytes: dict[int, bytes] = {i: bytes(back[c] for c in t) for t, i in vocab.items() if i not in self.special.values()}
         self.bytes.update({i: t.encode() for t, i in self.special.items()})
 
 
-class PairTree:
-    """Least (rank, place) of the adjacent pairs: the root is the leftmost pair of lowest rank."""
-
-    def __init__(self, leaves: list[int]):
-        self.base = 1
-        while self.base < len(leaves):
-            self.base *= 2
-        self.node = [_NONE] * self.base + leaves + [_NONE] * (self.base - len(leaves))
-        for i in range(self.base - 1, 0, -1):
-            self.node[i] = min(self.node[2 * i], self.node[2 * i + 1])
-
-    def put(self, place: int, value: int) -> None:
-        node, i = self.node, self.base + place
-        node[i] = value
-        i //= 2
-        while i:
-            value = min(node[2 * i], node[2 * i + 1])
-            if node[i] == value:
-                return
-            node[i] = value
-            i //= 2
-
-
 def merge(word: bytes, merges: Merges) -> list[int]:
-    """Token ids of one pre-token. Each merge costs a few tree updates, logarithmic in its length."""
+    """Token ids of one pre-token, by a segment tree over the ranks of its adjacent pairs.
+
+    A leaf holds ``rank << 32 | place`` of the pair that begins at its place, an inner node the lesser of its two, so
+    the root is the leftmost pair of lowest rank. A merge changes at most three leaves, and each change climbs only
+    while it alters a node.
+    """
     ids = [merges.first[b] for b in word]
     n = len(ids)
     if n < 2:
         return ids
-    pairs, width = merges.pairs, n
-    key = lambda i, j: pairs[p][0] * width + i if (p := (ids[i], ids[j])) in pairs else _NONE
+    rank, made, none = merges.rank.get, merges.made, _NONE
+    base = 1 << (n - 2).bit_length()
+    tree = [none] * (2 * base)
+    for i in range(n - 1):
+        if (r := rank(ids[i] << 20 | ids[i + 1])) is not None:
+            tree[base + i] = r << 32 | i
+    for i in range(base - 1, 0, -1):
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a < b else b
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    tree = PairTree([key(i, i + 1) for i in range(n - 1)])
-    while (least := tree.node[1]) < _NONE:
-        i = least % width
+    while (least := tree[1]) != none:
+        i = least & 0xFFFFFFFF
         j = after[i]
-        ids[i] = pairs[ids[i], ids[j]][1]
+        k = after[i] = after[j]
+        h = before[i]
+        new = ids[i] = made[least >> 32]
         ids[j] = -1
-        after[i] = k = after[j]
         if k < n:
             before[k] = i
-            tree.put(i, key(i, k))
+            r = rank(new << 20 | ids[k])
+            changes = [(base + i, none if r is None else r << 32 | i)]
+            if tree[base + j] != none:
+                changes.append((base + j, none))
         else:
-            tree.put(i, _NONE)
-        if j < n - 1:
-            tree.put(j, _NONE)
-        if before[i] >= 0:
-            tree.put(before[i], key(before[i], i))
+            changes = [(base + i, none)]
+        if h >= 0:
+            r = rank(ids[h] << 20 | new)
+            changes.append((base + h, none if r is None else r << 32 | h))
+        for at, value in changes:
+            tree[at] = value
+            while at > 1:
+                other = tree[at ^ 1]
+                at >>= 1
+                if other < value:
+                    value = other
+                if tree[at] == value:
+                    break
+                tree[at] = value
     return [x for x in ids if x >= 0]
 
 
 class Encoder(dict):
     """Packed ids by pre-token. At most ``most`` short pre-tokens are remembered, so that memory is bounded."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 400_000):
         super().__init__()
         self.merges, self.most = Merges(path), most
         self.pattern = regex.compile(PATTERN)
