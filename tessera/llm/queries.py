@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup, licences, line_dedup, mixing, neighbours, quality
+from tessera.llm import bpe, exact_dedup, licences, line_dedup, mixing, near_dedup, neighbours, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": line_dedup.query,
     "op7_bpe": bpe.query,
     "op8_licence_scan": licences.query,
+    "op9_repeated_windows": repeats.query,
+    "op10_near_dedup": near_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
