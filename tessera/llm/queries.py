@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup, licences, line_dedup, mixing, near_dedup, neighbours, quality, repeats
+from tessera.llm import bpe, exact_dedup, html_text, licences, line_dedup, mixing, near_dedup, neighbours, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
+    "op2_html_text": html_text.query,
     "op3_quality_classifier": quality.query,
     "op4_nearest_neighbours": neighbours.query,
     "op5_exact_dedup": exact_dedup.query,

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, mixing
+from tessera.llm import line_dedup as line_filter
+from tessera.llm import near_dedup as near
 from tessera.llm import quality as classifier
-from tessera.llm._shared import row_id, table
+from tessera.llm._shared import WORD, row_id, table
 
 
 def _matched(docs: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
@@ -23,11 +25,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """Texts lose lines that many sites share; a document goes if it had words and no line with words is left.
+
+    Such a document is made of lines that an earlier one keeps.
+    """
+    cleaned = line_filter.dedup(docs).where("n_removed > 0")
+    cleaned = cleaned.select(F.col("doc_id").alias("t_doc"), F.col("text_id").alias("t_text"), F.col("kept_text").alias("t_kept")).dropDuplicates(["t_doc", "t_text"])
+    rows = _matched(docs, cleaned, "left").where(F.col("t_kept").isNull() | F.col("t_kept").rlike(WORD))
+    text = F.coalesce(F.col("t_kept"), docs["text"])
+    changed = {"text": text.alias("text"), "n_chars": F.when(F.col("t_kept").isNull(), docs["n_chars"]).otherwise(F.length("t_kept").cast("long")).alias("n_chars")}
+    columns = [changed.get(c, docs[c]) for c in docs.columns]
+    return rows.select(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
+    gone = near.link(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("t_doc"), F.col("text_id").alias("t_text")).distinct()
+    return _matched(docs, gone, "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
