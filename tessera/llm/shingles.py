@@ -61,7 +61,7 @@ def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """Each row's sorted distinct shingle hashes. Fewer words than ``width`` make one shingle; no words, none."""
-    odd = [_U(k * 2 + 1) * _U(0xD6E8FEB86659FD93) for k in range(width)]
+    odd = np.array([(k * 2 + 1) * 0xD6E8FEB86659FD93 % (1 << 64) for k in range(width)], np.uint64)
     for first, end, raw, ends in text_slices(column):
         words, upto = word_hashes(raw, ends)
         n = len(words) - width + 1
@@ -74,7 +74,6 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
             if b - a >= width:
                 yield np.unique(rolled[a : b - width + 1])
             elif b > a:
-                short = sum((words[a + k] * odd[k] for k in range(b - a)), _U(b - a))
-                yield mixed(np.array([short], np.uint64))
+                yield mixed((words[a:b] * odd[: b - a]).sum(keepdims=True) + _U(b - a))
             else:
                 yield np.zeros(0, np.uint64)

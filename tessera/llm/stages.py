@@ -33,9 +33,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleaned = cleaned.select(F.col("doc_id").alias("t_doc"), F.col("text_id").alias("t_text"), F.col("kept_text").alias("t_kept")).dropDuplicates(["t_doc", "t_text"])
     rows = _matched(docs, cleaned, "left").where(F.col("t_kept").isNull() | F.col("t_kept").rlike(WORD))
     text = F.coalesce(F.col("t_kept"), docs["text"])
-    changed = {"text": text.alias("text"), "n_chars": F.when(F.col("t_kept").isNull(), docs["n_chars"]).otherwise(F.length("t_kept").cast("long")).alias("n_chars")}
-    columns = [changed.get(c, docs[c]) for c in docs.columns]
-    return rows.select(*columns)
+    changed = {"text": text.alias("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("t_kept").isNull(), docs["n_chars"]).otherwise(F.length("t_kept").cast("long")).alias("n_chars")
+    return rows.select(*(changed.get(c, docs[c]) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
