@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # English words that carry no meaning for search.
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
@@ -148,7 +149,7 @@ class _Porter:
 porter = _Porter().stem
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def porter_stem(word: pd.Series) -> pd.Series:
     """Stems of distinct words: apply it to a vocabulary, not to every occurrence."""
     return word.map(lambda w: None if w is None else porter(w))
