@@ -9,4 +9,5 @@ from tessera.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["b01_visible_current"](spark, sf_dir)
+    """Hybrid retrieval: lexical and language channels, fused, scored and ranked for each benchmark item."""
+    return QUERIES["k10_rerank_blend"](spark, sf_dir)
