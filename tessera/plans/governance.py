@@ -240,10 +240,10 @@ def ceiling(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", R.confidence_ceiling(F.lit(0.9), F.col("text")).cast("double").alias("confidence"))
 
 
-@query("h39_clamp", "select o_orderkey, round(least(1, greatest(0, o_totalprice / 300000 - 0.2)), 6) as x, round(1 / (1 + exp(-least(35, greatest(-35, o_totalprice / 100000 - 2)))), 3) as p from orders")
+@query("h39_clamp", "select o_orderkey, round(least(1, greatest(0, o_totalprice / 300000 - 0.2)), 8) as x, round(1 / (1 + exp(-least(35, greatest(-35, o_totalprice / 100000 - 2)))), 3) as p from orders")
 def clamp(spark, d):
     logit = F.least(F.lit(35.0), F.greatest(F.lit(-35.0), F.col("o_totalprice") / 100000 - 2))
-    return table(spark, d, "orders").select("o_orderkey", F.round(T.clamp(F.col("o_totalprice") / 300000 - 0.2), 6).alias("x"), F.round(1 / (1 + F.exp(-logit)), 3).alias("p"))
+    return table(spark, d, "orders").select("o_orderkey", F.round(T.clamp(F.col("o_totalprice") / 300000 - 0.2), 8).alias("x"), F.round(1 / (1 + F.exp(-logit)), 3).alias("p"))
 
 
 @query("h46_retention_anchor", "select l_orderkey, l_linenumber, l_partkey, greatest(l_shipdate, o_orderdate + interval 30 day) as anchor from lineitem join orders on o_orderkey = l_orderkey where l_returnflag = 'R'")
