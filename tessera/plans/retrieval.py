@@ -199,9 +199,9 @@ def reranked(spark, d):
     return retrieval.top(rows, 10, [F.col("score").desc(), F.col("doc_id")])
 
 
-@query("k10_rerank_blend", RERANK + "select query_id, doc_id, round(score, 4) as score from bl")
+@query("k10_rerank_blend", RERANK + "select query_id, doc_id, score from bl")
 def rerank_blend(spark, d):
-    return reranked(spark, d).select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    return reranked(spark, d).select("query_id", "doc_id", "score")
 
 
 DROP = RERANK + ", dr as (select query_id, doc_id, place, score, rerank, coalesce(greatest(0, (lag(score) over w - score) / greatest(abs(lag(score) over w), 1e-12)), 0) as fall from bl_ranked window w as (partition by query_id order by place))"
