@@ -26,6 +26,9 @@ CLOSES_P = BLOCK - {"caption", "optgroup", "option", "td", "th", "tr", "tbody",
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}, "body": {"head"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}, "body": {"html"}}
 
+#: Elements nested deeper than this belong to the one above, as in browsers; their text stays.
+DEEPEST = 1000
+
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
     r"|<(script|style|textarea|title|noscript|template|iframe|svg|math|select)\b((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>(?:.*?</\1\s*>|.*\Z)"
@@ -117,6 +120,8 @@ def walk(page: str, low: frozenset[int] = frozenset(), host: str = "") -> tuple[
         up = stack[-1]
         kind, name, ruled, holds = element_kind(tag, attributes)
         path = f"{up.path}>{name}"
+        if len(path) > 400:
+            path = xxhash.xxh64_hexdigest(path)
         level = max(up.level, 2 if tag == "article" or holds else 1 if tag == "main" else 0)
         noise, soft = up.noise, up.soft
         if noise and soft and level > up.level and kind != "comments":
@@ -187,7 +192,7 @@ def walk(page: str, low: frozenset[int] = frozenset(), host: str = "") -> tuple[
                         for n in stack[i:]:
                             n.link = False
                         break
-            if tag not in VOID:
+            if tag not in VOID and len(stack) < DEEPEST:
                 enter(tag, m[5] or "")
     if last < len(page):
         piece.append(page[last:])

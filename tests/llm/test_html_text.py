@@ -49,6 +49,13 @@ def test_fragments(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_deep_and_broken_nesting():
+    assert html_text.main_text("<div><b>" * 20_000 + "deep" + "</b></div>" * 20_000 + "<p>end</p>").split("\n\n") == ["deep", "end"]
+    assert html_text.main_text("<p>" * 5000 + "x" + "</i>" * 5000) == "x"
+    assert html_text.main_text("<" * 3000 + "y") == "<" * 3000 + "y"
+    assert html_text.main_text('<p class="' + "a" * 100_000 + "<p>z").endswith("z")
+
+
 SCHEMA = "page_id long, url string, html string, host string, low string, n_chars int"
 
 
