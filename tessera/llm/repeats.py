@@ -36,13 +36,13 @@ def _least(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(raw: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Runs of neighbouring windows with one anchor: row, first start, length, anchor's offset, digit, signature.
+    """Runs of neighbouring windows with one anchor: row, first start, length, digit, signature.
 
     A window's anchor is the place of the least hash among its GRAM-byte strings, the leftmost of equals, so equal
     windows have equal strings at equal offsets. The digit is that string's hash; the signature is the hash of all
-    bytes the run's windows cover.
+    bytes the run's windows cover, with its length and its anchor's offset.
     """
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if len(raw) < window:
         return none
     s, down = prefix_hashes(raw), powers(len(raw) + 1)[1]
@@ -59,24 +59,52 @@ def runs(raw: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, ..
     stop = np.minimum(np.append(first[1:], len(starts)), ends[row[first] + 1] - window + 1)
     length, offset = stop - first, anchor[first] - first
     whole = mixed(_hash(s, down, first, stop - 1 + window)) + (length * 1024 + offset).astype(np.uint64)
-    return row[first], first - ends[row[first]], length, offset, grams[anchor[first]], mixed(whole)
+    return row[first], first - ends[row[first]], length, grams[anchor[first]], mixed(whole)
+
+
+def collapse(row: np.ndarray, at: np.ndarray, size: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of runs that one row has several times: the first with their number, and where the others are, joined up.
+
+    Periodic texts have the same run at every period; this makes them a run and a span.
+    """
+    order = np.lexsort((sig, row))
+    fresh = np.concatenate([[True], (sig[order][1:] != sig[order][:-1]) | (row[order][1:] != row[order][:-1])])
+    n = np.diff(np.append(np.flatnonzero(fresh), len(order)))
+    first, rest = order[fresh], np.sort(order[~fresh])
+    apart = np.ones(len(rest), bool)
+    apart[1:] = (row[rest][1:] != row[rest][:-1]) | (at[rest][1:] != at[rest][:-1] + size[rest][:-1])
+    head, tail = rest[apart], rest[np.append(apart[1:], True)] if len(rest) else rest
+    return first, n, row[head], at[head], at[tail] + size[tail] - at[head]
 
 
 def sample(docs: DataFrame, window: int, piece: int = 2_000_000) -> DataFrame:
-    """``doc_id, text_id, at, size, off, digit, sig`` of every run of every row; long texts go in pieces of starts."""
+    """``doc_id, text_id, at, size, digit, sig, n`` of the runs of every row; long texts go in pieces of starts.
+
+    Starts that repeat a run of their own row have no digit.
+    """
+    names = ["doc_id", "text_id", "at", "size", "digit", "sig", "n"]
+
+    def batch_of(batch: pa.RecordBatch, rows: np.ndarray, *columns: pa.Array) -> pa.RecordBatch:
+        which = pa.array(rows)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *columns], names=names)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, raw, ends in text_slices(batch.column(2), piece):
-                for low in range(0, max(len(raw), 1), piece) if len(ends) == 2 else [0]:
-                    part, edge = (raw[low : low + piece + window - 1], np.array([0, len(raw[low : low + piece + window - 1])])) if len(ends) == 2 else (raw, ends)
-                    row, at, size, off, digit, sig = runs(part, edge, window)
+                alone = len(ends) == 2
+                for low in range(0, len(raw), piece) if alone else [0]:
+                    part = raw[low : low + piece + window - 1] if alone else raw
+                    row, at, size, digit, sig = runs(part, np.array([0, len(part)]) if alone else ends, window)
                     if len(row):
-                        rows = pa.array(row + first)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at + low), pa.array(size.astype(np.int16)), pa.array(off.astype(np.int16)), pa.array(digit.view(np.int64)), pa.array(sig.view(np.int64))], names=["doc_id", "text_id", "at", "size", "off", "digit", "sig"])
+                        own, n, s_row, s_at, s_size = collapse(row, at, size, sig)
+                        long = lambda x: pa.array(x.astype(np.int64))
+                        yield batch_of(batch, row[own] + first, long(at[own] + low), long(size[own]), pa.array(digit[own].view(np.int64)), pa.array(sig[own].view(np.int64)), long(n))
+                        if len(s_row):
+                            none = [pa.nulls(len(s_row), t) for t in (pa.int64(), pa.int64())]
+                            yield batch_of(batch, s_row + first, long(s_at + low), long(s_size), *none, long(np.ones(len(s_row))))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(compute, f"doc_id {kind}, text_id long, at long, size short, off short, digit long, sig long")
+    return docs.mapInArrow(compute, f"doc_id {kind}, text_id long, at long, size long, digit long, sig long, n long")
 
 
 def contexts(docs: DataFrame, window: int) -> DataFrame:
@@ -95,7 +123,7 @@ def contexts(docs: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(which), part.column(1).take(which), *(flat.field(c) for c in ("at", "size", "digit", "alone", "large")), pa.array(cut, pa.binary())], names=["doc_id", "text_id", "at", "size", "digit", "alone", "large", "bytes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(compute, f"doc_id {kind}, text_id long, at long, size short, digit long, alone boolean, large boolean, bytes binary")
+    return docs.mapInArrow(compute, f"doc_id {kind}, text_id long, at long, size long, digit long, alone boolean, large boolean, bytes binary")
 
 
 def _windows(part: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,12 +186,13 @@ def repeated_starts(docs: DataFrame, window: int = 200, group: int = GROUP) -> D
     repeated as they are. Only one row of each remaining signature is compared window by window, inside its digit,
     and equal groups of that last pass are the repeated windows. ``docs`` has ``doc_id, text_id, text``.
     """
-    found = stored(sample(docs, window), "repeats-runs")
-    often = found.groupBy("digit").count().where("count > 1").select("digit")
+    every = stored(sample(docs, window), "repeats-runs")
+    found = every.where("digit is not null")
+    often = stored(found.groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit"), "repeats-often")
     found = stored(found.join(often, "digit"), "repeats-crowded")
     keyed = F.struct("doc_id", "text_id", "at", "size")
-    sigs = stored(found.groupBy("digit", "sig").agg(F.count("*").alias("copies"), F.min(keyed).alias("one")), "repeats-signatures")
-    mixed_digits = sigs.groupBy("digit").agg(F.count("*").alias("n"), F.min("copies").alias("fewest")).where("n > 1 and fewest = 1")
+    sigs = stored(found.groupBy("digit", "sig").agg(F.sum("n").alias("copies"), F.min(keyed).alias("one")), "repeats-signatures")
+    mixed_digits = stored(sigs.groupBy("digit").agg(F.count("*").alias("n"), F.min("copies").alias("fewest")).where("n > 1 and fewest = 1"), "repeats-mixed")
     ask = sigs.join(mixed_digits, "digit").select(F.col("one.doc_id").alias("r_doc"), F.col("one.text_id").alias("r_text"), F.struct(F.col("one.at").alias("at"), F.col("one.size").alias("size"), "digit", (F.col("copies") == 1).alias("alone"), (F.col("n") > group).alias("large")).alias("run"))
     ask = ask.groupBy("r_doc", "r_text").agg(F.collect_list("run").alias("places"))
     texts = docs.join(ask, docs["doc_id"].eqNullSafe(ask["r_doc"]) & (docs["text_id"] == ask["r_text"])).select("doc_id", "text_id", "text", "places")
@@ -171,7 +200,8 @@ def repeated_starts(docs: DataFrame, window: int = 200, group: int = GROUP) -> D
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = f"doc_id {kind}, text_id long, at long, upto long"
     small = cut.where("not large").repartition("digit").sortWithinPartitions("digit").mapInArrow(lambda b: compare(b, window), spans)
-    whole = found.join(sigs.where("copies > 1").select("digit", "sig"), ["digit", "sig"]).select("doc_id", "text_id", "at", (F.col("at") + F.col("size") - 1).alias("upto"))
+    whole = found.join(sigs.where("copies > 1").select("digit", "sig"), ["digit", "sig"]).drop("digit", "sig", "n").unionByName(every.where("digit is null").select("doc_id", "text_id", "at", "size"))
+    whole = whole.select("doc_id", "text_id", "at", (F.col("at") + F.col("size") - 1).alias("upto"))
     return whole.unionByName(small).unionByName(_large(cut.where("large"), window, kind))
 
 
