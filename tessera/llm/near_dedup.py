@@ -207,7 +207,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     crowded = banded.groupBy("bucket").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BUCKET_ROWS)).drop("count")
     members = _paired(banded.join(crowded, "bucket"), "bucket", "part", "blocks", "fp").select("part", "fp")
     members = members.join(classes.select("fp", "bands"), "fp").select("part", "fp", "bands")
-    near = members.repartition("part").sortWithinPartitions("part").mapInArrow(bucket_links(percent), "a binary, b binary")
+    near = members.repartition("part").sortWithinPartitions("part", "fp").mapInArrow(bucket_links(percent), "a binary, b binary")
     clusters = components(near).withColumnsRenamed({"node": "fp", "root": "cluster"})
 
     grouped = clusters.join(classes.select("fp", "n", "row"), "fp")
@@ -217,7 +217,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     texts = docs.join(rows, docs[id_col].eqNullSafe(rows["r_doc"]) & (row_id(docs[text_col]) == rows["r_text"]), "left_semi")
     sets = full_sets(texts, width, id_col, text_col).dropDuplicates(["fp"])
     checked = grouped.select("part", "fp").join(sets, "fp").select("part", "fp", "shingles")
-    links = checked.repartition("part").sortWithinPartitions("part").mapInArrow(cluster_links(percent), "a binary, b binary")
+    links = checked.repartition("part").sortWithinPartitions("part", "fp").mapInArrow(cluster_links(percent), "a binary, b binary")
     roots = components(links).withColumnsRenamed({"node": "fp", "root": "top"})
 
     tops = classes.select("fp", "least").join(roots, "fp", "left").withColumn("top", F.coalesce("top", "fp"))
