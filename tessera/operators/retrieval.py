@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import terms
+from tessera.sources.scratch import stored
 
 
 def postings(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:
@@ -18,20 +19,27 @@ def postings(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:
 
 def corpus_size(docs: DataFrame, text: Column) -> DataFrame:
     """One row: ``n`` documents with terms and their mean length."""
-    return docs.select(F.size(terms(text)).alias("k")).where("k > 0").agg(F.count("*").alias("n"), F.avg("k").alias("mean_terms"))
+    return docs.select(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")).alias("k")).where("k > 0").agg(F.count("*").alias("n"), F.avg("k").alias("mean_terms"))
 
 
-def bm25(index: DataFrame, asked: DataFrame, size: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def asked_postings(docs: DataFrame, doc_id: str, text: Column, asked: DataFrame) -> DataFrame:
+    """The postings of the terms that are asked for, as files: texts are split once, and other terms end at the scan."""
+    words = docs.select(F.col(doc_id).alias("doc_id"), terms(text).alias("words"))
+    words = words.select("doc_id", F.size("words").cast("long").alias("doc_terms"), F.explode("words").alias("term"))
+    words = words.join(asked.select("term").distinct(), "term", "left_semi")
+    return stored(words.groupBy("doc_id", "doc_terms", "term").agg(F.count("*").alias("tf")), "postings")
+
+
+def bm25(docs: DataFrame, doc_id: str, text: Column, asked: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``query_id, doc_id, score, hits`` for each document with a term of the query.
 
-    ``asked`` has a row per query and different term. Postings are reduced to the terms that are asked for before
-    anything is shuffled by document; ``size`` is a single row and goes along by broadcast.
+    ``asked`` has a row per query and different term; the corpus's size is one row and goes along by broadcast.
     """
-    wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = asked_postings(docs, doc_id, text, asked)
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_terms") / F.col("mean_terms")))
-    rows = asked.join(wanted, "term").join(df, "term").join(F.broadcast(size), F.lit(True))
+    rows = asked.join(df, "term").join(wanted, "term").join(F.broadcast(corpus_size(docs, text)), F.lit(True))
     return rows.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"), F.count("*").alias("hits"))
 
 

@@ -10,6 +10,7 @@ from tessera.operators import graph
 from tessera.operators import lifecycle as L
 from tessera.plans.facts import H, at, history
 from tessera.plans.registry import query
+from tessera.sources.scratch import stored
 from tessera.sources.tables import table
 
 # Feedback: a document's label is a vote, and each of its source's labels an outcome.
@@ -221,7 +222,7 @@ def edges(spark, d):
     supplier = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("to_id"))
     rows = lines.join(part, "l_partkey").join(supplier, "l_suppkey").join(nation, "s_nationkey")
-    return rows.groupBy("from_id", "to_id").agg(F.round(F.least(F.lit(1.0), F.count("*") / 40.0), 6).alias("weight"))
+    return stored(rows.groupBy("from_id", "to_id").agg(F.round(F.least(F.lit(1.0), F.count("*") / 40.0), 6).alias("weight")), "edges")
 
 
 @query("c10_either_end", f"with {EDGES} select from_id as node, count(*) as degree, round(sum(weight), 4) as weight from b group by 1")

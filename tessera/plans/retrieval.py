@@ -9,6 +9,7 @@ from tessera.functions import text as X
 from tessera.functions.vector import cosine
 from tessera.operators import fusion, retrieval
 from tessera.plans.registry import query
+from tessera.sources.scratch import stored
 from tessera.sources.tables import table
 
 # Word rules as SQL.
@@ -34,9 +35,7 @@ def index(spark, d):
 
 
 def bm25(spark, d):
-    docs = table(spark, d, "documents")
-    found = retrieval.bm25(index(spark, d), asked(spark, d), retrieval.corpus_size(docs, F.col("text")))
-    return found.withColumn("score", F.round("score", 6))
+    return retrieval.bm25(table(spark, d, "documents"), "doc_id", F.col("text"), asked(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query("i06_bm25_or", INDEX + "select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from bm25) where rank <= 10")
@@ -140,17 +139,17 @@ ranked as (select *, row_number() over (partition by query_id order by rrf desc,
 """
 
 
-def channels(spark, d):
+def channels(spark, d, lexical=None):
     docs = table(spark, d, "documents")
-    lexical = retrieval.top(bm25(spark, d), 50, [F.col("score").desc(), F.col("doc_id")]).select("query_id", F.lit("lexical").alias("channel"), "doc_id", "rank", F.lit(1.0).alias("weight"))
+    lexical = retrieval.top(lexical or bm25(spark, d), 50, [F.col("score").desc(), F.col("doc_id")]).select("query_id", F.lit("lexical").alias("channel"), "doc_id", "rank", F.lit(1.0).alias("weight"))
     lang = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("item_id") % 4 + 1).cast("int"))
     longest = retrieval.top(docs.select("doc_id", "lang", "n_chars"), 50, [F.col("n_chars").desc(), F.col("doc_id")], ("lang",))
     second = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), lang.alias("lang")).join(longest, "lang").select("query_id", F.lit("language").alias("channel"), "doc_id", "rank", F.lit(0.6).alias("weight"))
     return lexical.unionByName(second)
 
 
-def fused(spark, d, k=10):
-    found = fusion.rrf(channels(spark, d)).withColumn("rrf", F.round("rrf", 8))
+def fused(spark, d, k=10, lexical=None):
+    found = fusion.rrf(channels(spark, d, lexical)).withColumn("rrf", F.round("rrf", 8))
     return retrieval.top(found, k, [F.col("rrf").desc(), F.col("doc_id")])
 
 
@@ -171,14 +170,14 @@ pre as (select *, round(0.65 * semantic + 0.08 * recency + 0.07 * access + 0.075
 """
 
 
-def features(spark, d):
-    rows = fused(spark, d).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+def features(spark, d, lexical=None):
+    rows = fused(spark, d, lexical=lexical).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").join(table(spark, d, "labels"), "doc_id", "left")
     most = F.max("n_chars").over(Window.partitionBy("query_id"))
     return rows.withColumns({"semantic": F.least(F.lit(1.0), F.col("rrf") / (1.6 / 61)), "recency": 1.0 / (1.0 + F.col("n_chars") / 3000.0), "confidence": F.coalesce(F.col("quality").cast("double"), F.lit(0.5)), "utility": 1 - F.coalesce(F.col("toxic").cast("double"), F.lit(0.0)), "importance": F.lit(0.5), "access": F.log(1 + F.col("n_chars")) / F.log(1 + most)})
 
 
-def scored(spark, d):
-    return features(spark, d).withColumn("score", F.round(fusion.pre_score(), 6))
+def scored(spark, d, lexical=None):
+    return features(spark, d, lexical).withColumn("score", F.round(fusion.pre_score(), 6))
 
 
 @query("k05_pre_score", SCORED + "select query_id, doc_id, score from pre")
@@ -193,8 +192,9 @@ bl_ranked as (select *, row_number() over (partition by query_id order by score
 
 
 def reranked(spark, d):
-    hits = bm25(spark, d).select("query_id", "doc_id", "hits")
-    rows = scored(spark, d).drop("score", "rank").join(hits, ["query_id", "doc_id"], "left").withColumn("rerank", F.coalesce(F.col("hits"), F.lit(0)) / 8.0)
+    lexical = stored(bm25(spark, d), "bm25")
+    hits = lexical.select("query_id", "doc_id", "hits")
+    rows = scored(spark, d, lexical).drop("score", "rank").join(hits, ["query_id", "doc_id"], "left").withColumn("rerank", F.coalesce(F.col("hits"), F.lit(0)) / 8.0)
     rows = rows.withColumn("score", F.round(fusion.blend(F.col("rerank"), {k: F.col(k) for k in fusion.WEIGHTS}), 6))
     return retrieval.top(rows, 10, [F.col("score").desc(), F.col("doc_id")])
 
