@@ -303,3 +303,45 @@ def threshold_scan(spark, d):
     rows = judged(spark, d).select("score", "relevant", cuts)
     over = F.col("score") >= F.col("cut")
     return rows.groupBy("cut").agg(F.count_if(over & F.col("relevant")).alias("tp"), F.count_if(over & ~F.col("relevant")).alias("fp"), F.count_if(~over & F.col("relevant")).alias("fn"))
+
+
+FOLD = FUSED + ", s as (select query_id, rank, doc_id, sha256(coalesce(text, '')) as sha from ranked join documents using (doc_id) where rank <= 10)"
+
+
+@query("k11_fold", FOLD + " select query_id, min(rank) as rank, min_by(doc_id, rank) as doc_id, count(*) - 1 as folded, string_agg(doc_id::varchar, ',' order by rank) as members from s group by query_id, sha")
+def fold(spark, d):
+    """Results of one text fold into the first of them, which lists the others."""
+    text = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    rows = fused(spark, d).join(text, "doc_id")
+    members = F.sort_array(F.collect_list(F.struct("rank", "doc_id")))
+    folded = rows.groupBy("query_id", "sha").agg(members.alias("m"))
+    ids = F.array_join(F.transform("m", lambda x: x["doc_id"].cast("string")), ",")
+    return folded.select("query_id", F.col("m")[0]["rank"].alias("rank"), F.col("m")[0]["doc_id"].alias("doc_id"), (F.size("m") - 1).cast("long").alias("folded"), ids.alias("members"))
+
+
+@query("k27_assemble", FUSED + "select r.query_id, r.rank, r.doc_id, d.source, coalesce(l.quality, -1)::int as quality, count(b.item_id) as rivals from ranked r join documents d using (doc_id) left join labels l using (doc_id) left join (select query_id as item_id, doc_id from ranked where rank <= 10) b on b.doc_id = r.doc_id and b.item_id <> r.query_id where r.rank <= 10 group by all")
+def assemble(spark, d):
+    """Results with their source and label, and in how many other queries' results each is."""
+    rows = stored(fused(spark, d).select("query_id", "rank", "doc_id"), "fused")
+    shared = rows.groupBy("doc_id").agg((F.count("*") - 1).alias("rivals"))
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    found = rows.join(shared, "doc_id").join(docs, "doc_id").join(labels, "doc_id", "left")
+    return found.select("query_id", "rank", "doc_id", "source", F.coalesce("quality", F.lit(-1)).cast("int").alias("quality"), "rivals")
+
+
+@query("n04_semantic_candidate", GOLD + " select query_id, min_by(vec_id, rank) as vec_id, max(score) as score, case when max(score) >= 0.4 then 'semantic_candidate' else 'new' end as outcome from g where want = got group by 1")
+def semantic_candidate(spark, d):
+    """The nearest of the same label: a candidate if near enough."""
+    rows = judged(spark, d).where("relevant").groupBy("query_id").agg(F.min_by("vec_id", "rank").alias("vec_id"), F.max("score").alias("score"))
+    return rows.withColumn("outcome", F.when(F.col("score") >= 0.4, "semantic_candidate").otherwise("new"))
+
+
+@query("y05_fused_ranks", f"with {DENSE}, s as (select query_id, vec_id, row_number() over (partition by query_id order by abs(vec_id - query_id), vec_id) as rank from dtop), u as (select query_id, vec_id, 0.7 / (60 + rank) as w from dtop union all select query_id, vec_id, 0.3 / (60 + rank) from s) select query_id, vec_id, round(sum(w), 8) as fused from u group by all")
+def fused_ranks(spark, d):
+    """Two orders of the same candidates, weighed 7 to 3."""
+    rows = stored(dense(spark, d).select("query_id", "vec_id", "rank"), "dense")
+    near = Window.partitionBy("query_id").orderBy(F.abs(F.col("vec_id") - F.col("query_id")), "vec_id")
+    second = rows.select("query_id", F.lit("near").alias("channel"), F.col("vec_id").alias("doc_id"), F.row_number().over(near).alias("rank"), F.lit(0.3).alias("weight"))
+    first = rows.select("query_id", F.lit("dense").alias("channel"), F.col("vec_id").alias("doc_id"), "rank", F.lit(0.7).alias("weight"))
+    return fusion.rrf(first.unionByName(second)).select("query_id", F.col("doc_id").alias("vec_id"), F.round("rrf", 8).alias("fused"))
