@@ -77,7 +77,7 @@ def collapse(row: np.ndarray, at: np.ndarray, size: np.ndarray, sig: np.ndarray)
     return first, n, row[head], at[head], at[tail] + size[tail] - at[head]
 
 
-def sample(docs: DataFrame, window: int, piece: int = 2_000_000) -> DataFrame:
+def sample(docs: DataFrame, window: int, piece: int = 1_000_000) -> DataFrame:
     """``doc_id, text_id, at, size, digit, sig, n`` of the runs of every row; long texts go in pieces of starts.
 
     Starts that repeat a run of their own row have no digit.
@@ -202,7 +202,7 @@ def repeated_starts(docs: DataFrame, window: int = 200, group: int = GROUP) -> D
     small = cut.where("not large").repartition("digit").sortWithinPartitions("digit").mapInArrow(lambda b: compare(b, window), spans)
     whole = found.join(sigs.where("copies > 1").select("digit", "sig"), ["digit", "sig"]).drop("digit", "sig", "n").unionByName(every.where("digit is null").select("doc_id", "text_id", "at", "size"))
     whole = whole.select("doc_id", "text_id", "at", (F.col("at") + F.col("size") - 1).alias("upto"))
-    return whole.unionByName(small).unionByName(_large(cut.where("large"), window, kind))
+    return whole.unionByName(stored(small, "repeats-windows")).unionByName(_large(cut.where("large"), window, kind))
 
 
 def _large(cut: DataFrame, window: int, kind: str) -> DataFrame:
