@@ -40,18 +40,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more.
+
+    Repeated rows of it are that document, and stay together.
+    """
     gone = near.link(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("t_doc"), F.col("text_id").alias("t_text")).distinct()
     return _matched(docs, gone, "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it; repeated rows count as one document."""
-    mixed = mixing.mix(docs.dropDuplicates(["doc_id", "text"]), mixing.five_two_one(), whole=True)
-    taken = mixed.where("taken > 0").groupBy(F.col("doc_id").alias("t_doc"), F.col("text_id").alias("t_text")).agg(F.count("*").alias("t_copies"))
+    """Each document as often as the mixture takes it; repeated rows alike, as often as one of them, rounded up."""
+    mixed = mixing.mix(docs, mixing.five_two_one(), whole=True)
+    taken = mixed.groupBy(F.col("doc_id").alias("t_doc"), F.col("text_id").alias("t_text")).agg(F.count_if(F.col("taken") > 0).alias("t_all"), F.count_if(F.col("epoch") == 1).alias("t_rows"))
+    copies = F.ceil(F.col("t_all") / F.col("t_rows")).cast("int")
     columns = [docs[c] for c in docs.columns]
-    rows = _matched(docs.dropDuplicates(["doc_id", "text"]), taken)
-    return rows.select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("t_copies").cast("int"))).alias("t_copy")).drop("t_copy")
+    return _matched(docs, taken.where("t_all > 0")).select(*columns, F.explode(F.array_repeat(F.lit(1), copies)).alias("t_copy")).drop("t_copy")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
