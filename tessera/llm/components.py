@@ -12,10 +12,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root``: for every node of an edge the least node that it reaches.
 
     Each round takes the least label of a node's neighbours and then the label of that label, so paths halve; rounds
-    are written to the shared folder. Stars settle in one or two rounds. Null ends and loops are ignored; no edges,
+    are written to the shared folder. The edges are too before they are read both ways, so that edges which depend on the
+    order of rows are one set. Stars settle in one or two rounds. Null ends and loops are ignored; no edges,
     no rows. Only counts reach the driver.
     """
-    edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct()
+    edges = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct(), "cc-given")
     both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cc-edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root")), "cc-labels")
     while True:
