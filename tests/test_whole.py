@@ -26,3 +26,11 @@ def test_queries_read_their_whole_text(spark, texts):
     assert {r.doc_id for r in run("e01_channel_rank_whole") if r.channel == "lexical"} == {1, 2, 3}
     # 8 of 10 terms are relevant in two channels, 1 of 10 is not, and none is more than all.
     assert {r.doc_id: r.verdict for r in run("k13_relevance_whole")} == {1: "relevant", 2: "relevant", 3: "irrelevant", 4: "irrelevant"}
+
+
+def test_tags_count_every_document(spark, tmp_path):
+    docs = [(i, lang, f"src{i % 3}") for i, lang in enumerate(["es", "es", "es", "de", None, "es"])]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1,), (22,)], "item_id long").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.item_id, r.tag, r.n) for r in catalogue.QUERIES["c11_tag_overlap_whole"](spark, str(tmp_path)).collect())
+    assert got == [(1, "es", 4), (1, "src1", 2), (22, "es", 4), (22, "src2", 2)]
