@@ -31,12 +31,24 @@ DEEPEST = 1000
 
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
-    r"|<(script|style|textarea|title|noscript|template|iframe|svg|math|select)\b((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>(?:.*?</\1\s*>|.*\Z)"
+    r"|<(script|style|textarea|title|iframe)(?=[\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>(?:.*?</\1(?:[\s/][^>]*)?>|.*\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-z][^>]*>|<[!?/][^>]*>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Elements that are skipped with all they hold, if they are closed.
+SKIPPED = frozenset("math noscript select svg template".split())
+# Elements that end svg and math, but for those in a place for HTML.
+BREAKOUT = "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var address article aside footer form header html main nav section td th tr".split()
+HTML_INSIDE = "foreignobject desc title annotation-xml mi mo mn ms mtext".split()
+
+
+def _tags(names: list[str]) -> re.Pattern:
+    return re.compile(rf"<!--.*?-->|<(/?)({'|'.join(names)})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", re.S | re.I)
+
+
+_ENDS = {t: _tags([t, *BREAKOUT, *HTML_INSIDE] if t in ("math", "svg") else [t]) for t in SKIPPED}
 NAME_PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -84,6 +96,34 @@ def element_kind(tag: str, attributes: str) -> tuple[str, str, bool, bool]:
     return _KINDS[key]
 
 
+def skip(page: str, tag: str, at: int) -> int | None:
+    """Where what follows the start tag of a skipped element goes on, or None if nothing ends it.
+
+    Nested elements are counted, and HTML inside svg and math ends them, as in browsers. A select that starts before
+    another ended has no end; of nested elements with too few end tags, the last end tag counts.
+    """
+    depth, html_depth, end = 1, 0, None
+    for m in _ENDS[tag].finditer(page, at):
+        if m[2] is None:
+            continue
+        name = m[2].lower()
+        empty = page[m.end() - 2] == "/"
+        if name == tag:
+            if m[1]:
+                depth, end = depth - 1, m.end()
+                if not depth or tag in ("noscript", "select"):
+                    return end
+            elif tag == "select":
+                return None
+            elif tag == "template" or not empty:
+                depth += 1
+        elif name in HTML_INSIDE:
+            html_depth = max(0, html_depth + (-1 if m[1] else not empty))
+        elif not html_depth:
+            return m.start()
+    return end
+
+
 def walk(page: str, low: frozenset[int] = frozenset(), host: str = "") -> tuple[list[tuple[str, int, bool]], dict[str, list]]:
     """The page's blocks as (text, level, all links) and its element nodes as path: [children, content].
 
@@ -133,7 +173,8 @@ def walk(page: str, low: frozenset[int] = frozenset(), host: str = "") -> tuple[
             noise, soft = True, kind == "noise" and not ruled
         stack.append(Node(tag, path, noise, level, soft, up.link or tag == "a"))
 
-    for m in TOKEN.finditer(page):
+    tokens, endless = TOKEN.finditer(page), set()
+    while m := next(tokens, None):
         if m.start() > last:
             text = page[last : m.start()]
             piece.append(text)
@@ -154,7 +195,14 @@ def walk(page: str, low: frozenset[int] = frozenset(), host: str = "") -> tuple[
         if tag is None:
             continue
         tag = tag.lower()
-        if tag == "br":
+        if tag in SKIPPED:
+            if not m[3] and tag not in endless and not (tag in ("math", "svg") and m[5].endswith("/")):
+                end = skip(page, tag, last)
+                if end is not None:
+                    last, tokens = end, TOKEN.finditer(page, end)
+                elif tag != "select":
+                    endless.add(tag)
+        elif tag == "br":
             piece.append(" ")
         elif m[3]:
             block = tag in BLOCK
@@ -174,6 +222,8 @@ def walk(page: str, low: frozenset[int] = frozenset(), host: str = "") -> tuple[
         else:
             if tag in BLOCK:
                 flush()
+                while tag not in ("option", "optgroup") and stack[-1].tag in ("option", "optgroup"):
+                    leave()
                 shut, scope = CLOSES.get(tag, ()), SCOPE.get(tag, ())
                 if tag in CLOSES_P or shut:
                     for i in range(len(stack) - 1, 0, -1):

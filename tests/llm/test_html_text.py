@@ -79,3 +79,29 @@ def test_odd_rows(spark):
     got = [(r.page_id, r.text[:9], r.n_chars) for r in html_text.extract(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert sorted(got, key=str) == sorted([(1, "", 0), (2, "", 0), (None, "é🙂", 2), (3, "a", 1), (3, "a", 1), (4, "word word", 249_999)], key=str)
     assert html_text.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<p>a</p><svg class="i"/><p>b</p>', "a\n\nb"),
+        ("<p>a</p><svg class=i/><p>b</p>", "a\n\nb"),
+        ("<p>a</p><svg-icon></svg-icon><template-x></template-x><select-box>c</select-box><p>b</p>", "a\n\nc\n\nb"),
+        ("<p>a</p><select><option>x<option>y<p>b</p>", "a\n\nb"),
+        ("<p>a</p><select><p>b</p><select><option>x</select><p>c</p>", "a\n\nb\n\nc"),
+        ('<p>a</p><svg><path d="M0"><text>t</text><p>b</p>', "a\n\nb"),
+        ("<p>a</p><svg><g><svg><text>t</text></svg><text>u</text></g></svg><p>b</p>", "a\n\nb"),
+        ("<p>a</p><svg><foreignObject><p>t</p></foreignObject><text>u</text></svg><p>b</p>", "a\n\nb"),
+        ("<p>a</p><template>t<template>u</template>v</template><p>b</p>", "a\n\nb"),
+        ("<p>a</p><template><p>b</p>", "a\n\nb"),
+        ("<p>a</p><noscript><p>b</p>", "a\n\nb"),
+        ("<p>a</p><script>t</script type=x><p>b</p><iframe>u", "a\n\nb"),
+    ],
+)
+def test_skipped_elements_end(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_many_skipped_elements_take_no_longer():
+    for page in ("<svg>", "<select>", "<template>", "<svg><p>"):
+        assert html_text.main_text(page * 50_000 + "end").endswith("end")
