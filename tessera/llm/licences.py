@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,19 +59,66 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
+# Standard headers, and lines that start one or state a licence.
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+{}://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at {}://mozilla.org/MPL/2.0/."""
+GPL_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <{}://www.gnu.org/licenses/>."""
+HEADERS = [(licence, text.format(scheme)) for licence, text in (("Apache-2.0", APACHE_HEADER), ("MPL-2.0", MPL_HEADER), ("GPL-3.0", GPL_HEADER)) for scheme in ("http", "https")]
+HEADERS += [("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");')]
+HEADERS += [(i, f"{verb} under the {name}.") for i, name in (("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("BSL-1.0", "Boost Software License, Version 1.0"), ("MPL-2.0", "Mozilla Public License, Version 2.0")) for verb in ("Released", "Licensed")]
+HEADERS += [(i, f"SPDX-License-Identifier: {i}{end}") for i in ("LGPL-2.1", "LGPL-3.0", "GPL-2.0", "GPL-3.0") for end in ("", "-only", "-or-later")]
+HEADERS += [(i, f"SPDX-License-Identifier: {i}") for i in ("BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "ISC", "MPL-2.0", "Unlicense", "Zlib", "0BSD")]
+#: What may stand above a text that does not name itself.
+TITLES = {"BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'), "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License')}
+
+
+@cache
+def full_texts() -> list[tuple[str, str]]:
+    """Whole licences from the folder beside this module, with and without their appendix, title and clause numbers."""
+    found = []
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        text, licence = path.read_text(encoding="utf-8"), path.stem.removesuffix(".regents")
+        forms = [text]
+        if licence.startswith("BSD-"):
+            forms.append(re.sub(r"(?m)^\s*\d\.\s", "", text))
+            forms += [f"{title}\n{form}" for form in forms[:2] for title in TITLES[licence]]
+        elif m := re.search(r"END OF TERMS AND CONDITIONS", text):
+            forms += [text[: m.start()], text[: m.end()]]
+        found += [(licence, form) for form in forms]
+    return found
+
+
 # Spellings that count as one, after lower-casing.
 SPELLINGS = [("licence", "license"), ("organisation", "organization"), ("non-commercial", "noncommercial"), ("sub-license", "sublicense"), ("©", "(c)"), ("&", " and ")]
 # Fixed value: lines that only name a holder, or reserve all rights.
 HOLDER = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|all rights reserved)[^\n]*$"
+# Where a statement starts that stays when its line names a holder, and words that show that none is named.
+_STATES = r"\b(?:(?:re)?licensed|released|distributed|available|published|provided) under\b|\bspdx-license-identifier\b|\bpermission (?:is|to)\b|\bthis (?:work|file|software|program|project|code|source) is\b"
+_PROSE = r"(?:you|your|the|if|a|an|any|all|in|on|to|use|for|that|this|of|as|is|are|or|and|by the|notices?|holders?|owners?|laws?|licenses?|licensed|rights|act|interests?|statements?|disclaimers?|infringement|treaty|permission|prominent|such|conveying|redistribution|accompany|each|where|under|may|must|shall|will|not|no|with|from)\b"
+#: A holder's part of a line: to its end, or to a statement of the licence.
+HOLDER_PART = rf"(?m)^[^a-z0-9\n]*(?:(?:copyright\s*\(c\)|\(c\)\s*copyright|copyright\b|\(c\))(?![^\S\n]*{_PROSE})(?![^\S\n]*[,.;)\n])(?![^\S\n]*$)|all rights reserved)(?:(?!{_STATES})[^\n])*"
 _MARKS = r"[^\p{L}\p{N}\n]+"
 
 
 def canonical_lines(text: Column) -> Column:
-    """Lower case, one spelling, no copyright lines, words and numbers apart by single spaces; line breaks stay."""
+    """Lower case, one spelling, no holders of copyright, words and numbers apart by single spaces; line breaks stay."""
     text = F.lower(F.coalesce(text, F.lit("")))
     for old, new in SPELLINGS:
         text = F.replace(text, F.lit(old), F.lit(new))
-    return F.regexp_replace(F.regexp_replace(text, HOLDER, ""), _MARKS, " ")
+    return F.regexp_replace(F.regexp_replace(text, HOLDER_PART, ""), _MARKS, " ")
 
 
 def _digest(text: Column) -> Column:
@@ -78,8 +129,9 @@ def whole(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    rows = spark.createDataFrame(known, "licence string, known string")
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``licence, digest`` of the list in the program, its headers and the folder of whole texts, or of ``known``."""
+    rows = spark.createDataFrame(KNOWN + HEADERS + full_texts() if known is None else known, "licence string, known string")
     return rows.select("licence", whole(canonical_lines(F.col("known"))).alias("form")).where("form <> ''").select("licence", _digest(F.col("form")).alias("digest")).dropDuplicates(["digest"])
 
 
@@ -115,6 +167,7 @@ def _sql_lines(text: str) -> str:
 
 
 _SQL_KNOWN = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
+#: The SQL has the list of KNOWN and drops a holder's whole line; on the test tables both give the same rows.
 ORACLE_SQL = rf"""
 with known as (
   select distinct licence, trim(regexp_replace({_sql_lines("known")}, '[ \n]+', ' ', 'g'), ' ') as form

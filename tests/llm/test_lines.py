@@ -42,3 +42,18 @@ def test_licences(spark):
     rows = sorted((r.doc_id, r.text_licence, tuple(r.line_licences)) for r in licences.scan(cases.table(spark, docs), licences.known_digests(spark)).collect())
     assert rows == [(1, "MIT", ()), (2, None, ("Apache-2.0",)), (3, None, ()), (4, None, ()), (4, None, ()), (5, "MIT", ("MIT",))]
     assert licences.scan(cases.empty(spark), licences.known_digests(spark)).count() == 0
+
+
+def test_whole_licences_headers_and_holders(spark):
+    """However a text is wrapped, and whoever holds it."""
+    texts = dict(licences.full_texts()[::-1])
+    mit, notice = " ".join(licences.MIT.split()), "Permission is hereby granted"
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    docs = {name: texts[name] for name in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense")}
+    cases_ = [(k, t) for k, t in docs.items()] + [("Apache-2.0", "Copyright 2024 Some One\n\n" + licences.APACHE_HEADER.format("http")), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2024, Some One\nAll rights reserved.\n\n" + texts["BSD-3-Clause"])]
+    cases_ += [("MIT", f"MIT License\n\nCopyright (c) 2024 J. R. Smith\n\n{wrap(mit, n)}") for n in range(6, 30)]
+    cases_ += [("MIT", "Copyright (c) 2024 X, Inc. Released under the MIT License."), (None, "Copyright (c) 2024 X."), (None, notice)]
+    rows = [(i, t, "en", "s", len(t), 1, 0.5, "x", "y", 9) for i, (_, t) in enumerate(cases_)]
+    got = {r.doc_id: r for r in licences.scan(cases.table(spark, rows), licences.known_digests(spark)).collect()}
+    assert {i: (cases_[i][0], got[i].text_licence) for i in got if cases_[i][0] != got[i].text_licence} == {}
+    assert len(got) == len(cases_) and got[len(cases_) - 3].line_licences == ["MIT"]
