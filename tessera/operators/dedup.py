@@ -6,10 +6,14 @@ import difflib
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+
+from tessera.sources.scratch import stored
 
 _ATOMS = re.compile(r"\d+(?:[.:/-]\d+)*|\"[^\"]*\"|\b(?:not|no|never|nicht|ne|pas)\b", re.I)
 
@@ -55,6 +59,90 @@ def near_copy(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([a is not None and b is not None and is_near_copy(a, b) for a, b in zip(left, right, strict=True)], dtype=bool)
 
 
+@F.pandas_udf(StructType([StructField("form", StringType()), StructField("atoms", StringType())]))
+def near_copy_key(text: pd.Series) -> pd.DataFrame:
+    """What two texts have equal for sure to be near copies (``atoms``), and what is compared then (``form``)."""
+    return pd.DataFrame({"form": text.map(near_copy_form), "atoms": text.map(lambda t: "\x1f".join(_ATOMS.findall(t.casefold())))})
+
+
+def _grams(forms: list[str], width: int = 2048) -> np.ndarray:
+    """A row per form: which of ``width`` buckets its three-letter strings fall in."""
+    out = np.zeros((len(forms), width), np.float32)
+    for row, form in zip(out, forms, strict=True):
+        c = np.frombuffer(form.encode("utf-32-le", "replace"), np.uint32)
+        if len(c) > 2:
+            row[(c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA77) ^ c[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F) >> np.uint32(21)] = 1
+    return out
+
+
+def _links(left: pa.Table, right: pa.Table, same: bool, least: float) -> pa.Table:
+    """Near copies between two blocks, without those that others of the blocks already link."""
+    (ids, forms, atoms), (ids2, forms2, atoms2) = ([t[c].to_pylist() for c in ("line_id", "form", "atoms")] for t in (left, right))
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    found: list[tuple[str, str]] = []
+    if ids and ids2:
+        codes = {a: i for i, a in enumerate({*atoms, *atoms2})}
+        kinds, kinds2 = (np.array([codes[a] for a in x]) for x in (atoms, atoms2))
+        size, size2 = (np.array([len(f) for f in x], np.float32) for x in (forms, forms2))
+        grams, grams2 = _grams(forms), _grams(forms2)
+        total, lost, lost2 = size[:, None] + size2, grams.sum(1) - size, grams2.sum(1) - size2
+        # A ratio r needs M = rT/2 letters in common, in at most T - 2M + 1 runs, so at least 5M - 2T - 2 equal strings.
+        fits = (grams @ grams2.T >= np.maximum(lost[:, None], lost2) + (2.5 * least - 2) * total - 1e-3) & (kinds[:, None] == kinds2) & (2 * np.minimum(size[:, None], size2) >= least * total - 1e-3)
+        for i, j in zip(*np.nonzero(np.triu(fits, 1) if same else fits), strict=True):
+            x, y = find(ids[i]), find(ids2[j])
+            if x == y:
+                continue
+            match = difflib.SequenceMatcher(None, forms[i], forms2[j], autojunk=False)
+            if match.quick_ratio() >= least and (match.ratio() >= least or match_back(forms2[j], forms[i], least)):
+                root[max(x, y)] = min(x, y)
+                found.append((min(ids[i], ids2[j]), max(ids[i], ids2[j])))
+    return pa.table({"left_id": pa.array([f[0] for f in found], pa.string()), "right_id": pa.array([f[1] for f in found], pa.string())})
+
+
+def match_back(left: str, right: str, least: float) -> bool:
+    """The ratio depends on the order of the two."""
+    return difflib.SequenceMatcher(None, left, right, autojunk=False).ratio() >= least
+
+
+def near_copy_links(lines: DataFrame, block_rows: int = 2000, least: float = 0.90) -> DataFrame:
+    """``left_id, right_id``: links whose classes are those of all near copies among ``lines`` (``line_id, line``).
+
+    Lines of one form and equal numbers, quotes and negations are linked to the least of them. Those left are dealt to
+    ranges of length and, within these, to blocks of about ``block_rows``; a task compares two blocks whose lengths
+    can be alike, so no pair is missed and none is a row but for links. Work grows with the square of a range.
+    """
+    keyed = stored(lines.where("line is not null").select("line_id", near_copy_key("line").alias("k")).select("line_id", "k.form", "k.atoms"), "near-copy-keys")
+    firsts = stored(keyed.groupBy("form", "atoms").agg(F.min("line_id").alias("line_id")), "near-copy-firsts")
+    equal = keyed.withColumnRenamed("line_id", "right_id").join(firsts.withColumnRenamed("line_id", "left_id"), ["form", "atoms"]).where("left_id <> right_id").select("left_id", "right_id")
+
+    # Lengths of near copies differ by (2 - r) / r at most, so their ranges are the same or neighbours.
+    step = float(np.log((2 - least) / least + 1e-4))
+    ranged = firsts.where("form <> ''").withColumn("span", F.floor(F.log(F.length("form").cast("double")) / step).cast("int"))
+    parts = {r.span: -(-r.n // block_rows) for r in ranged.groupBy("span").agg(F.count("*").alias("n")).collect()}
+    pairs = [(s, p, t, q) for s in parts for t in (s, s + 1) if t in parts for p in range(parts[s]) for q in range(p if s == t else 0, parts[t])]
+    if not pairs:
+        return equal
+    spark = lines.sparkSession
+    sizes = F.create_map(*(F.lit(x) for s, n in parts.items() for x in (s, n)))
+    blocks = ranged.withColumn("part", F.pmod(F.xxhash64("line_id"), sizes[F.col("span")]).cast("int"))
+    tasks = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "task int, s int, p int, t int, q int")
+    columns = ["task", "same", "line_id", "form", "atoms"]
+    side = lambda s, p: blocks.join(F.broadcast(tasks.select("task", F.col(s).alias("span"), F.col(p).alias("part"), ((F.col("s") == F.col("t")) & (F.col("p") == F.col("q"))).alias("same"))), ["span", "part"]).select(*(F.col(c).alias(f"{s}_{c}") for c in columns))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = (t.rename_columns(columns).sort_by("line_id") for t in (left, right))
+        return _links(left, right, bool(len(left)) and left["same"][0].as_py(), least)
+
+    found = side("s", "p").groupBy("s_task").cogroup(side("t", "q").groupBy("t_task")).applyInArrow(compare, "left_id string, right_id string")
+    return equal.unionByName(found)
+
+
 def resolve(same_value: Column, same_time: Column, newer: Column, exclusive: Column) -> Column:
     """What a new fact is to an existing one of its conflict key."""
     return F.when(same_value, "entails").when(~exclusive, "compatible").when(newer, "state_change").when(same_time, "contradicts").otherwise("uncertain")

@@ -230,12 +230,9 @@ def label_band(spark, d):
 
 @query("n05_near_copies")
 def near_copies(spark, d):
-    """Document lines alike in wording: blocked by their first three words, guarded by length, then compared."""
-    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
-    lines = lines.select("line", F.array_join(F.slice(X.terms(F.col("line")), 1, 3), " ").alias("head"), F.sha2("line", 256).alias("line_id")).where(F.length("head") > 8)
-    a, b = lines.alias("a"), lines.alias("b")
-    alike = (F.col("a.head") == F.col("b.head")) & (F.col("a.line_id") < F.col("b.line_id")) & (F.abs(F.length("a.line") - F.length("b.line")) <= 0.1 * F.length("a.line"))
-    return a.join(b, alike).where(D.near_copy(F.col("a.line"), F.col("b.line"))).select(F.col("a.line_id").alias("left_id"), F.col("b.line_id").alias("right_id"))
+    """Document lines alike in wording: links between classes of lines, whatever their first words."""
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line")).distinct()
+    return D.near_copy_links(lines.select("line", F.sha2("line", 256).alias("line_id")))
 
 
 RES = """with p as (select o_custkey, o_orderkey, o_orderstatus, o_orderdate, o_orderpriority, lag(o_orderstatus) over w as was, lag(o_orderdate) over w as was_at from orders window w as (partition by o_custkey, o_orderpriority order by o_orderdate, o_orderkey)),

@@ -1,7 +1,10 @@
 """Queries that do the whole job, on tables small enough to work out by hand."""
 
+import random
+
 import pytest
 
+from tessera.operators import dedup
 from tessera.plans import catalogue
 
 ASKED = "one two three four five six seven eight nine ten"
@@ -34,3 +37,33 @@ def test_tags_count_every_document(spark, tmp_path):
     spark.createDataFrame([(1,), (22,)], "item_id long").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted((r.item_id, r.tag, r.n) for r in catalogue.QUERIES["c11_tag_overlap_whole"](spark, str(tmp_path)).collect())
     assert got == [(1, "es", 4), (1, "src1", 2), (22, "es", 4), (22, "src2", 2)]
+
+
+def classes(ids, links):
+    up = {i: i for i in ids}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("block_rows", [2000, 7])
+def test_near_copies_are_those_of_brute_force(spark, block_rows):
+    rng = random.Random(5)
+    words = "service port runs slow node cache disk the a user theme dark light model uses often never 80 443".split()
+    lines = ["The service runs on port 8080.", "service runs on port 8080", "service runs on port 8081", "!!", "--", "", "a", "ab", "no", "the", "abcdefghi", "abcdefghixy"]
+    for _ in range(25):
+        line = " ".join(rng.choice(words) for _ in range(rng.randrange(2, 40)))
+        at = rng.randrange(len(line))
+        lines += [line, line[:at] + "q" + line[at + 1 :], "x" + line[1:], line + " end", line.upper(), "".join(c if rng.random() > 0.07 else rng.choice("klmn") for c in line)]
+    lines = sorted(set(lines))
+    pairs = [(a, b) for i, a in enumerate(lines) for b in lines[:i] if dedup.is_near_copy(a, b) or dedup.is_near_copy(b, a)]
+    df = spark.createDataFrame([(x, x) for x in lines], "line_id string, line string").repartition(3)
+    links = [tuple(r) for r in dedup.near_copy_links(df, block_rows).collect()]
+    assert classes(lines, links) == classes(lines, pairs)
+    assert len(links) == len(set(links)) and set(links) <= {tuple(sorted(p)) for p in pairs}
