@@ -99,12 +99,24 @@ def _links(left: pa.Table, right: pa.Table, same: bool, least: float) -> pa.Tabl
             if x == y:
                 continue
             match = difflib.SequenceMatcher(None, forms[i], forms2[j], autojunk=False)
-            if match.quick_ratio() >= least and (match.ratio() >= least or match_back(forms2[j], forms[i], least)):
+            if 2 * common_letters(forms[i], forms2[j]) >= least * (len(forms[i]) + len(forms2[j])) - 1e-6 and (match.ratio() >= least or match_back(forms2[j], forms[i], least)):
                 root[max(x, y)] = min(x, y)
                 found.append((min(ids[i], ids2[j]), max(ids[i], ids2[j])))
     return pa.table({"left_id": pa.array([f[0] for f in found], pa.string()), "right_id": pa.array([f[1] for f in found], pa.string())})
 
 
+def common_letters(left: str, right: str) -> int:
+    """Length of the longest common subsequence, by bits; no ratio counts more."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(left):
+        places[c] = places.get(c, 0) | 1 << i
+    every = v = (1 << len(left)) - 1
+    for c in right:
+        u = v & places.get(c, 0)
+        v = (v + u | v - u) & every
+    return len(left) - v.bit_count()
+
+
 def match_back(left: str, right: str, least: float) -> bool:
     """The ratio depends on the order of the two."""
     return difflib.SequenceMatcher(None, left, right, autojunk=False).ratio() >= least
