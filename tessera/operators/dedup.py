@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -75,17 +76,17 @@ def _grams(forms: list[str], width: int = 2048) -> np.ndarray:
     return out
 
 
-def _links(left: pa.Table, right: pa.Table, same: bool, least: float) -> pa.Table:
+def _links(left: pa.Table, right: pa.Table, same: bool, least: float, kind: pa.DataType | None = None) -> pa.Table:
     """Near copies between two blocks, without those that others of the blocks already link."""
     (ids, forms, atoms), (ids2, forms2, atoms2) = ([t[c].to_pylist() for c in ("line_id", "form", "atoms")] for t in (left, right))
-    root: dict[str, str] = {}
+    root: dict = {}
 
-    def find(x: str) -> str:
+    def find(x):
         while root.get(x, x) != x:
             root[x] = x = root.get(root[x], root[x])
         return x
 
-    found: list[tuple[str, str]] = []
+    found: list[tuple] = []
     if ids and ids2:
         codes = {a: i for i, a in enumerate({*atoms, *atoms2})}
         kinds, kinds2 = (np.array([codes[a] for a in x]) for x in (atoms, atoms2))
@@ -102,7 +103,7 @@ def _links(left: pa.Table, right: pa.Table, same: bool, least: float) -> pa.Tabl
             if 2 * common_letters(forms[i], forms2[j]) >= least * (len(forms[i]) + len(forms2[j])) - 1e-6 and (match.ratio() >= least or match_back(forms2[j], forms[i], least)):
                 root[max(x, y)] = min(x, y)
                 found.append((min(ids[i], ids2[j]), max(ids[i], ids2[j])))
-    return pa.table({"left_id": pa.array([f[0] for f in found], pa.string()), "right_id": pa.array([f[1] for f in found], pa.string())})
+    return pa.table({c: pa.array([f[k] for f in found], kind or pa.string()) for k, c in enumerate(("left_id", "right_id"))})
 
 
 def common_letters(left: str, right: str) -> int:
@@ -155,6 +156,42 @@ def near_copy_links(lines: DataFrame, block_rows: int = 2000, least: float = 0.9
     return equal.unionByName(found)
 
 
+def near_copies_within(docs: DataFrame, id_col: str, text_col: str, block_rows: int = 1000, least: float = 0.90) -> DataFrame:
+    """``doc_id, left_line, right_line``: links whose classes are those of all near copies among the lines of a text.
+
+    Candidates share a subject, which here is the text, as near copies of facts are looked for among facts of one
+    subject. Lines are numbered from 0; each different line is named by its first number. A text's lines are compared
+    in blocks of ``block_rows``, so memory is bounded, and nothing is shuffled. Null and empty texts have no links.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                first: dict[str, int] = {}
+                for i, line in enumerate((text or "").split("\n")):
+                    first.setdefault(line, i)
+                kept: dict[tuple[str, str], int] = {}
+                links = []
+                for line, i in first.items():
+                    key = near_copy_form(line), "\x1f".join(_ATOMS.findall(line.casefold()))
+                    if key[0] and kept.setdefault(key, i) != i:
+                        links.append((kept[key], i))
+                rows = sorted((len(form), i, form, atoms) for (form, atoms), i in kept.items() if form)
+                blocks = [rows[k : k + block_rows] for k in range(0, len(rows), block_rows)]
+                tables = [pa.table({"line_id": [r[1] for r in b], "form": [r[2] for r in b], "atoms": [r[3] for r in b]}) for b in blocks]
+                for x, left in enumerate(blocks):
+                    for y in range(x, len(blocks)):
+                        if 2 * left[-1][0] >= least * (left[-1][0] + blocks[y][0][0]) - 1e-3:
+                            found = _links(tables[x], tables[y], x == y, least, pa.int64())
+                            links += zip(found["left_id"].to_pylist(), found["right_id"].to_pylist(), strict=True)
+                if links:
+                    ids = batch.column(0).take(pa.array([at] * len(links)))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array([e[k] for e in links], pa.int64()) for k in (0, 1))], names=["doc_id", "left_line", "right_line"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(compare, f"doc_id {kind}, left_line long, right_line long")
+
+
 def resolve(same_value: Column, same_time: Column, newer: Column, exclusive: Column) -> Column:
     """What a new fact is to an existing one of its conflict key."""
     return F.when(same_value, "entails").when(~exclusive, "compatible").when(newer, "state_change").when(same_time, "contradicts").otherwise("uncertain")

@@ -33,14 +33,16 @@ def asked_postings(docs: DataFrame, doc_id: str, text: Column, asked: DataFrame)
 def bm25(docs: DataFrame, doc_id: str, text: Column, asked: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``query_id, doc_id, score, hits`` for each document with a term of the query.
 
-    ``asked`` has a row per query and different term; the corpus's size is one row and goes along by broadcast.
+    ``asked`` has a row per query and different term; the corpus's size is one row and goes along by broadcast. A
+    posting is weighed once, whatever asks for it. Postings are dealt by document, so that where the queries' terms are
+    few enough to be broadcast, scores add up where they are.
     """
     wanted = asked_postings(docs, doc_id, text, asked)
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_terms") / F.col("mean_terms")))
-    rows = asked.join(df, "term").join(wanted, "term").join(F.broadcast(corpus_size(docs, text)), F.lit(True))
-    return rows.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"), F.count("*").alias("hits"))
+    weighed = wanted.join(df, "term").join(F.broadcast(corpus_size(docs, text)), F.lit(True)).select("doc_id", "term", weight.alias("weight")).repartition("doc_id")
+    return asked.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"), F.count("*").alias("hits"))
 
 
 def top(scored: DataFrame, k: int, by: list[Column], per: tuple[str, ...] = ("query_id",)) -> DataFrame:

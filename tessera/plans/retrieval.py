@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions.vector import cosine
 from tessera.operators import fusion, retrieval
-from tessera.plans.registry import ORACLE_SQL, QUERIES, query
+from tessera.plans.registry import query
 from tessera.sources.scratch import stored
 from tessera.sources.tables import table
 
@@ -19,7 +17,7 @@ TERMS = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\
 INDEX = f"""with w as (select doc_id, {TERMS.format('text')} as words from documents),
 post as (select doc_id, len(words) as doc_terms, term, count(*) as tf from (select doc_id, words, unnest(words) as term from w) group by all),
 size as (select count(*) as n, avg(len(words)) as mean_terms from w where len(words) > 0),
-asked as (select item_id as query_id, term from (select item_id, unnest({TERMS.format('text')}[1:8]) as term from benchmark) group by all),
+asked as (select item_id as query_id, term from (select item_id, unnest({TERMS.format('text')}) as term from benchmark) group by all),
 df as (select term, count(*) as df from post group by term),
 bm as (select query_id, doc_id, count(*) as hits, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_terms / mean_terms))) as raw
   from asked join post using (term) join df using (term), size group by all),
@@ -27,41 +25,36 @@ bm25 as (select query_id, doc_id, hits, round(raw, 6) as score from bm)
 """
 
 
-#: Terms of a query text that the SQL of INDEX reads; the queries named _whole read all of them.
-FIRST = 8
-
+def asked(spark, d):
+    """The different terms of each benchmark item."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(X.terms(F.col("text"))).alias("term")).distinct()
 
-def asked(spark, d, first=FIRST):
-    """The different terms of each benchmark item: all, or those among its first few."""
-    terms = X.terms(F.col("text"))
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(terms, 1, first) if first else terms).alias("term")).distinct()
 
-
-def needed(spark, d, first=FIRST):
-    return asked(spark, d, first).groupBy("query_id").agg(F.count("*").alias("k"))
+def needed(spark, d):
+    return asked(spark, d).groupBy("query_id").agg(F.count("*").alias("k"))
 
 
 def index(spark, d):
     return retrieval.postings(table(spark, d, "documents"), "doc_id", F.col("text"))
 
 
-def bm25(spark, d, first=FIRST):
-    return retrieval.bm25(table(spark, d, "documents"), "doc_id", F.col("text"), asked(spark, d, first)).withColumn("score", F.round("score", 6))
+def bm25(spark, d):
+    return retrieval.bm25(table(spark, d, "documents"), "doc_id", F.col("text"), asked(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query("i06_bm25_or", INDEX + "select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from bm25) where rank <= 10")
-def bm25_or(spark, d, first=FIRST):
-    return retrieval.top(bm25(spark, d, first), 10, [F.col("score").desc(), F.col("doc_id")]).select("query_id", "doc_id", "score", "rank")
+def bm25_or(spark, d):
+    return retrieval.top(bm25(spark, d), 10, [F.col("score").desc(), F.col("doc_id")]).select("query_id", "doc_id", "score", "rank")
 
 
 @query("i06_bm25_and", INDEX + ", need as (select query_id, count(*) as k from asked group by 1) select query_id, doc_id, score from bm25 join need using (query_id) where hits = k")
-def bm25_and(spark, d, first=FIRST):
-    return bm25(spark, d, first).join(needed(spark, d, first), "query_id").where("hits = k").select("query_id", "doc_id", "score")
+def bm25_and(spark, d):
+    return bm25(spark, d).join(needed(spark, d), "query_id").where("hits = k").select("query_id", "doc_id", "score")
 
 
 @query("i13_coverage", INDEX + ", need as (select query_id, count(*) as k from asked group by 1) select query_id, count(*) as docs, round(max(hits / k::double), 6) as best from bm25 join need using (query_id) group by 1")
-def coverage(spark, d, first=FIRST):
-    return bm25(spark, d, first).join(needed(spark, d, first), "query_id").groupBy("query_id").agg(F.count("*").alias("docs"), F.round(F.max(F.col("hits") / F.col("k")), 6).alias("best"))
+def coverage(spark, d):
+    return bm25(spark, d).join(needed(spark, d), "query_id").groupBy("query_id").agg(F.count("*").alias("docs"), F.round(F.max(F.col("hits") / F.col("k")), 6).alias("best"))
 
 
 @query("c01_postings_join", INDEX + "select lang, count(*) as postings, sum(tf)::bigint as occurrences from post join documents using (doc_id) group by lang")
@@ -148,28 +141,28 @@ ranked as (select *, row_number() over (partition by query_id order by rrf desc,
 """
 
 
-def channels(spark, d, lexical=None, first=FIRST):
+def channels(spark, d, lexical=None):
     docs = table(spark, d, "documents")
-    lexical = retrieval.top(lexical or bm25(spark, d, first), 50, [F.col("score").desc(), F.col("doc_id")]).select("query_id", F.lit("lexical").alias("channel"), "doc_id", "rank", F.lit(1.0).alias("weight"))
+    lexical = retrieval.top(lexical or bm25(spark, d), 50, [F.col("score").desc(), F.col("doc_id")]).select("query_id", F.lit("lexical").alias("channel"), "doc_id", "rank", F.lit(1.0).alias("weight"))
     lang = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("item_id") % 4 + 1).cast("int"))
     longest = retrieval.top(docs.select("doc_id", "lang", "n_chars"), 50, [F.col("n_chars").desc(), F.col("doc_id")], ("lang",))
     second = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), lang.alias("lang")).join(longest, "lang").select("query_id", F.lit("language").alias("channel"), "doc_id", "rank", F.lit(0.6).alias("weight"))
     return lexical.unionByName(second)
 
 
-def fused(spark, d, k=10, lexical=None, first=FIRST):
-    found = fusion.rrf(channels(spark, d, lexical, first)).withColumn("rrf", F.round("rrf", 8))
+def fused(spark, d, k=10, lexical=None):
+    found = fusion.rrf(channels(spark, d, lexical)).withColumn("rrf", F.round("rrf", 8))
     return retrieval.top(found, k, [F.col("rrf").desc(), F.col("doc_id")])
 
 
 @query("e01_channel_rank", FUSED + "select query_id, channel, doc_id, rank from ch")
-def channel_rank(spark, d, first=FIRST):
-    return channels(spark, d, first=first).select("query_id", "channel", "doc_id", "rank")
+def channel_rank(spark, d):
+    return channels(spark, d).select("query_id", "channel", "doc_id", "rank")
 
 
 @query("k01_rrf", FUSED + "select query_id, doc_id, rrf, channels, rank from ranked where rank <= 10")
-def rrf(spark, d, first=FIRST):
-    return fused(spark, d, first=first).select("query_id", "doc_id", "rrf", "channels", "rank")
+def rrf(spark, d):
+    return fused(spark, d).select("query_id", "doc_id", "rrf", "channels", "rank")
 
 
 SCORED = FUSED + """, feat as (select r.query_id, r.doc_id, r.rank, r.rrf, r.channels, least(1.0, r.rrf / (1.6 / 61)) as semantic, 1.0 / (1.0 + d.n_chars / 3000.0) as recency,
@@ -179,66 +172,66 @@ pre as (select *, round(0.65 * semantic + 0.08 * recency + 0.07 * access + 0.075
 """
 
 
-def features(spark, d, lexical=None, first=FIRST):
-    rows = fused(spark, d, lexical=lexical, first=first).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+def features(spark, d, lexical=None):
+    rows = fused(spark, d, lexical=lexical).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").join(table(spark, d, "labels"), "doc_id", "left")
     most = F.max("n_chars").over(Window.partitionBy("query_id"))
     return rows.withColumns({"semantic": F.least(F.lit(1.0), F.col("rrf") / (1.6 / 61)), "recency": 1.0 / (1.0 + F.col("n_chars") / 3000.0), "confidence": F.coalesce(F.col("quality").cast("double"), F.lit(0.5)), "utility": 1 - F.coalesce(F.col("toxic").cast("double"), F.lit(0.0)), "importance": F.lit(0.5), "access": F.log(1 + F.col("n_chars")) / F.log(1 + most)})
 
 
-def scored(spark, d, lexical=None, first=FIRST):
-    return features(spark, d, lexical, first).withColumn("score", F.round(fusion.pre_score(), 6))
+def scored(spark, d, lexical=None):
+    return features(spark, d, lexical).withColumn("score", F.round(fusion.pre_score(), 6))
 
 
 @query("k05_pre_score", SCORED + "select query_id, doc_id, score from pre")
-def pre_score(spark, d, first=FIRST):
-    return scored(spark, d, first=first).select("query_id", "doc_id", "score")
+def pre_score(spark, d):
+    return scored(spark, d).select("query_id", "doc_id", "score")
 
 
-RERANK = SCORED + """, rr as (select p.*, coalesce(hits, 0) / 8.0 as rerank from pre p left join bm25 b using (query_id, doc_id)),
+RERANK = SCORED + """, rr as (select p.*, coalesce(hits, 0) / greatest(1, (select count(*) from asked a where a.query_id = p.query_id))::double as rerank from pre p left join bm25 b using (query_id, doc_id)),
 bl as (select query_id, doc_id, rerank, round(0.8 * least(1, rerank) + 0.2 * (0.08 * recency + 0.07 * access + 0.075 * confidence + 0.075 * 0.5 + 0.05 * (1 - toxic)) / 0.35, 6) as score from rr),
 bl_ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) as place from bl)
 """
 
 
-def reranked(spark, d, first=FIRST):
-    """Blended with the share of the query's terms that a document has: of ``first``, or else of the query's own number."""
-    lexical = stored(bm25(spark, d, first), "bm25")
+def reranked(spark, d):
+    """Blended with the share of the query's different terms that a document has."""
+    lexical = stored(bm25(spark, d), "bm25")
     hits = lexical.select("query_id", "doc_id", "hits")
     rows = scored(spark, d, lexical).drop("score", "rank").join(hits, ["query_id", "doc_id"], "left")
-    most = F.lit(float(first)) if first else F.coalesce(F.col("k"), F.lit(1)).cast("double")
-    rows = (rows if first else rows.join(needed(spark, d, first), "query_id", "left")).withColumn("rerank", F.coalesce(F.col("hits"), F.lit(0)) / most)
+    share = F.coalesce(F.col("hits"), F.lit(0)) / F.coalesce(F.col("k"), F.lit(1)).cast("double")
+    rows = rows.join(needed(spark, d), "query_id", "left").withColumn("rerank", share)
     rows = rows.withColumn("score", F.round(fusion.blend(F.col("rerank"), {k: F.col(k) for k in fusion.WEIGHTS}), 6))
     return retrieval.top(rows, 10, [F.col("score").desc(), F.col("doc_id")])
 
 
 @query("k10_rerank_blend", RERANK + "select query_id, doc_id, score from bl")
-def rerank_blend(spark, d, first=FIRST):
-    return reranked(spark, d, first).select("query_id", "doc_id", "score")
+def rerank_blend(spark, d):
+    return reranked(spark, d).select("query_id", "doc_id", "score")
 
 
 DROP = RERANK + ", dr as (select query_id, doc_id, place, score, rerank, coalesce(greatest(0, (lag(score) over w - score) / greatest(abs(lag(score) over w), 1e-12)), 0) as fall from bl_ranked window w as (partition by query_id order by place))"
 
 
 @query("e02_relative_drop", DROP + " select query_id, doc_id, place as rank, round(fall, 4) as fall from dr")
-def relative_drop(spark, d, first=FIRST):
-    return fusion.relative_drop(reranked(spark, d, first)).select("query_id", "doc_id", "rank", F.round("drop", 4).alias("fall"))
+def relative_drop(spark, d):
+    return fusion.relative_drop(reranked(spark, d)).select("query_id", "doc_id", "rank", F.round("drop", 4).alias("fall"))
 
 
 @query("e03_prefix_cut", DROP + ", f as (select *, max(case when place > 1 and fall > 0.2 then 1 else 0 end) over (partition by query_id order by place rows unbounded preceding) as bad from dr) select query_id, doc_id, place as rank from f where bad = 0")
-def prefix_cut(spark, d, first=FIRST):
-    return fusion.prefix_cut(fusion.relative_drop(reranked(spark, d, first)), F.col("drop") > 0.2).select("query_id", "doc_id", "rank")
+def prefix_cut(spark, d):
+    return fusion.prefix_cut(fusion.relative_drop(reranked(spark, d)), F.col("drop") > 0.2).select("query_id", "doc_id", "rank")
 
 
 @query("k13_relevance", RERANK + "select query_id, doc_id, case when (channels >= 2 and rerank >= 0.5) or (rerank > 0 and rerank >= 0.5) then 'relevant' when rerank >= 0.45 then 'borderline' else 'irrelevant' end as verdict from rr")
-def relevance(spark, d, first=FIRST):
+def relevance(spark, d):
     verdict = fusion.relevance(F.col("rerank") > 0, F.col("rerank"), F.col("channels"), 0.5)
-    return reranked(spark, d, first).select("query_id", "doc_id", verdict.alias("verdict"))
+    return reranked(spark, d).select("query_id", "doc_id", verdict.alias("verdict"))
 
 
 @query("k14_answerability", RERANK + """select query_id, case when max(case when place = 1 then rerank end) > 0.3 and (count(*) = 1 or max(case when place = 1 then score end) - max(case when place = 2 then score end) > 0.05) then 'supported' else 'low_confidence' end as verdict from bl_ranked group by 1""")
-def answerability(spark, d, first=FIRST):
+def answerability(spark, d):
     at = lambda c, r: F.max(F.when(F.col("rank") == r, F.col(c)))
-    rows = reranked(spark, d, first).groupBy("query_id").agg(at("rerank", 1).alias("dense"), (at("score", 1) - at("score", 2)).alias("gap"), F.count("*").alias("k"))
+    rows = reranked(spark, d).groupBy("query_id").agg(at("rerank", 1).alias("dense"), (at("score", 1) - at("score", 2)).alias("gap"), F.count("*").alias("k"))
     return rows.select("query_id", fusion.answerability(F.lit(False), F.col("dense"), F.col("gap"), F.col("k")).alias("verdict"))
 
 
@@ -250,8 +243,8 @@ fold as (select query_id, rank, case when tokens <= 3000 then tokens else 0 end
 
 
 @query("e04_budget_pack", PACK.replace("with w as", "with recursive w as", 1) + "select query_id, used, taken from (select *, row_number() over (partition by query_id order by rank desc) as r from fold) where r = 1")
-def budget_pack(spark, d, first=FIRST):
-    items = fused(spark, d, first=first).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("tokens", F.greatest(F.lit(1), F.floor((F.col("n_chars") + 1) / 2)))
+def budget_pack(spark, d):
+    items = fused(spark, d).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("tokens", F.greatest(F.lit(1), F.floor((F.col("n_chars") + 1) / 2)))
     return fusion.pack(items, 3000).select("query_id", "used", F.array_join("taken", ",").alias("taken"))
 
 
@@ -321,10 +314,10 @@ FOLD = FUSED + ", s as (select query_id, rank, doc_id, sha256(coalesce(text, '')
 
 
 @query("k11_fold", FOLD + " select query_id, min(rank) as rank, min_by(doc_id, rank) as doc_id, count(*) - 1 as folded, string_agg(doc_id::varchar, ',' order by rank) as members from s group by query_id, sha")
-def fold(spark, d, first=FIRST):
+def fold(spark, d):
     """Results of one text fold into the first of them, which lists the others."""
     text = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    rows = fused(spark, d, first=first).join(text, "doc_id")
+    rows = fused(spark, d).join(text, "doc_id")
     members = F.sort_array(F.collect_list(F.struct("rank", "doc_id")))
     folded = rows.groupBy("query_id", "sha").agg(members.alias("m"))
     ids = F.array_join(F.transform("m", lambda x: x["doc_id"].cast("string")), ",")
@@ -332,9 +325,9 @@ def fold(spark, d, first=FIRST):
 
 
 @query("k27_assemble", FUSED + "select r.query_id, r.rank, r.doc_id, d.source, coalesce(l.quality, -1)::int as quality, count(b.item_id) as rivals from ranked r join documents d using (doc_id) left join labels l using (doc_id) left join (select query_id as item_id, doc_id from ranked where rank <= 10) b on b.doc_id = r.doc_id and b.item_id <> r.query_id where r.rank <= 10 group by all")
-def assemble(spark, d, first=FIRST):
+def assemble(spark, d):
     """Results with their source and label, and in how many other queries' results each is."""
-    rows = stored(fused(spark, d, first=first).select("query_id", "rank", "doc_id"), "fused")
+    rows = stored(fused(spark, d).select("query_id", "rank", "doc_id"), "fused")
     shared = rows.groupBy("doc_id").agg((F.count("*") - 1).alias("rivals"))
     docs = table(spark, d, "documents").select("doc_id", "source")
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -358,8 +351,3 @@ def fused_ranks(spark, d):
     first = rows.select("query_id", F.lit("dense").alias("channel"), F.col("vec_id").alias("doc_id"), "rank", F.lit(0.7).alias("weight"))
     return fusion.rrf(first.unionByName(second)).select("query_id", F.col("doc_id").alias("vec_id"), F.round("rrf", 8).alias("fused"))
 
-
-#: What needs a query's text reads all of it under these names. The SQL is the same but for the cut and the share's base.
-for _name in ("i06_bm25_or", "i06_bm25_and", "i13_coverage", "e01_channel_rank", "k01_rrf", "k05_pre_score", "k10_rerank_blend", "k11_fold", "k13_relevance", "k14_answerability", "k27_assemble", "e02_relative_drop", "e03_prefix_cut", "e04_budget_pack"):
-    _sql = ORACLE_SQL[_name].replace(f"[1:{FIRST}]", "").replace(f"/ {FIRST}.0 as", "/ greatest(1, (select count(*) from asked a where a.query_id = p.query_id))::double as")
-    query(f"{_name}_whole", _sql)(partial(QUERIES[_name], first=None))

@@ -13,15 +13,14 @@ WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "tru
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one that this process sets, on one machine only."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where:
         return where.rstrip("/")
-    found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -40,4 +39,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned, once nothing will read them again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -23,19 +23,19 @@ def texts(spark, tmp_path_factory):
 
 def test_queries_read_their_whole_text(spark, texts):
     run = lambda name: catalogue.QUERIES[name](spark, texts).collect()
-    assert {r.doc_id for r in run("i06_bm25_and_whole")} == {1}
-    assert {r.doc_id for r in run("i06_bm25_or_whole")} == {1, 2, 3}
-    assert [(r.docs, r.best) for r in run("i13_coverage_whole")] == [(3, 1.0)]
-    assert {r.doc_id for r in run("e01_channel_rank_whole") if r.channel == "lexical"} == {1, 2, 3}
+    assert {r.doc_id for r in run("i06_bm25_and")} == {1}
+    assert {r.doc_id for r in run("i06_bm25_or")} == {1, 2, 3}
+    assert [(r.docs, r.best) for r in run("i13_coverage")] == [(3, 1.0)]
+    assert {r.doc_id for r in run("e01_channel_rank") if r.channel == "lexical"} == {1, 2, 3}
     # 8 of 10 terms are relevant in two channels, 1 of 10 is not, and none is more than all.
-    assert {r.doc_id: r.verdict for r in run("k13_relevance_whole")} == {1: "relevant", 2: "relevant", 3: "irrelevant", 4: "irrelevant"}
+    assert {r.doc_id: r.verdict for r in run("k13_relevance")} == {1: "relevant", 2: "relevant", 3: "irrelevant", 4: "irrelevant"}
 
 
 def test_tags_count_every_document(spark, tmp_path):
     docs = [(i, lang, f"src{i % 3}") for i, lang in enumerate(["es", "es", "es", "de", None, "es"])]
     spark.createDataFrame(docs, "doc_id long, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1,), (22,)], "item_id long").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = sorted((r.item_id, r.tag, r.n) for r in catalogue.QUERIES["c11_tag_overlap_whole"](spark, str(tmp_path)).collect())
+    got = sorted((r.item_id, r.tag, r.n) for r in catalogue.QUERIES["c11_tag_overlap"](spark, str(tmp_path)).collect())
     assert got == [(1, "es", 4), (1, "src1", 2), (22, "es", 4), (22, "src2", 2)]
 
 
@@ -67,3 +67,27 @@ def test_near_copies_are_those_of_brute_force(spark, block_rows):
     links = [tuple(r) for r in dedup.near_copy_links(df, block_rows).collect()]
     assert classes(lines, links) == classes(lines, pairs)
     assert len(links) == len(set(links)) and set(links) <= {tuple(sorted(p)) for p in pairs}
+
+
+@pytest.mark.parametrize("block_rows", [1000, 3])
+def test_near_copies_within_a_text(spark, block_rows):
+    rng = random.Random(8)
+    words = "service port runs slow node cache disk the a user theme dark light model uses often never 80 443".split()
+    docs = [(1, None), (2, ""), (3, "one line"), (None, "a b\nA  b.\n\n\n--"), (3, "one line")]
+    for i in range(6):
+        lines = []
+        for _ in range(8):
+            line = " ".join(rng.choice(words) for _ in range(rng.randrange(2, 30)))
+            lines += [line, line.upper(), line, line + " end", "x" + line[1:], "".join(c if rng.random() > 0.06 else rng.choice("klmn") for c in line)]
+        docs.append((10 + i, "\n".join(lines)))
+    want = {}
+    for i, text in docs:
+        lines = (text or "").split("\n")
+        firsts = [k for k, x in enumerate(lines) if lines.index(x) == k and dedup.near_copy_form(x)]
+        pairs = [(a, b) for a in firsts for b in firsts if a < b and (dedup.is_near_copy(lines[a], lines[b]) or dedup.is_near_copy(lines[b], lines[a]))]
+        want[i] = firsts, classes(firsts, pairs)
+    found = {i: [] for i in want}
+    for r in dedup.near_copies_within(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", block_rows).collect():
+        found[r.doc_id].append((r.left_line, r.right_line))
+    assert {i: classes(firsts, found[i]) for i, (firsts, _) in want.items()} == {i: c for i, (_, c) in want.items()}
+    assert len(found[10]) > 20
