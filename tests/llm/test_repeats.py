@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -34,14 +35,30 @@ def result(df):
     return sorted((r.doc_id, r.n_bytes, r.n_removed, r.k, r.sha) for r in df.select("*", F.size("spans").alias("k"), F.sha2("kept", 256).alias("sha")).collect())
 
 
-@pytest.mark.parametrize(("window", "group"), [(200, repeats.GROUP), (200, 1), (60, repeats.GROUP)])
-def test_same_as_brute_force(spark, window, group):
+@pytest.mark.parametrize("window", [200, 60, 24])
+def test_same_as_brute_force(spark, window):
     docs = cases.documents()
-    got = result(repeats.dedup(cases.table(spark, docs), window, group))
+    got = result(repeats.dedup(cases.table(spark, docs), window))
     assert got == brute(docs, window)
     assert any(r[2] for r in got) and any(not r[2] for r in got)
 
 
+def morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("window", [200, 60])
+def test_periodic_and_thue_morse_texts(spark, window):
+    """Runs without end, words that a polynomial hash takes for equal, and passages whose edges differ in every text."""
+    rng = random.Random(2)
+    passage = cases.prose(rng, 60)
+    texts = ["ab" * 700, "ab" * 650 + "a", "abc" * 400 + "z" + "abc" * 300, morse(1024), morse(1024, "b", "a"), "x" + morse(1024) + "y", "z" * 2000, "".join(rng.choice("ab") for _ in range(3000))]
+    texts += [cases.prose(rng, rng.randrange(40)) + passage[k % 7 :] + cases.prose(rng, rng.randrange(40)) for k in range(60)]
+    texts += [passage[k : k + window + rng.randrange(20)] + str(k) for k in range(0, 120, 5)]
+    docs = [(i, t, *cases.documents()[0][2:]) for i, t in enumerate(texts)]
+    assert result(repeats.dedup(cases.table(spark, docs), window)) == brute(docs, window)
+
+
 def test_long_texts_go_in_pieces(spark):
     docs = [r for r in cases.documents() if r[1] and len(r[1]) > 900]
     df = cases.table(spark, docs).select("doc_id", F.xxhash64("text").alias("text_id"), "text")
