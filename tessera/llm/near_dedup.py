@@ -20,8 +20,8 @@ REGISTERS = 1 << BITS
 MANTISSA = 10
 EMPTY = 0xFFFF
 _U = np.uint64
-#: Rows of a bucket, and shingles of a cluster, that one task compares at a time.
-BUCKET_ROWS, CLUSTER_SHINGLES = 4096, 2_000_000
+#: What one task compares at a time: rows of a bucket, and shingles of a cluster, where a row counts as ROW more.
+BUCKET_ROWS, CLUSTER_SHINGLES, ROW = 512, 100_000, 100
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -55,19 +55,23 @@ def plausible(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
     return found >= s - 6 * np.sqrt(s * (1 - s) / np.maximum(n, 1)) - 1 / np.maximum(n, 1)
 
 
-def forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """Spanning trees as (root, members): every row is compared with all rows that are not yet in a tree."""
-    rest = np.arange(n)
+def forest(tree: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Edges (row, others) that join the rows of each component of the link graph.
+
+    Rows of one ``tree`` are joined already. Every row is compared with all rows that are not yet joined to it.
+    """
+    rest = np.arange(len(tree))
     while len(rest) > 1:
-        root, rest = int(rest[0]), rest[1:]
-        front = [root]
+        own = tree[rest] == tree[rest[0]]
+        front, rest = rest[own].tolist(), rest[~own]
         while front and len(rest):
-            hit = linked(front.pop(), rest)
+            i = front.pop()
+            hit = linked(i, rest)
             if hit.any():
-                found = rest[hit]
-                front += found.tolist()
-                rest = rest[~hit]
-                yield root, found
+                yield i, rest[hit]
+                met = np.isin(tree[rest], tree[rest[hit]])
+                front += rest[met].tolist()
+                rest = rest[~met]
 
 
 def by_group(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table, np.ndarray], list[tuple[bytes, bytes]]], most: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -93,57 +97,57 @@ def by_group(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table, np.nda
         yield done(whole)
 
 
+def _codes(names: pa.ChunkedArray) -> np.ndarray:
+    return names.combine_chunks().dictionary_encode().indices.to_numpy()
+
+
 def bucket_links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows ``bucket, fp, bands``: trees over the rows of each bucket whose registers allow a link."""
+    """Rows ``part, fp, tree, bands``: edges between trees of each part whose registers allow a link."""
 
     def work(part: pa.Table, at: np.ndarray) -> list[tuple[bytes, bytes]]:
-        fps = part["fp"].to_pylist()
+        fps, tree = part["fp"].to_pylist(), _codes(part["tree"])
         regs = part["bands"].combine_chunks().flatten().to_numpy().view(np.uint16).reshape(-1, REGISTERS)
-        size = np.diff(at)
-        first = np.repeat(at[:-1], size)
-        star = plausible(regs[first], regs, percent)
-        edges = [(fps[f], fps[i]) for i, f in zip(np.flatnonzero(star).tolist(), first[star].tolist(), strict=True) if i != f]
-        loose = np.add.reduceat(~star, at[:-1]) if len(regs) else size
-        for g in np.flatnonzero((loose > 0) & (size > 2)):
-            own = regs[at[g] : at[g + 1]]
-            for root, found in forest(len(own), lambda i, rest, own=own: plausible(own[i], own[rest], percent)):
-                edges += [(fps[at[g] + root], fps[at[g] + j]) for j in found.tolist()]
+        edges = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            own = regs[a:b]
+            for root, found in forest(tree[a:b], lambda i, rest, own=own: plausible(own[i], own[rest], percent)):
+                edges += [(fps[a + root], fps[a + j]) for j in found.tolist()]
         return edges
 
     return lambda batches: by_group(batches, work)
 
 
 def cluster_links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows ``cluster, fp, shingles``: trees over the rows of each cluster that are linked by their full sets."""
+    """Rows ``part, fp, tree, shingles``: edges between trees of each part that are linked by their full sets."""
 
     def work(part: pa.Table, at: np.ndarray) -> list[tuple[bytes, bytes]]:
-        fps = part["fp"].to_pylist()
-        sets = [np.frombuffer(s, np.uint64) for s in part["shingles"].to_pylist()]
+        fps, tree = part["fp"].to_pylist(), _codes(part["tree"])
+        sets = [np.frombuffer(s, np.uint64).reshape(2, -1) for s in part["shingles"].to_pylist()]
         edges = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             own = sets[a:b]
-            lens = np.array([len(s) for s in own])
+            lens = np.array([s.shape[1] for s in own])
 
             def linked(i: int, rest: np.ndarray, own: list[np.ndarray] = own, lens: np.ndarray = lens) -> np.ndarray:
-                u, n = own[i], lens[rest]
-                near = np.flatnonzero(100 * np.minimum(n, len(u)) >= percent * np.maximum(n, len(u)))
+                u, n, size = own[i], lens[rest], int(lens[i])
+                near = np.flatnonzero(100 * np.minimum(n, size) >= percent * np.maximum(n, size))
                 hit = np.zeros(len(rest), bool)
                 if len(near):
-                    flat = np.concatenate([own[j] for j in rest[near]])
-                    both = u[np.minimum(np.searchsorted(u, flat), len(u) - 1)] == flat
+                    flat = np.concatenate([own[j] for j in rest[near]], axis=1)
+                    both = (u[:, np.minimum(np.searchsorted(u[0], flat[0]), size - 1)] == flat).all(axis=0)
                     common = np.add.reduceat(both, np.concatenate([[0], np.cumsum(n[near])[:-1]]), dtype=np.int64)
-                    hit[near] = 100 * common >= percent * (n[near] + len(u) - common)
+                    hit[near] = 100 * common >= percent * (n[near] + size - common)
                 return hit
 
-            for root, found in forest(b - a, linked):
+            for root, found in forest(tree[a:b], linked):
                 edges += [(fps[a + root], fps[a + j]) for j in found.tolist()]
         return edges
 
     return lambda batches: by_group(batches, work, 500)
 
 
-def _fingerprint(hashes: np.ndarray) -> bytes:
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+def _fingerprint(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -155,7 +159,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
             for s in shingle_sets(batch.column(2), width):
                 n.append(len(s))
                 fps.append(_fingerprint(s))
-                regs.append(registers(s))
+                regs.append(registers(s[:, 0]))
             flat = np.concatenate(regs).view(np.int64) if regs else np.zeros(0, np.int64)
             per = REGISTERS // BAND
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * per), pa.array(flat))
@@ -171,16 +175,70 @@ def full_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 sets = list(shingle_sets(batch.slice(first, 500).column(0), width))
-                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([s.T.tobytes() for s in sets], pa.binary())], names=["fp", "shingles"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(compute, "fp binary, shingles binary")
 
 
-def _paired(rows: DataFrame, group: str, key: str, blocks: str, same: str) -> DataFrame:
-    """Split groups of several blocks into pairs of blocks: a row goes to each pair with its own block."""
-    own = F.pmod(F.xxhash64(F.col(same), F.lit(1)), F.col(blocks))
-    pairs = F.when(F.col(blocks) == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int")), lambda j: (F.least(own, j) * F.col(blocks) + F.greatest(own, j)).cast("int")))
-    return rows.withColumn("pair", F.explode(pairs)).withColumn(key, F.xxhash64(F.col(group), F.col("pair")))
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _compared(dealt: DataFrame, payload: DataFrame, work: Work) -> DataFrame:
+    """Edges that ``work`` finds between trees of one part; ``dealt`` has ``part, fp, tree``, ``payload`` a row for each fp."""
+    rows = dealt.join(payload, "fp").select("part", "fp", "tree", *(c for c in payload.columns if c != "fp"))
+    return rows.repartition("part").sortWithinPartitions("part", "fp").mapInArrow(work, "a binary, b binary")
+
+
+def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``fp, tree`` with trees that ``edges`` (between rows) connect made one."""
+    of = labels.select(F.col("fp").alias("a"), F.col("tree").alias("ta")), labels.select(F.col("fp").alias("b"), F.col("tree").alias("tb"))
+    tops = components(edges.join(of[0], "a").join(of[1], "b").select("ta", "tb"), "ta", "tb").select(F.col("node").alias("tree"), "root")
+    return stored(labels.join(tops, "tree", "left").select("fp", F.coalesce("root", "tree").alias("tree")), "near-trees")
+
+
+def spanning(rows: DataFrame, payload: DataFrame, limit: int, work: Work) -> DataFrame:
+    """``fp, tree`` of every fp of ``rows`` (``group, fp, weight``): its component by links within groups.
+
+    Groups are cut at random into parts of about ``limit`` weight, each compared in full. Where a group had several
+    parts, one row of each tree found meets those of the other trees, which joins families of copies whatever their size.
+    Only where a group still has several trees are rows of different trees compared: all others with the heaviest, in
+    pairs of parts, and among each other. So no group is a task, no link is missed, and the work grows with the rows of a
+    family, not with their square.
+    """
+    sizes = rows.groupBy("group").agg(F.ceil(F.sum("weight") / limit).alias("parts"), F.count("*").alias("n")).where("n > 1").select("group", "parts")
+    own = stored(rows.join(sizes, "group"), "near-groups")
+    dealt = own.select(F.xxhash64("group", F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("part"), "fp", F.col("fp").alias("tree"))
+    edges = stored(_compared(dealt, payload, work), "near-edges")
+    labels = components(edges).select(F.col("node").alias("fp"), F.col("root").alias("tree"))
+    large = own.where("parts > 1").select("group", "fp", "weight")
+    if large.isEmpty():
+        return labels
+    labels = stored(large.select("fp").distinct().join(labels, "fp", "full").select("fp", F.coalesce("tree", "fp").alias("tree")), "near-trees")
+
+    trees = large.join(labels, "fp").groupBy("group", "tree").agg(F.min(F.struct("fp", "weight")).alias("one")).select("group", "tree", "one.*")
+    sizes = stored(trees.groupBy("group").agg(F.ceil(F.sum("weight") / limit).alias("parts"), F.count("*").alias("n")).where("n > 1").select("group", "parts"), "near-parts")
+    if sizes.isEmpty():
+        return labels
+    dealt = trees.join(sizes, "group").select(F.xxhash64("group", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")), F.lit(1)).alias("part"), "fp", "tree")
+    labels = _relabel(labels, stored(_compared(dealt, payload, work), "near-edges"))
+
+    rows = stored(large.join(labels, "fp"), "near-split")
+    trees = rows.groupBy("group", "tree").agg(F.sum("weight").alias("weight"))
+    trees = trees.groupBy("group").agg(F.max_by("tree", F.struct("weight", "tree")).alias("top"), F.max("weight").alias("most"), F.sum("weight").alias("every"), F.count("*").alias("n")).where("n > 1")
+    trees = trees.select("group", "top", F.ceil(F.col("most") / limit).alias("tops"), F.ceil((F.col("every") - F.col("most")) / limit).alias("others"))
+    trees = stored(trees, "near-parts")
+    if trees.isEmpty():
+        return labels
+    among = F.col("tops") * F.col("others")
+    place = F.pmod(F.xxhash64("fp", F.lit(2)), F.when(F.col("tree") == F.col("top"), F.col("tops")).otherwise(F.col("others")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    with_others = F.transform(upto("others"), lambda j: F.col("place") * F.col("others") + j)
+    with_top = F.transform(upto("tops"), lambda i: i * F.col("others") + F.col("place"))
+    each_other = F.transform(upto("others"), lambda j: among + F.least("place", j) * F.col("others") + F.greatest("place", j))
+    parts = F.when(F.col("tree") == F.col("top"), with_others).otherwise(F.concat(with_top, each_other))
+    dealt = rows.join(trees, "group").withColumn("place", place).select("group", "fp", "tree", F.explode(parts).alias("pair"))
+    dealt = dealt.select(F.xxhash64("group", "pair", F.lit(2)).alias("part"), "fp", "tree")
+    return _relabel(labels, stored(_compared(dealt, payload, work), "near-edges"))
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,32 +251,24 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
 
     Equal sets are one class, grouped before anything else, so exact copies cost a row each. Classes are banded by
     HyperMinHash registers. Inside a bucket, rows whose registers allow a link form trees, and the trees form
-    clusters; inside a cluster every row is held against every row of another tree on full sets. No step writes pairs:
-    a group of n rows gives at most n - 1 edges. Large groups are split into pairs of blocks, so memory is bounded
-    and their work is spread over tasks. The only chance of a missed link is in the bands and the six-sigma
-    bound. Null ids never are the smallest; a component without ids has a null ``component_id`` and its rows are
+    clusters; inside a cluster every row is held against every row of another tree on full sets, with 128 bits for each
+    shingle. No step writes pairs: trees have fewer edges than rows. Large groups are spread over tasks (``spanning``).
+    The only chance of a missed link is in the bands and the six-sigma bound. Null ids never are the smallest; a component without ids has a null ``component_id`` and its rows are
     kept. No rows, no result; other columns are not read.
     """
     signed = stored(signatures(docs, width, id_col, text_col), "near-signatures")
     classes = signed.where("n_shingles > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "text_id")).alias("row"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "near-classes")
 
-    banded = classes.select("fp", F.posexplode("bands").alias("band", "value")).where("value <> -1").select("fp", F.xxhash64("band", "value").alias("bucket"))
-    crowded = banded.groupBy("bucket").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BUCKET_ROWS)).drop("count")
-    members = _paired(banded.join(crowded, "bucket"), "bucket", "part", "blocks", "fp").select("part", "fp")
-    members = members.join(classes.select("fp", "bands"), "fp").select("part", "fp", "bands")
-    near = members.repartition("part").sortWithinPartitions("part", "fp").mapInArrow(bucket_links(percent), "a binary, b binary")
-    clusters = components(near).withColumnsRenamed({"node": "fp", "root": "cluster"})
+    banded = classes.select("fp", F.posexplode("bands").alias("band", "value")).where("value <> -1")
+    banded = banded.select(F.xxhash64("band", "value").alias("group"), "fp", F.lit(1).cast("long").alias("weight"))
+    clusters = spanning(banded, classes.select("fp", "bands"), BUCKET_ROWS, bucket_links(percent))
 
-    grouped = clusters.join(classes.select("fp", "n", "row"), "fp")
-    sizes = grouped.groupBy("cluster").agg(F.ceil(F.sum("n") / CLUSTER_SHINGLES).alias("blocks"))
-    grouped = stored(_paired(grouped.join(sizes, "cluster"), "cluster", "part", "blocks", "fp").select("part", "fp", "row"), "near-clusters")
+    grouped = stored(clusters.join(classes.select("fp", "n", "row"), "fp").select(F.col("tree").alias("group"), "fp", (F.col("n") + ROW).alias("weight"), "row"), "near-clusters")
     rows = grouped.select(F.col("row.doc_id").alias("r_doc"), F.col("row.text_id").alias("r_text")).distinct()
     texts = docs.join(rows, docs[id_col].eqNullSafe(rows["r_doc"]) & (row_id(docs[text_col]) == rows["r_text"]), "left_semi")
-    sets = full_sets(texts, width, id_col, text_col).dropDuplicates(["fp"])
-    checked = grouped.select("part", "fp").join(sets, "fp").select("part", "fp", "shingles")
-    links = checked.repartition("part").sortWithinPartitions("part", "fp").mapInArrow(cluster_links(percent), "a binary, b binary")
-    roots = components(links).withColumnsRenamed({"node": "fp", "root": "top"})
+    sets = stored(full_sets(texts, width, id_col, text_col).dropDuplicates(["fp"]), "near-sets")
+    roots = spanning(grouped.select("group", "fp", "weight"), sets, CLUSTER_SHINGLES, cluster_links(percent)).withColumnRenamed("tree", "top")
 
     tops = classes.select("fp", "least").join(roots, "fp", "left").withColumn("top", F.coalesce("top", "fp"))
     ids = stored(tops.groupBy("top").agg(F.min("least").alias("component_id")).join(tops.select("fp", "top"), "top").select("fp", "component_id"), "near-components")

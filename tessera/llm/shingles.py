@@ -46,34 +46,44 @@ def prefix_hashes(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word, A-Z lower-cased, and the number of words before each row's end (with a leading 0)."""
+def word_digests(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each word, A-Z lower-cased, as two columns, and the number of words before each row's end (with a leading 0).
+
+    Words are told apart as they are, and each different one is digested once with a key, so no two words are built to
+    have the same bits.
+    """
     solid = ~_IS_SPACE[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[ends] = True
     first = solid & (edge[:-1] | ~np.concatenate([[False], solid[:-1]]))
     last = solid & (edge[1:] | ~np.concatenate([solid[1:], [False]]))
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    s = prefix_hashes(_LOWER[raw])
-    down = powers(len(raw) + 1)[1]
-    return mixed((s[b] - s[a]) * down[a] + (b - a).astype(np.uint64)), np.searchsorted(a, ends)
+    at = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(at), pa.py_buffer(_LOWER[raw[solid]])]).dictionary_encode()
+    digests = b"".join(hashlib.blake2b(w, digest_size=16, key=b"words").digest() for w in words.dictionary.to_pylist())
+    return np.frombuffer(digests, np.uint64).reshape(-1, 2)[words.indices.to_numpy()], np.searchsorted(a, ends)
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """Each row's sorted distinct shingle hashes. Fewer words than ``width`` make one shingle; no words, none."""
-    odd = np.array([(k * 2 + 1) * 0xD6E8FEB86659FD93 % (1 << 64) for k in range(width)], np.uint64)
+    """Each row's distinct shingles, in order of their first 64 bits: column 0 has those, column 1 has 64 more.
+
+    Fewer words than ``width`` make one shingle; no words, none.
+    """
+    odd = np.array([(k * 2 + 1) * 0xD6E8FEB86659FD93 % (1 << 64) for k in range(width)], np.uint64)[:, None]
     for first, end, raw, ends in text_slices(column):
-        words, upto = word_hashes(raw, ends)
+        words, upto = word_digests(raw, ends)
         n = len(words) - width + 1
-        rolled = np.zeros(max(n, 0), np.uint64)
-        for k in range(width):
-            rolled += words[k : n + k] * odd[k] if n > 0 else rolled
+        rolled = np.zeros((max(n, 0), 2), np.uint64)
+        for k in range(width if n > 0 else 0):
+            rolled += words[k : n + k] * odd[k]
         rolled = mixed(rolled)
         for r in range(end - first):
             a, b = int(upto[r]), int(upto[r + 1])
             if b - a >= width:
-                yield np.unique(rolled[a : b - width + 1])
+                own = rolled[a : b - width + 1]
+                own = own[np.argsort(own[:, 0], kind="stable")]
+                yield own[np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)])]
             elif b > a:
-                yield mixed((words[a:b] * odd[: b - a]).sum(keepdims=True) + _U(b - a))
+                yield mixed((words[a:b] * odd[: b - a]).sum(axis=0, keepdims=True) + _U(b - a))
             else:
-                yield np.zeros(0, np.uint64)
+                yield np.zeros((0, 2), np.uint64)

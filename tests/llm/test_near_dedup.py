@@ -59,6 +59,14 @@ def test_same_as_brute_force(spark, monkeypatch, blocks):
         assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows) == brute(docs, width, percent)
 
 
+def test_words_that_a_polynomial_takes_for_equal(spark):
+    """A Thue-Morse word and its complement are the same to any polynomial modulo a power of two."""
+    one, two = ("".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1024)) for k in (0, 1))
+    docs = [(1, f"x y {one} z", *cases.documents()[0][2:]), (2, f"x y {two} z", *cases.documents()[0][2:]), (3, one, *cases.documents()[0][2:]), (4, two, *cases.documents()[0][2:])]
+    rows = near_dedup.link(cases.table(spark, docs), 3, 85).collect()
+    assert all(r.kept for r in rows) and len(rows) == 4
+
+
 def test_empty_tables(spark):
     assert near_dedup.link(cases.empty(spark)).count() == 0
     bare = [r for r in cases.documents() if not (r[1] or "").strip()]
