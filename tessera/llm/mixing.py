@@ -35,16 +35,17 @@ def targets(sizes: DataFrame, weights: Column, share: float, most: float) -> Dat
     return ranked.select("source", "source_size", "target", F.sum("target").over(every).alias("budget"))
 
 
-def mix(docs: DataFrame, weights: Column, share: float = 1.5, repeats: int = 2, seed: str = "mix", whole: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixture: a row for each document and epoch, ``start`` null where the mixture does not take it.
+def mix(docs: DataFrame, weights: Column, share: float = 1.5, repeats: int = 2, seed: str = "mix", quantum: int | None = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mixture: a row for each document, epoch and piece of ``quantum`` words, ``start`` null where it is not taken.
 
     Columns: ``doc_id, text_id, source, part, n`` (a document is one ``source, part, n``), ``size, source_size, target,
-    epoch, finish, start, taken``. Each source's documents are shuffled by a hash and repeated up to ``repeats``
-    times. A document's virtual finish time is the source's words up to its end, divided by the source's target. All
-    are range-sorted by that time; ``start`` is the number of words before one in the whole mixture, which is cut at
-    the total budget. The last document of a source is cut to the words its target has left or, with ``whole``, taken
-    if at least half of it fits. ``weights`` is a column over ``place``, a source's position by code point, null last.
-    Shuffling depends on the ids and texts only, so reruns agree.
+    epoch, piece, finish, start, taken``. Each source's documents are shuffled by a hash and repeated up to ``repeats``
+    times. A piece's virtual finish time is the source's words up to its end, divided by the source's target. All are
+    range-sorted by that time; ``start`` is the number of words before one in the whole mixture, which is cut at the total
+    budget: pieces before it are taken, and of the one that crosses it the words that fit. So a source's words are its
+    target to within a piece. Without ``quantum`` a document is one piece, taken whole if half of it fits, and never in
+    part. ``weights`` is a column over ``place``, a source's position by code point, null last. Shuffling depends on the
+    ids and texts only, so reruns agree.
 
     Running sums are two-level: sums of (source, part of the shuffle) first, then inside a part; and the same over
     slices of virtual time. So a source with most of the rows is spread over tasks. Null and empty texts have size 0
@@ -65,23 +66,26 @@ def mix(docs: DataFrame, weights: Column, share: float = 1.5, repeats: int = 2,
     rows = rows.join(parts, rows.source.eqNullSafe(parts.p_source) & (rows.part == parts.p_part))
     rows = rows.join(goals, rows.source.eqNullSafe(goals.g_source)).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
 
-    end = F.col("before") + F.col("upto") + (F.col("epoch") - 1) * F.col("source_size")
-    left = F.floor("target") - (end - F.col("size"))
-    part_taken = F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(0) if whole else F.greatest(left, F.lit(0))
-    rows = rows.withColumn("taken", F.when(left >= F.col("size"), F.col("size")).otherwise(part_taken).cast("long"))
-    rows = rows.withColumn("finish", F.when(F.col("taken") > 0, F.least(end / F.col("target"), F.lit(1.0))))
+    words = F.lit(quantum).cast("long") if quantum else F.greatest("size", F.lit(1))
+    rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest("size", F.lit(1)) - 1) / words))))
+    upto = F.least((F.col("piece") + 1) * words, F.col("size"))
+    end = F.col("before") + F.col("upto") - F.col("size") + upto + (F.col("epoch") - 1) * F.col("source_size")
+    rows = rows.withColumns({"words": upto - F.col("piece") * words, "finish": F.when(F.col("size") > 0, end / F.col("target"))})
 
-    # slices of virtual time in order: words of earlier slices, then of earlier rows inside a slice; the rest has none
-    rows = rows.withColumn("slice", F.coalesce(F.floor(F.col("finish") * PARTS * 16).cast("int"), -1 - F.col("part")))
-    slices = rows.groupBy("slice").agg(F.sum("taken").alias("slice_words"))
+    # slices of virtual time in order, ever longer after 2: words of earlier slices, then of earlier rows inside a slice
+    late = F.floor(F.log2(F.col("finish") / 2) * PARTS) + 32 * PARTS
+    rows = rows.withColumn("slice", F.coalesce(F.when(F.col("finish") < 2, F.floor(F.col("finish") * PARTS * 16)).otherwise(late).cast("int"), -1 - F.col("part")))
+    slices = rows.groupBy("slice").agg(F.sum("words").alias("slice_words"))
     earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select("slice", F.coalesce(F.sum("slice_words").over(earlier), F.lit(0)).alias("earlier"))
-    order = Window.partitionBy("slice").orderBy("finish", "source", "draw", "doc_id", "text_id", "epoch").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = rows.repartitionByRange("slice").withColumn("inside", F.coalesce(F.sum("taken").over(order), F.lit(0)))
-    ordered = ordered.join(F.broadcast(slices), "slice")  # at most 17 * PARTS + 1 rows
+    order = Window.partitionBy("slice").orderBy("finish", "source", "draw", "doc_id", "text_id", "epoch", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = rows.repartitionByRange("slice").withColumn("inside", F.coalesce(F.sum("words").over(order), F.lit(0)))
+    ordered = ordered.join(F.broadcast(slices), "slice")  # at most PARTS * (33 + the last finish's logarithm) rows
     start = F.col("earlier") + F.col("inside")
-    fits = (F.col("taken") > 0) & (start < F.col("budget"))
-    return ordered.select("doc_id", "text_id", "source", "part", "n", "size", "source_size", "target", "epoch", "finish", F.when(fits, start).alias("start"), F.when(fits, F.col("taken")).otherwise(0).alias("taken"))
+    left = F.floor("budget") - start
+    taken = F.greatest(F.least(left, F.col("words")), F.lit(0)) if quantum else F.when(left * 2 >= F.col("words"), F.col("words")).otherwise(0)
+    ordered = ordered.withColumn("taken", taken.cast("long"))
+    return ordered.select("doc_id", "text_id", "source", "part", "n", "size", "source_size", "target", "epoch", "piece", "finish", F.when(F.col("taken") > 0, start).alias("start"), "taken")
 
 
 def five_two_one() -> Column:
@@ -117,10 +121,17 @@ goals as (
     / sum(case when is_full then 0 else weight end) over ()) end as target
   from filled),
 placed as (
-  select d.doc_id, d.size::bigint as size, g.source_size, g.target,
-    (sum(d.size) over (partition by d.source order by d.draw, d.doc_id rows unbounded preceding) - d.size)::bigint as before
-  from sized d join goals g on d.source is not distinct from g.source)
-select doc_id, size, source_size, target,
-  (greatest(least(floor(target)::bigint - before, size), 0) + greatest(least(floor(target)::bigint - before - source_size, size), 0))::bigint as taken
-from placed
+  select d.doc_id, d.source, d.draw, d.size, g.source_size, g.target,
+    sum(d.size) over (partition by d.source order by d.draw, d.doc_id rows unbounded preceding) - d.size as before
+  from sized d join goals g on d.source is not distinct from g.source),
+pieces as (
+  select *, least((piece + 1) * 64, size) - piece * 64 as words,
+    case when size > 0 then (before + least((piece + 1) * 64, size) + (epoch - 1) * source_size) / target end as finish
+  from (select *, unnest(range(0, ((greatest(size, 1) - 1) // 64 + 1)::bigint)) as piece
+    from (select *, unnest([1, 2]) as epoch from placed))),
+ordered as (
+  select *, floor((select sum(target) from goals)) - (sum(words) over (order by finish nulls first, source nulls first, draw, doc_id, epoch, piece rows unbounded preceding) - words) as room
+  from pieces)
+select doc_id, size::bigint as size, source_size, target, sum(greatest(least(room, words), 0))::bigint as taken
+from ordered group by all
 """

@@ -50,7 +50,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it; repeated rows alike, as often as one of them, rounded up."""
-    mixed = mixing.mix(docs, mixing.five_two_one(), whole=True)
+    mixed = mixing.mix(docs, mixing.five_two_one(), quantum=None)
     taken = mixed.groupBy(F.col("doc_id").alias("t_doc"), F.col("text_id").alias("t_text")).agg(F.count_if(F.col("taken") > 0).alias("t_all"), F.count_if(F.col("epoch") == 1).alias("t_rows"))
     copies = F.ceil(F.col("t_all") / F.col("t_rows")).cast("int")
     columns = [docs[c] for c in docs.columns]
