@@ -1,3 +1,8 @@
+import collections
+import math
+import random
+import time
+
 import pytest
 
 from tessera.llm import html_text
@@ -105,3 +110,87 @@ def test_skipped_elements_end(page, text):
 def test_many_skipped_elements_take_no_longer():
     for page in ("<svg>", "<select>", "<template>", "<svg><p>"):
         assert html_text.main_text(page * 50_000 + "end").endswith("end")
+
+
+def test_noise_at_any_depth():
+    """Rules hold below any depth, and leave again where the noise ends."""
+    for depth in (10, 999, 1000, 1001, 30_000):
+        page = "<font>" * depth + "<p>body</p><nav>menu</nav><p>more</p>" + "</font>" * depth + "<p>end</p>"
+        assert html_text.main_text(page) == "body\n\nmore\n\nend"
+        page = "<div>" * depth + "<article><p>body</p><div class=ad>buy</div></article>" + "</div>" * depth + "<p>out</p>"
+        assert html_text.main_text(page) == "body"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a<b", '<a "', "<a ' \">", '<a ">"', "<svg ", "<!--", "<svg><!--", "<p>", "<b><p></b>", "<div></span>", "</script x", "<script></script ", "<div><li>", "<b><hr>", "<table><tr><td>", "<a><div>", "<![", "</ ", "&lt", "<select>"])
+def test_time_is_linear(part):
+    seconds = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        html_text.main_text(part * n)
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 8 * seconds[0] + 0.5
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class=content><p>A story of many words that goes on.</p></div><article class=card>teaser</article>", "A story of many words that goes on.\n\nteaser"),
+        ("<p>Intro.</p><article>x</article>", "Intro.\n\nx"),
+        ("<p>side</p><article><p>The article itself.</p></article>", "The article itself."),
+        ("<section id=search-algorithms><p>Search by halves.</p></section><div class=search-box>find</div>", "Search by halves."),
+        ("<article><div id=header-compression><p>About headers.</p></div><div class='ad-slot-3 wide'>buy</div></article>", "About headers."),
+        ("<p>a</p><svg class='x>y'><text>t</text></svg><p title='</p>'>b</p>", "a\n\nb"),
+        ("<p>a <a href='x'>b <div>c</div></a> d</p>", "a b\n\nc\n\nd"),
+        ("<p>a</p></ x><p>b</p><//><p>c</p>", "a\n\nb\n\nc"),
+        ("<p>a</p><b", "a\n\n<b"),
+        ("<!DOCTYPE html><?xml a?><p>x</p><!x>", "x"),
+    ],
+)
+def test_what_else_is_content(page, text):
+    assert html_text.main_text(page) == text
+
+
+def sites(n=24, seed=4):
+    """Pages of two sites: menus and boxes without telling names, which differ or repeat, around text that differs."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    links = lambda: "".join(f"<li><a href=/{word()}>{word()} {word()}</a></li>" for _ in range(4))
+    prose = lambda: " ".join(word() for _ in range(rng.randrange(8, 30)))
+    rows = []
+    for i in range(n):
+        host = "abc"[i % 2]
+        body = [prose() for _ in range(rng.randrange(1, 4))]
+        page = f"<body><main><div class=q7><ul>{links()}</ul></div><div class=z1>Same words on every page</div><div class=t>" + "".join(f"<p>{x}</p>" for x in body) + "</div></main></body>"
+        rows.append((i, f"http://{host}.example/{i}", page, body))
+    return rows
+
+
+def test_the_tree_alone_removes_menus_that_differ_by_page(spark):
+    rows = sites()
+    df = spark.createDataFrame([(i, u, p, "h", "l", 1) for i, u, p, _ in rows], SCHEMA)
+    got = {r.page_id: r.text for r in html_text.extract(df, marks=False).collect()}
+    assert got == {i: "\n\n".join(body) for i, _, _, body in rows}
+    none = {r.page_id: r.text for r in html_text.extract(df, marks=False, threshold=-1.0).collect()}
+    assert all("Same words on every page" in t for t in none.values())
+
+
+def test_importance_is_that_of_brute_force(spark):
+    rows = sites(40) + [(100 + i, u, p.replace("q7", "k8"), b) for i, u, p, b in sites(7, 5)]
+    pages = spark.createDataFrame([(u[7], p) for _, u, p, _ in rows], "host string, html string")
+    nodes = html_text.style_nodes(pages)
+    seen = collections.defaultdict(list)
+    for r in nodes.collect():
+        seen[r.host, r.node].append(r)
+
+    def entropy(values):
+        n = len(values)
+        return -sum(k / n * math.log(k / n, n) for k in collections.Counter(values).values())
+
+    low = set()
+    for key, rs in seen.items():
+        if len(rs) >= 8:
+            said = [r.links for r in rs if r.links is not None]
+            content = 0 if len(said) >= 8 and sum(said) >= 0.9 * len(said) else entropy([r.content for r in rs])
+            if 0.1 * entropy([r.style for r in rs]) + 0.9 * content < 0.3:
+                low.add(key)
+    assert low and {(r.host, r.node) for r in html_text.low_importance(nodes).collect()} == low
