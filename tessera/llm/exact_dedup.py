@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +18,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm._shared import stored, table
 
-#: Bits of the key that the directory can look at; its size is bounded by 2 ** DEPTH.
-DEPTH = 16
+#: Bits of the key that are weighed first, and those added where a bucket is still overfull.
+FIRST_BITS, MORE_BITS = 16, 4
+#: Bytes of a bucket, and the number of buckets beyond which buckets grow instead, so that the directory stays small.
+CAPACITY, MOST_BUCKETS = 16_000_000, 1 << 20
 
 
 class Directory:
@@ -23,40 +29,53 @@ class Directory:
 
     def __init__(self) -> None:
         self.depth = 0
-        self.entries = [0]
+        self.entries = np.zeros(1, np.int32)
         self.local = [0]
 
-    def split(self, bucket: int) -> int:
-        """Split a bucket by one more bit of the key; the directory doubles if the bucket used all its bits."""
+    def split(self, bucket: int, prefix: int) -> int:
+        """Split the bucket of the keys that begin with the ``local`` bits ``prefix`` by one more bit.
+
+        The directory doubles if the bucket used all its bits. The new bucket has the keys whose next bit is 1.
+        """
         if self.local[bucket] == self.depth:
-            self.entries = [b for b in self.entries for _ in (0, 1)]
+            self.entries = np.repeat(self.entries, 2)
             self.depth += 1
         self.local[bucket] += 1
         self.local.append(self.local[bucket])
         new = len(self.local) - 1
         shift = self.depth - self.local[bucket]
-        for i, b in enumerate(self.entries):
-            if b == bucket and i >> shift & 1:
-                self.entries[i] = new
+        self.entries[(2 * prefix + 1) << shift : (2 * prefix + 2) << shift] = new
         return new
 
     @classmethod
-    def build(cls, counts: dict[int, int], capacity: int) -> Directory:
-        """``counts``: entries by the first DEPTH bits of their key. One key's copies can't be split: they chain."""
-        made = cls()
-        spans = {0: (0, 1 << DEPTH)}
-        keys = sorted(counts)
-        work = [(0, keys)]
+    def build(cls, weigh: Callable[[int, list[int]], dict[int, tuple[int, int]]], capacity: int, bits: int = FIRST_BITS, more: int = MORE_BITS) -> Directory:
+        """``weigh(bits, over)``: weight and number of keys (2 for more) by the first ``bits``, under the prefixes ``over``.
+
+        Buckets over ``capacity`` are split as long as they have several keys: copies of one key chain.
+        """
+        made, work, step, over = cls(), [(0, 0, 0)], bits, [0]
         while work:
-            bucket, own = work.pop()
-            if sum(counts[k] for k in own) <= capacity or made.local[bucket] == DEPTH or len(own) < 2:
-                continue
-            low, high = spans[bucket]
-            new, middle = made.split(bucket), (low + high) // 2
-            spans[bucket], spans[new] = (low, middle), (middle, high)
-            work += [(bucket, [k for k in own if k < middle]), (new, [k for k in own if k >= middle])]
+            weights = weigh(step, over)
+            keys = sorted(weights)
+            upto, different = ([0, *accumulate(weights[k][i] for k in keys)] for i in (0, 1))
+            full = []
+            while work:
+                bucket, prefix, depth = work.pop()
+                a, b = (bisect_left(keys, x << (step - depth)) for x in (prefix, prefix + 1))
+                if upto[b] - upto[a] <= capacity or different[b] - different[a] < 2:
+                    continue
+                if depth == step:
+                    full.append((bucket, prefix, depth))
+                    continue
+                new = made.split(bucket, prefix)
+                work += [(bucket, 2 * prefix, depth + 1), (new, 2 * prefix + 1, depth + 1)]
+            work, over, step = full, [p for _, p, _ in full], min(64, step + more)
         return made
 
+    def bucket(self, key: np.ndarray) -> np.ndarray:
+        """Buckets of signed 64-bit keys."""
+        return self.entries[(key.view(np.uint64) >> np.uint64(64 - self.depth)).astype(np.int64)] if self.depth else np.zeros(len(key), np.int32)
+
 
 _SPACES = re.compile(rb"[\x20\x09-\x0d]+")
 
@@ -116,24 +135,39 @@ def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], names=["key", "rep", "link"])
 
 
-def dedup(docs: DataFrame, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, keep_id, group_size, kept, sha`` for every row: which row of equal texts stays.
 
-    The entries are files in the shared folder. The directory is built from counts by the key's first 16 bits (at
-    most 65,536 numbers on the driver) by splitting buckets of over ``capacity`` entries; one owner task reads a
-    bucket's range of keys in order. Equal means equal bytes after white space is normalised; the smallest doc_id
-    stays, null ids last. Null texts count as empty; repeated rows with the smallest id all stay; rows whose group has
-    only null ids have a null ``keep_id`` and stay. No rows, no result; other columns are not read.
+    The entries are files in the shared folder. The directory is built from bytes by prefix of the key, of 16 bits and
+    then of four more under each bucket that is still over ``capacity`` bytes, so it doubles as often as it must. With more
+    than 2 ** 20 buckets' worth of texts, buckets grow, so prefixes on the driver stay within some 2 ** 24. One owner task
+    reads a bucket's range of keys in order, and holds the texts of one key. Equal means equal bytes after
+    white space is normalised; the smallest doc_id stays, null ids last. Null texts count as empty; repeated rows with the
+    smallest id all stay; rows whose group has only null ids have a null ``keep_id`` and stay. No rows, no result; other
+    columns are not read. A text must fit in memory some three times.
     """
     spark = docs.sparkSession
     index = stored(entries(docs, id_col, text_col), "exact-index")
-    heads = index.where("text is not null").withColumn("bits", F.shiftrightunsigned("key", 64 - DEPTH).cast("int"))
-    directory = Directory.build({r.bits: r["count"] for r in heads.groupBy("bits").count().collect()}, capacity)
-    shift = DEPTH - directory.depth
-    lookup = spark.createDataFrame([(p, directory.entries[p >> shift]) for p in range(1 << DEPTH)], "bits int, bucket int")
-
-    owned = heads.join(F.broadcast(lookup), "bits").select("key", "rep", "text", "bucket")
-    owned = owned.repartition(max(len(directory.local), 1), "bucket").sortWithinPartitions("bucket", "key").select("key", "rep", "text")
+    heads = index.where("text is not null")
+    total = heads.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    capacity = max(capacity, total // MOST_BUCKETS)
+
+    def weigh(bits: int, over: list[int]) -> dict[int, tuple[int, int]]:
+        rows = heads.select(F.shiftrightunsigned("key", 64 - bits).alias("prefix"), "key", F.least(F.octet_length("text").cast("long") + 64, F.lit(capacity // 4 + 1)).alias("weight"))
+        if bits > FIRST_BITS:
+            rows = rows.join(F.broadcast(spark.createDataFrame([(p,) for p in over], "above long")), F.shiftrightunsigned("prefix", MORE_BITS) == F.col("above"))
+        several = F.when(F.min("key") == F.max("key"), 1).otherwise(2)
+        return {r.prefix % (1 << bits): (r.weight, r.several) for r in rows.groupBy("prefix").agg(F.sum("weight").alias("weight"), several.alias("several")).collect()}
+
+    directory = Directory.build(weigh, capacity)
+    shared = spark.sparkContext.broadcast(directory)
+
+    @F.pandas_udf("int")
+    def bucket_of(key: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.bucket(key.to_numpy()))
+
+    owned = heads.select("key", "rep", "text", bucket_of("key").alias("bucket"))
+    owned = owned.repartition(len(directory.local), "bucket").sortWithinPartitions("bucket", "key").select("key", "rep", "text")
     links = stored(owned.mapInArrow(chains, "key long, rep long, link int"), "exact-links")
 
     counts = index.groupBy("rep").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))

@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tessera.llm import exact_dedup
@@ -29,15 +30,32 @@ def test_null_ids_come_last_and_empty_table(spark):
     assert exact_dedup.dedup(cases.empty(spark)).count() == 0
 
 
-def test_directory_splits_and_doubles():
-    counts = {k << 8: 10 for k in range(256)}
-    made = exact_dedup.Directory.build(counts, 100)
+def weigher(counts):
+    """Weights of 64-bit keys by prefix, as the operator gathers them."""
+
+    def weigh(bits, over):
+        found = defaultdict(lambda: [0, 0])
+        for k, n in counts.items():
+            if bits == exact_dedup.FIRST_BITS or k >> (64 - bits + exact_dedup.MORE_BITS) in over:
+                found[k >> (64 - bits)][0] += n
+                found[k >> (64 - bits)][1] += 1
+        return {p: (n, min(2, k)) for p, (n, k) in found.items()}
+
+    return weigh
+
+
+@pytest.mark.parametrize("shift", [56, 40, 36])
+def test_directory_splits_and_doubles(shift):
+    """Keys that differ in their first bits only, and some that differ only after 16 or 20 bits."""
+    counts = {k << shift: 10 for k in range(256)}
+    made = exact_dedup.Directory.build(weigher(counts), 100)
     assert len(made.entries) == 1 << made.depth
+    assert made.depth > {56: 3, 40: 19, 36: 23}[shift]
     load = [0] * len(made.local)
-    for k, n in counts.items():
-        load[made.entries[k >> (exact_dedup.DEPTH - made.depth)]] += n
+    for b, n in zip(made.bucket(np.array(list(counts), np.uint64).view(np.int64)).tolist(), counts.values(), strict=True):
+        load[b] += n
     assert max(load) <= 100 and sum(load) == 2560
-    assert exact_dedup.Directory.build({7: 10_000}, 100).depth == 0
+    assert exact_dedup.Directory.build(weigher({7 << 48: 10_000}), 100).depth == 0
 
 
 def test_collisions_chain():
