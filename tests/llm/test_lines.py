@@ -11,7 +11,7 @@ def brute(docs, least):
     sites, first = defaultdict(set), {}
     for d in docs:
         for line in map(NORM, (d[1] or "").split("\n")):
-            sites[line].add(d[3] or "")
+            sites[line].add(d[3])
             first[line] = min(first.get(line, d[0]), d[0])
     out = []
     for d in docs:
@@ -29,6 +29,15 @@ def test_same_as_brute_force(spark):
     assert line_dedup.dedup(cases.empty(spark)).count() == 0
 
 
+def test_null_and_empty_sites_are_two(spark):
+    body = cases.documents()[0][4:]
+    docs = [(i, f"one line\nown {i}", "en", site, *body) for i, site in enumerate(["a", None, None])] + [(9, "one line\nown 9", "en", "", *body)]
+    for rows in (docs, docs[:3]):
+        found = line_dedup.dedup(cases.table(spark, rows), min_sites=3).collect()
+        assert sorted((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in found) == brute(rows, 3)
+    assert sum(r.n_removed for r in line_dedup.dedup(cases.table(spark, docs), min_sites=3).collect()) == 3
+
+
 def test_exact_counts_near_the_threshold(spark):
     """With many sites the sketch only estimates; lines about the threshold are counted."""
     rows = [(i * 1000 + s, f"line {i}", "en", f"site{s}") + cases.documents()[0][4:] for i, n in enumerate((199, 200, 201, 205)) for s in range(n)]

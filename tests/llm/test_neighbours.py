@@ -66,3 +66,21 @@ def test_odd_rows(spark):
     assert {q: [i for i, _ in v] for q, v in got.items()} == {0: [50, 6], 50: [0, 6]}
     none = spark.createDataFrame([], SCHEMA)
     assert neighbours.search(none, none).count() == 0
+
+
+def test_recall_of_the_defaults_on_the_given_vectors(spark):
+    """The given vectors are close to random in 64 dimensions, which is the hard case."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = x @ x[q]
+        score[q] = -2
+        want[int(ids[q])] = set(ids[np.lexsort((ids, -score))[:5]].tolist())
+    got = {q: set() for q in want}
+    for r in neighbours.search(vectors, vectors.where("vec_id % 50 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    assert sum(len(want[q] & got[q]) for q in want) >= 0.9 * sum(map(len, want.values()))

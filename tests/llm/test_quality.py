@@ -67,3 +67,14 @@ def test_flat_trees_walk_as_nodes_do():
         return 1 / (1 + np.exp(-total))
 
     assert np.allclose([one(r) for r in x[:50]], t.score(x[:50]))
+
+
+def test_held_out_accuracy_on_the_given_documents(spark):
+    """The rows whose labels are not learnt from, of the given tables."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    want = {r.doc_id: r.quality for r in labels.collect()}
+    held = [r for r in quality.score(docs, labels).where("held_out").collect() if want.get(r.doc_id) is not None]
+    assert len(held) > 50
+    assert np.mean([r.predicted == want[r.doc_id] for r in held]) >= 0.95
+    good, bad = ([r.score for r in held if want[r.doc_id] == q] for q in (1, 0))
+    assert np.mean([[g > b for b in bad] for g in good]) >= 0.98
