@@ -168,7 +168,7 @@ def repeated_starts(docs: DataFrame, window: int = 200) -> DataFrame:
     anchor string, at an offset; each pass adds the bytes around it that all windows of ever fewer offsets share, so
     the last digit is the window itself. In each pass groups that end (one text for a digit) are dropped, equal stretches
     are repeated as they are and go on as one, and only the rest goes to the next pass. Every pass is an aggregation
-    with sums made before the shuffle, so no group is a task; equal groups of the last are the repeated windows.
+    with sums made before the shuffle, and what goes on is known from files, so no group is a task; equal groups of the last are the repeated windows.
     ``docs`` has ``doc_id, text_id, text``.
     """
     every = stored(sample(docs, window), "repeats-runs")
@@ -177,7 +177,7 @@ def repeated_starts(docs: DataFrame, window: int = 200) -> DataFrame:
     found = stored(found.join(often, "digit"), "repeats-crowded")
     keyed = F.struct("doc_id", "text_id", "at", "size", "off")
     sigs = stored(found.groupBy("digit", "sig").agg(F.sum("n").alias("copies"), F.min(keyed).alias("one")), "repeats-signatures")
-    going = sigs.groupBy("digit").agg(F.count("*").alias("n"), F.min("copies").alias("fewest")).where("n > 1 and fewest = 1").select("digit")
+    going = stored(sigs.groupBy("digit").agg(F.count("*").alias("n"), F.min("copies").alias("fewest")).where("n > 1 and fewest = 1").select("digit"), "repeats-going")
     run = F.struct(F.col("one.at").alias("at"), F.col("one.size").alias("size"), F.col("one.off").alias("off"), (F.col("copies") == 1).alias("alone"))
     ask = sigs.join(going, "digit").select(F.col("one.doc_id").alias("r_doc"), F.col("one.text_id").alias("r_text"), run.alias("run")).groupBy("r_doc", "r_text").agg(F.collect_list("run").alias("places"))
     texts = docs.join(ask, docs["doc_id"].eqNullSafe(ask["r_doc"]) & (docs["text_id"] == ask["r_text"])).select("doc_id", "text_id", "text", "places")
@@ -189,10 +189,10 @@ def repeated_starts(docs: DataFrame, window: int = 200) -> DataFrame:
         level = stored(cells(rows, window, width), "repeats-cells")
         places = F.sum(F.when(F.col("alone"), 1).otherwise(2)).alias("places")
         fulls = stored(level.groupBy("core", "full").agg(places, F.min(F.struct("context", "first", "upto")).alias("one")), "repeats-fulls")
-        twins = fulls.where("places > 1").select("core", "full")
+        twins = stored(fulls.where("places > 1").select("core", "full"), "repeats-twins")
         spans.append(level.where("alone").join(twins, ["core", "full"]).select("context", "first", "upto"))
         if width > 1:
-            going = fulls.groupBy("core").agg(F.count("*").alias("n"), F.min("places").alias("fewest")).where("n > 1 and fewest = 1").select("core")
+            going = stored(fulls.groupBy("core").agg(F.count("*").alias("n"), F.min("places").alias("fewest")).where("n > 1 and fewest = 1").select("core"), "repeats-going")
             part = F.struct("one.first", "one.upto", (F.col("places") == 1).alias("alone"))
             parts = fulls.join(going, "core").select("one.context", part.alias("part")).groupBy("context").agg(F.collect_list("part").alias("parts"))
             rows = cut.select("context", "off", "bytes").join(parts, "context")
