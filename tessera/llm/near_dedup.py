@@ -156,9 +156,9 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, fps, regs = [], [], []
-            for s in shingle_sets(batch.column(2), width):
+            for s in shingle_sets(batch.column(2), width, 1):
                 n.append(len(s))
-                fps.append(_fingerprint(s))
+                fps.append(_fingerprint(s[:, 0]))
                 regs.append(registers(s[:, 0]))
             flat = np.concatenate(regs).view(np.int64) if regs else np.zeros(0, np.int64)
             per = REGISTERS // BAND
@@ -175,7 +175,7 @@ def full_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 sets = list(shingle_sets(batch.slice(first, 500).column(0), width))
-                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([s.T.tobytes() for s in sets], pa.binary())], names=["fp", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s[:, 0]) for s in sets], pa.binary()), pa.array([s.T.tobytes() for s in sets], pa.binary())], names=["fp", "shingles"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(compute, "fp binary, shingles binary")
 
@@ -205,7 +205,7 @@ def spanning(rows: DataFrame, payload: DataFrame, limit: int, work: Work) -> Dat
     pairs of parts, and among each other. So no group is a task, no link is missed, and the work grows with the rows of a
     family, not with their square.
     """
-    sizes = rows.groupBy("group").agg(F.ceil(F.sum("weight") / limit).alias("parts"), F.count("*").alias("n")).where("n > 1").select("group", "parts")
+    sizes = stored(rows.groupBy("group").agg(F.ceil(F.sum("weight") / limit).alias("parts"), F.count("*").alias("n")).where("n > 1").select("group", "parts"), "near-parts")
     own = stored(rows.join(sizes, "group"), "near-groups")
     dealt = own.select(F.xxhash64("group", F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("part"), "fp", F.col("fp").alias("tree"))
     edges = stored(_compared(dealt, payload, work), "near-edges")

@@ -46,6 +46,10 @@ def prefix_hashes(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Digests of words met before, by task.
+_KNOWN: dict[bytes, bytes] = {}
+
+
 def word_digests(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits for each word, A-Z lower-cased, as two columns, and the number of words before each row's end (with a leading 0).
 
@@ -60,20 +64,27 @@ def word_digests(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
     at = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(at), pa.py_buffer(_LOWER[raw[solid]])]).dictionary_encode()
-    digests = b"".join(hashlib.blake2b(w, digest_size=16, key=b"words").digest() for w in words.dictionary.to_pylist())
-    return np.frombuffer(digests, np.uint64).reshape(-1, 2)[words.indices.to_numpy()], np.searchsorted(a, ends)
+    if len(_KNOWN) > 200_000:
+        _KNOWN.clear()
+    digests = []
+    for w in words.dictionary.to_pylist():
+        if w not in _KNOWN:
+            _KNOWN[w] = hashlib.blake2b(w, digest_size=16, key=b"words").digest()
+        digests.append(_KNOWN[w])
+    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)[words.indices.to_numpy()], np.searchsorted(a, ends)
 
 
-def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, width: int, lanes: int = 2) -> Iterator[np.ndarray]:
     """Each row's distinct shingles, in order of their first 64 bits: column 0 has those, column 1 has 64 more.
 
-    Fewer words than ``width`` make one shingle; no words, none.
+    With one lane there is no column 1. Fewer words than ``width`` make one shingle; no words, none.
     """
     odd = np.array([(k * 2 + 1) * 0xD6E8FEB86659FD93 % (1 << 64) for k in range(width)], np.uint64)[:, None]
     for first, end, raw, ends in text_slices(column):
         words, upto = word_digests(raw, ends)
+        words = np.ascontiguousarray(words[:, :lanes])
         n = len(words) - width + 1
-        rolled = np.zeros((max(n, 0), 2), np.uint64)
+        rolled = np.zeros((max(n, 0), lanes), np.uint64)
         for k in range(width if n > 0 else 0):
             rolled += words[k : n + k] * odd[k]
         rolled = mixed(rolled)
@@ -81,9 +92,12 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
             a, b = int(upto[r]), int(upto[r + 1])
             if b - a >= width:
                 own = rolled[a : b - width + 1]
+                if lanes == 1:
+                    yield np.unique(own)[:, None]
+                    continue
                 own = own[np.argsort(own[:, 0], kind="stable")]
                 yield own[np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)])]
             elif b > a:
                 yield mixed((words[a:b] * odd[: b - a]).sum(axis=0, keepdims=True) + _U(b - a))
             else:
-                yield np.zeros((0, 2), np.uint64)
+                yield np.zeros((0, lanes), np.uint64)
