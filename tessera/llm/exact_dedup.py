@@ -21,7 +21,9 @@ from tessera.llm._shared import stored, table
 #: Bits of the key that are weighed first, and those added where a bucket is still overfull.
 FIRST_BITS, MORE_BITS = 16, 4
 #: Bytes of a bucket, and the number of buckets beyond which buckets grow instead, so that the directory stays small.
-CAPACITY, MOST_BUCKETS = 16_000_000, 1 << 20
+CAPACITY, MOST_BUCKETS = 1_000_000, 1 << 20
+#: Owner tasks, at most one a bucket, and the bytes of an owner beyond which there are more.
+OWNERS, OWNED = 2000, 64_000_000
 
 
 class Directory:
@@ -72,6 +74,12 @@ class Directory:
             work, over, step = full, [p for _, p, _ in full], min(64, step + more)
         return made
 
+    def owner(self, key: np.ndarray, owners: int) -> np.ndarray:
+        """The task that owns the bucket of each key: buckets in order of their keys, dealt evenly."""
+        starts = np.unique(self.entries, return_index=True)[1]
+        rank = np.argsort(np.argsort(starts))
+        return (rank[self.bucket(key)] * owners // len(self.local)).astype(np.int32)
+
     def bucket(self, key: np.ndarray) -> np.ndarray:
         """Buckets of signed 64-bit keys."""
         return self.entries[(key.view(np.uint64) >> np.uint64(64 - self.depth)).astype(np.int64)] if self.depth else np.zeros(len(key), np.int32)
@@ -140,8 +148,8 @@ def dedup(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", tex
 
     The entries are files in the shared folder. The directory is built from bytes by prefix of the key, of 16 bits and
     then of four more under each bucket that is still over ``capacity`` bytes, so it doubles as often as it must. With more
-    than 2 ** 20 buckets' worth of texts, buckets grow, so prefixes on the driver stay within some 2 ** 24. One owner task
-    reads a bucket's range of keys in order, and holds the texts of one key. Equal means equal bytes after
+    than 2 ** 20 buckets' worth of texts, buckets grow, so prefixes on the driver stay within some 2 ** 24. An owner task
+    reads its buckets' range of keys in order, and holds the texts of one key. Equal means equal bytes after
     white space is normalised; the smallest doc_id stays, null ids last. Null texts count as empty; repeated rows with the
     smallest id all stay; rows whose group has only null ids have a null ``keep_id`` and stay. No rows, no result; other
     columns are not read. A text must fit in memory some three times.
@@ -160,14 +168,15 @@ def dedup(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", tex
         return {r.prefix % (1 << bits): (r.weight, r.several) for r in rows.groupBy("prefix").agg(F.sum("weight").alias("weight"), several.alias("several")).collect()}
 
     directory = Directory.build(weigh, capacity)
+    owners = min(len(directory.local), max(OWNERS, total // OWNED))
     shared = spark.sparkContext.broadcast(directory)
 
     @F.pandas_udf("int")
-    def bucket_of(key: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.bucket(key.to_numpy()))
+    def owner_of(key: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.owner(key.to_numpy(), owners))
 
-    owned = heads.select("key", "rep", "text", bucket_of("key").alias("bucket"))
-    owned = owned.repartition(len(directory.local), "bucket").sortWithinPartitions("bucket", "key").select("key", "rep", "text")
+    owned = heads.select("key", "rep", "text", owner_of("key").alias("owner"))
+    owned = owned.repartition(owners, "owner").sortWithinPartitions("key").select("key", "rep", "text")
     links = stored(owned.mapInArrow(chains, "key long, rep long, link int"), "exact-links")
 
     counts = index.groupBy("rep").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
