@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import events, facts, governance, lifecycle, relational, retrieval  # noqa: F401  they register their queries
+from tessera.plans import events, facts, governance, lifecycle, relational, retrieval, store  # noqa: F401  they register their queries
 from tessera.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
