@@ -104,7 +104,7 @@ def widening_probe(spark, d):
     counts = near.groupBy("query_id").agg(*(F.count_if(F.col("rank") <= n).alias(f"in{n}") for n in (15, 30, 60)))
     probe = F.coalesce(*(F.when(F.col(f"in{n}") >= 5, n) for n in (15, 30, 60)), F.lit(0))
     counts = stored(asks.select(F.col("vec_id").alias("query_id")).join(counts, "query_id", "left").select("query_id", probe.alias("probe")), "probe-widths")
-    short = asks.join(counts.where("probe = 0").select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
+    short = stored(asks.join(counts.where("probe = 0").select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi"), "probe-short")
     kept = near.join(counts.where("probe > 0"), "query_id", "left_semi").unionByName(retrieval.nearest(short, ok, 20))
     kept = kept.select("query_id", "vec_id", F.round("score", 6).alias("score"))
     return retrieval.top(kept, 5, [F.col("score").desc(), F.col("vec_id")]).join(counts, "query_id").select("query_id", "vec_id", "score", "rank", "probe")
@@ -220,3 +220,68 @@ def index_refresh(spark, d):
     again = retrieval.postings(dirty.where("source is not null"), "doc_id", F.col("text"))
     gone = table(spark, d, "documents").where("source is null").select("doc_id")
     return kept.join(gone, "doc_id", "left_anti").unionByName(again).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
+
+
+@query("y02_assistant_turns", INDEX.replace("as words from documents)", "as words from (select conv_id * 1000 + turn as doc_id, text from conversations where role = 'assistant'))") + "select query_id, doc_id // 1000 as conv_id, doc_id % 1000 as turn, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as r from bm25) where r = 1")
+def assistant_turns(spark, d):
+    """The one turn of the assistant that shares most with a question, any of its words."""
+    turns = table(spark, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    found = retrieval.bm25(turns, "doc_id", F.col("text"), asked(spark, d)).withColumn("score", F.round("score", 6))
+    return retrieval.top(found, 1, best()).select("query_id", F.floor(F.col("doc_id") / 1000).alias("conv_id"), (F.col("doc_id") % 1000).alias("turn"), "score")
+
+
+# Clocks and checks.
+
+USED = "u as (select user_id, count(*) as uses, avg(value) / 300 as base, (epoch(timestamp '2024-02-01') - epoch(max(ts))) / 86400.0 as days from events group by 1)"
+
+
+def used(spark, d):
+    days = (F.unix_micros(F.lit("2024-02-01 00:00:00").cast("timestamp")) - F.unix_micros(F.max("ts").cast("timestamp"))) / 86400e6
+    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("uses"), (F.avg("value") / 300).alias("base"), days.alias("days"))
+
+
+@query("h15_access_frequency", f"with {USED} select user_id, round(ln(1 + uses) / ln(1 + max(uses) over ()), 6) as frequency from u")
+def access_frequency(spark, d):
+    """The most used counts as 1; the maximum is a row of its own and not a window over all."""
+    rows = used(spark, d)
+    return rows.crossJoin(F.broadcast(rows.agg(F.max("uses").alias("most")))).select("user_id", F.round(F.log1p("uses") / F.log1p("most"), 6).alias("frequency"))
+
+
+@query("h16_activation", f"with {USED} select user_id, round(least(1, greatest(0, base)) * pow(2, -greatest(0, days) / 30), 6) as activation from u")
+def activation(spark, d):
+    base, days = F.least(F.lit(1.0), F.greatest(F.lit(0.0), "base")), F.greatest(F.lit(0.0), "days")
+    return used(spark, d).select("user_id", F.round(base * F.pow(F.lit(2.0), -days / 30), 6).alias("activation"))
+
+
+@query("h17_half_life_recency", f"with {USED} select user_id, round(pow(0.5, greatest(0, days) / 14), 6) as recency from u")
+def half_life_recency(spark, d):
+    return used(spark, d).select("user_id", F.round(F.pow(F.lit(0.5), F.greatest(F.lit(0.0), "days") / 14), 6).alias("recency"))
+
+
+@query("h21_month_shift", "select o_orderkey, cast(cast(o_orderdate as date) + interval 1 month as date) as next, cast(cast(o_orderdate as date) - interval 3 month as date) as before from orders")
+def month_shift(spark, d):
+    """Months on and back; a day that a month lacks becomes its last."""
+    return table(spark, d, "orders").select("o_orderkey", F.add_months("o_orderdate", 1).alias("next"), F.add_months("o_orderdate", -3).alias("before"))
+
+
+CHECKS = (("orders", "o_orderkey"), ("customer", "c_custkey"), ("documents", "doc_id"), ("embeddings", "vec_id"), ("events", "event_id"))
+REFERS = (("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("labels", "doc_id", "documents", "doc_id"))
+
+
+@query("r07_doctor", " union all ".join(
+    [f"select 'null {t}.{k}' as finding, count(*) filter ({k} is null) as n from {t} union all select 'repeated {t}.{k}', count(*) from (select {k} from {t} where {k} is not null group by 1 having count(*) > 1)" for t, k in CHECKS]
+    + [f"select 'dangling {t}.{k}', count(*) from {t} where {k} is not null and {k} not in (select {r} from {u} where {r} is not null)" for t, k, u, r in REFERS]))
+def doctor(spark, d):
+    """Read-only checks: keys that are null or repeated, and references that lead nowhere."""
+    found = []
+    say = lambda rows, text: rows.select(F.lit(text).alias("finding"), "n")
+    for t, k in CHECKS:
+        rows = table(spark, d, t)
+        found += [say(rows.agg(F.count_if(F.col(k).isNull()).alias("n")), f"null {t}.{k}"), say(rows.where(F.col(k).isNotNull()).groupBy(k).count().where("count > 1").agg(F.count("*").alias("n")), f"repeated {t}.{k}")]
+    for t, k, u, r in REFERS:
+        held = table(spark, d, u).select(F.col(r).alias(k))
+        found.append(say(table(spark, d, t).where(F.col(k).isNotNull()).join(held, k, "left_anti").agg(F.count("*").alias("n")), f"dangling {t}.{k}"))
+    out = found[0]
+    for each in found[1:]:
+        out = out.unionByName(each)
+    return out
