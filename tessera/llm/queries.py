@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup, html_text, licences, line_dedup, mixing, near_dedup, neighbours, quality, repeats
+from tessera.llm import bpe, exact_dedup, html_text, licences, line_dedup, mixing, near_dedup, neighbours, periodic, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licence_scan": licences.query,
     "op9_repeated_windows": repeats.query,
     "op10_near_dedup": near_dedup.query,
+    "op11_periodic_runs": periodic.query,
 }
 
 ORACLE_SQL: dict[str, str] = {

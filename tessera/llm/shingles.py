@@ -46,6 +46,18 @@ def prefix_hashes(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_spans(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Where words start and end, the words as binary strings, and their number before each row's end (with a leading 0)."""
+    solid = ~_IS_SPACE[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[ends] = True
+    a = np.flatnonzero(solid & (edge[:-1] | ~np.concatenate([[False], solid[:-1]])))
+    b = np.flatnonzero(solid & (edge[1:] | ~np.concatenate([solid[1:], [False]]))) + 1
+    at = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(at), pa.py_buffer(raw[solid])])
+    return a, b, words, np.searchsorted(a, ends)
+
+
 #: Digests of words met before, by task.
 _KNOWN: dict[bytes, bytes] = {}
 
@@ -56,14 +68,8 @@ def word_digests(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     Words are told apart as they are, and each different one is digested once with a key, so no two words are built to
     have the same bits.
     """
-    solid = ~_IS_SPACE[raw]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[ends] = True
-    first = solid & (edge[:-1] | ~np.concatenate([[False], solid[:-1]]))
-    last = solid & (edge[1:] | ~np.concatenate([solid[1:], [False]]))
-    a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    at = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(at), pa.py_buffer(_LOWER[raw[solid]])]).dictionary_encode()
+    _, _, words, upto = word_spans(_LOWER[raw], ends)
+    words = words.dictionary_encode()
     if len(_KNOWN) > 200_000:
         _KNOWN.clear()
     digests = []
@@ -71,7 +77,7 @@ def word_digests(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
         if w not in _KNOWN:
             _KNOWN[w] = hashlib.blake2b(w, digest_size=16, key=b"words").digest()
         digests.append(_KNOWN[w])
-    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)[words.indices.to_numpy()], np.searchsorted(a, ends)
+    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)[words.indices.to_numpy()], upto
 
 
 def shingle_sets(column: pa.Array, width: int, lanes: int = 2) -> Iterator[np.ndarray]:
