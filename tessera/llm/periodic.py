@@ -29,15 +29,15 @@ class Suffixes:
         self.order = np.argsort(words, kind="stable")
         ranked = words[self.order]
         fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        self.classes = [np.empty(n, np.int64)]
+        self.classes = [np.empty(n, np.int32)]
         self.classes[0][self.order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
         while 2 ** len(self.classes) <= longest:
             half, own = 2 ** (len(self.classes) - 1), self.classes[-1]
-            after = np.full(n, -1, np.int64)
+            after = np.full(n, -1, np.int32)
             after[: n - half] = own[half:]
             place = np.flatnonzero(np.bincount(own, minlength=n)[own[self.order]] > 1)
             open_ = self.order[place]
-            key = own[open_] * (n + 1) + after[open_] + 1
+            key = own[open_].astype(np.int64) * (n + 1) + after[open_] + 1
             by = np.argsort(key, kind="stable")
             open_, key = open_[by], key[by]
             self.order[place] = open_
@@ -70,14 +70,15 @@ class Wavelet:
 
     def __init__(self, values: np.ndarray):
         self.zeros: list[tuple[int, np.ndarray]] = []
+        values = values.astype(np.int32)
         for bit in reversed(range(len(values).bit_length())):
             one = (values >> bit & 1).astype(bool)
-            self.zeros.append((bit, np.concatenate([[0], np.cumsum(~one)]).astype(np.int32)))
+            self.zeros.append((bit, np.concatenate([np.zeros(1, np.int32), np.cumsum(~one, dtype=np.int32)])))
             values = np.concatenate([values[~one], values[one]])
 
     def below(self, left: np.ndarray, right: np.ndarray, x: np.ndarray) -> np.ndarray:
         """How many numbers of each interval are less than x."""
-        found = np.zeros(len(x), np.int64)
+        found = np.zeros(len(x), np.int32)
         for bit, zeros in self.zeros:
             a, b, one = zeros[left], zeros[right], (x >> bit & 1).astype(bool)
             found += np.where(one, b - a, 0)
@@ -86,16 +87,26 @@ class Wavelet:
 
     def nth(self, left: np.ndarray, right: np.ndarray, k: np.ndarray) -> np.ndarray:
         """The k-th least number of each interval, from 0."""
-        value = np.zeros(len(k), np.int64)
+        value = np.zeros(len(k), np.int32)
         for bit, zeros in self.zeros:
             a, b = zeros[left], zeros[right]
             one = k >= b - a
-            value |= one.astype(np.int64) << bit
+            value |= one.astype(np.int32) << np.int32(bit)
             k = np.where(one, k - (b - a), k)
             left, right = np.where(one, zeros[-1] + left - a, a), np.where(one, zeros[-1] + right - b, b)
         return value
 
 
+def nearest_same(words: np.ndarray) -> np.ndarray:
+    """How far from each place the same word is next, before or after it. A block in a run has all its words that near."""
+    order = np.argsort(words, kind="stable")
+    step = np.full(len(words) + 1, len(words), np.int64)
+    step[1:-1] = np.where(words[order[1:]] == words[order[:-1]], np.diff(order), len(words))
+    gap = np.empty(len(words), np.int64)
+    gap[order] = np.minimum(step[1:], step[:-1])
+    return gap
+
+
 def find_runs(words: np.ndarray, longest: int, least: int, exponent: int) -> np.ndarray:
     """Rows (start, length, period) of all runs in ``words``, whose texts end with words of their own.
 
@@ -109,11 +120,12 @@ def find_runs(words: np.ndarray, longest: int, least: int, exponent: int) -> np.
     suffixes = Suffixes(words, max(longest // 2, 1))
     tree = Wavelet(suffixes.order)
     found = []
+    gap = nearest_same(words)
     for k, classes in enumerate(suffixes.classes):
         block = 2**k
-        at = np.arange(0, len(words) - block + 1, block)
-        many = np.bincount(classes, minlength=len(words))
-        at = at[many[classes[at]] > 1]
+        at = np.arange(0, len(words) - block + 1, block, dtype=np.int32)
+        many = np.bincount(classes, minlength=len(words)).astype(np.int32)
+        at = at[(gap[at] <= block) & (gap[at + block // 2] <= block) & (gap[at + block - 1] <= block) & (many[classes[at]] > 1)]
         left = classes[at]
         right = left + many[left]
         upto = tree.below(left, right, at + 1)
@@ -123,7 +135,7 @@ def find_runs(words: np.ndarray, longest: int, least: int, exponent: int) -> np.
             near = np.abs(other - here) <= block
             found.append(np.stack([np.minimum(here, other)[near], np.abs(other - here)[near]], axis=1))
     pairs = np.unique(np.concatenate(found), axis=0)
-    a, period = pairs[:, 0], pairs[:, 1]
+    a, period = pairs.astype(np.int64).T
     start = a - suffixes.common(a, a + period, back=True)
     length = a + suffixes.common(a, a + period) + period - start
     runs = np.stack([start, length, period], axis=1)[length >= np.maximum(least, exponent * period)]
@@ -167,19 +179,16 @@ def _slice(ids: pa.Array, raw: np.ndarray, ends: np.ndarray, least: int, exponen
     of = np.searchsorted(upto[1:] + np.arange(docs), runs[:, 0])
     whole = runs[:, 0] - of
 
-    drop = np.zeros(len(codes) + 1, np.int64)
-    np.add.at(drop, whole + runs[:, 2], 1)
-    np.add.at(drop, whole + runs[:, 1], -1)
-    kept = np.flatnonzero(np.cumsum(drop[:-1]) == 0)
+    edges = lambda ups, downs, n: np.cumsum(np.bincount(ups, minlength=n) - np.bincount(downs, minlength=n))[: n - 1]
+    kept = np.flatnonzero(edges(whole + runs[:, 2], whole + runs[:, 1], len(codes) + 1) == 0)
     last = np.ones(len(kept), bool)
     last[:-1] = row[kept[1:]] != row[kept[:-1]]
-    raw, cover = raw.copy(), np.zeros(len(raw) + 1, np.int8)
+    raw = raw.copy()
     raw[b[kept[~last]]] = 32
-    np.add.at(cover, a[kept], 1)
-    np.add.at(cover, b[kept] + ~last, -1)
+    cover = edges(a[kept], b[kept] + ~last, len(raw) + 1) > 0
     size = np.bincount(row[kept], weights=b[kept] - a[kept] + ~last, minlength=docs).astype(np.int64)
     at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-    text = pa.Array.from_buffers(pa.string(), docs, [None, pa.py_buffer(at), pa.py_buffer(raw[np.cumsum(cover[:-1]) > 0])])
+    text = pa.Array.from_buffers(pa.string(), docs, [None, pa.py_buffer(at), pa.py_buffer(raw[cover])])
 
     fields = [pa.array(c) for c in (whole - upto[of], runs[:, 1], runs[:, 2])]
     at = np.searchsorted(of, np.arange(docs + 1)).astype(np.int32)
@@ -191,17 +200,16 @@ def looped(doc_id: Column, text: Column) -> Column:
     """The text that the query reads: where the id's checksum ends in 0, its words from some place on repeat."""
     h = F.crc32(doc_id.cast("string"))
     g = F.floor(h / 10)
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n = F.size(words)
 
     def again(w: Column) -> Column:
         a = g % F.size(w)
         p = 1 + F.floor((F.size(w) - a) / (3 + g % 8))
         return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " ")
 
-    # One element, so that the words are split once.
-    edited = F.transform(F.array(words), again)[0]
-    return F.when((h % 10 == 0) & text.isNotNull(), F.when(n > 0, edited).otherwise(text)).otherwise(text)
+    # An array of one text, so that its words are split once, and only where they are asked for.
+    words = F.transform(F.array(text), lambda t: F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
+    edited = F.transform(words, again)[0]
+    return F.when((h % 10 == 0) & text.isNotNull(), edited).otherwise(text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
