@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup, html_text, licences, line_dedup, mixing, near_dedup, neighbours, periodic, quality, repeats
+from tessera.llm import bpe, exact_dedup, html_text, licences, line_dedup, mixing, near_dedup, neighbours, periodic, prefix_trie, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeated_windows": repeats.query,
     "op10_near_dedup": near_dedup.query,
     "op11_periodic_runs": periodic.query,
+    "op12_conversation_trie": prefix_trie.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op8_licence_scan": licences.ORACLE_SQL,
+    "op12_conversation_trie": prefix_trie.ORACLE_SQL,
 }
