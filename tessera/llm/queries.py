@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup, html_text, licences, line_dedup, mixing, near_dedup, neighbours, periodic, prefix_trie, quality, repeats
+from tessera.llm import bpe, edit_fingerprints, exact_dedup, html_text, licences, line_dedup, mixing, near_dedup, neighbours, periodic, prefix_trie, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": near_dedup.query,
     "op11_periodic_runs": periodic.query,
     "op12_conversation_trie": prefix_trie.query,
+    "op13_edit_fingerprints": edit_fingerprints.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
