@@ -156,10 +156,10 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, fps, regs = [], [], []
-            for s in shingle_sets(batch.column(2), width, 1):
+            for s in shingle_sets(batch.column(2), width):
                 n.append(len(s))
-                fps.append(_fingerprint(s[:, 0]))
-                regs.append(registers(s[:, 0]))
+                fps.append(_fingerprint(s))
+                regs.append(registers(np.ascontiguousarray(s[:, 0])))
             flat = np.concatenate(regs).view(np.int64) if regs else np.zeros(0, np.int64)
             per = REGISTERS // BAND
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * per), pa.array(flat))
@@ -175,7 +175,7 @@ def full_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 sets = list(shingle_sets(batch.slice(first, 500).column(0), width))
-                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s[:, 0]) for s in sets], pa.binary()), pa.array([s.T.tobytes() for s in sets], pa.binary())], names=["fp", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([s.T.tobytes() for s in sets], pa.binary())], names=["fp", "shingles"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(compute, "fp binary, shingles binary")
 
@@ -202,8 +202,8 @@ def spanning(rows: DataFrame, payload: DataFrame, limit: int, work: Work) -> Dat
     Groups are cut at random into parts of about ``limit`` weight, each compared in full. Where a group had several
     parts, one row of each tree found meets those of the other trees, which joins families of copies whatever their size.
     Only where a group still has several trees are rows of different trees compared: all others with the heaviest, in
-    pairs of parts, and among each other. So no group is a task, no link is missed, and the work grows with the rows of a
-    family, not with their square.
+    pairs of parts, and among each other. So no group is a task and no link is missed. The work grows with the rows of a
+    family of copies; rows of one group that nothing links are compared part by part, which grows with their square.
     """
     sizes = stored(rows.groupBy("group").agg(F.ceil(F.sum("weight") / limit).alias("parts"), F.count("*").alias("n")).where("n > 1").select("group", "parts"), "near-parts")
     own = stored(rows.join(sizes, "group"), "near-groups")

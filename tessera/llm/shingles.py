@@ -80,30 +80,40 @@ def word_digests(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)[words.indices.to_numpy()], upto
 
 
-def shingle_sets(column: pa.Array, width: int, lanes: int = 2) -> Iterator[np.ndarray]:
-    """Each row's distinct shingles, in order of their first 64 bits: column 0 has those, column 1 has 64 more.
+def joined(words: np.ndarray, width: int) -> np.ndarray:
+    """128 bits for each ``width`` neighbouring words from their own 128.
 
-    With one lane there is no column 1. Fewer words than ``width`` make one shingle; no words, none.
+    Both lanes are mixed between words, each with the other, so that no words are found to cancel out as they do in a sum.
+    """
+    n = len(words) - width + 1
+    one, two = np.full(n, width, np.uint64), np.zeros(n, np.uint64)
+    for k in range(width):
+        one = mixed(one + words[k : n + k, 0])
+        two = mixed(two + words[k : n + k, 1] ^ one)
+        one ^= two
+    return np.stack([one, two], axis=1)
+
+
+def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """Each row's distinct shingles, 128 bits in two columns, in order of the first.
+
+    Fewer words than ``width`` make one shingle; no words, none.
     """
-    odd = np.array([(k * 2 + 1) * 0xD6E8FEB86659FD93 % (1 << 64) for k in range(width)], np.uint64)[:, None]
     for first, end, raw, ends in text_slices(column):
         words, upto = word_digests(raw, ends)
-        words = np.ascontiguousarray(words[:, :lanes])
-        n = len(words) - width + 1
-        rolled = np.zeros((max(n, 0), lanes), np.uint64)
-        for k in range(width if n > 0 else 0):
-            rolled += words[k : n + k] * odd[k]
-        rolled = mixed(rolled)
+        every = joined(words, width) if len(words) >= width else None
         for r in range(end - first):
             a, b = int(upto[r]), int(upto[r + 1])
             if b - a >= width:
-                own = rolled[a : b - width + 1]
-                if lanes == 1:
-                    yield np.unique(own)[:, None]
-                    continue
+                own = every[a : b - width + 1]
                 own = own[np.argsort(own[:, 0], kind="stable")]
-                yield own[np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)])]
+                same, other = own[1:, 0] == own[:-1, 0], own[1:, 1] != own[:-1, 1]
+                if (same & other).any():
+                    own = own[np.lexsort((own[:, 1], own[:, 0]))]
+                    same, other = own[1:, 0] == own[:-1, 0], own[1:, 1] != own[:-1, 1]
+                fresh = np.concatenate([[True], ~same | other])
+                yield own[fresh]
             elif b > a:
-                yield mixed((words[a:b] * odd[: b - a]).sum(axis=0, keepdims=True) + _U(b - a))
+                yield joined(words[a:b], b - a)
             else:
-                yield np.zeros((0, lanes), np.uint64)
+                yield np.zeros((0, 2), np.uint64)

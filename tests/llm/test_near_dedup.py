@@ -67,6 +67,14 @@ def test_words_that_a_polynomial_takes_for_equal(spark):
     assert all(r.kept for r in rows) and len(rows) == 4
 
 
+def test_words_whose_digests_cancel_out_in_a_sum(spark):
+    """Three words each, no shingle in common; a linear sum of their digests was the same."""
+    rest = cases.documents()[0][2:]
+    docs = [(1, "w129a7f w26c5ec same", *rest), (2, "w38d7bf w310163 same", *rest), (3, "w129a7f w26c5ec same", *rest)]
+    rows = {r.doc_id: r.component_id for r in near_dedup.link(cases.table(spark, docs), 3, 85).collect()}
+    assert rows == {1: 1, 2: 2, 3: 1}
+
+
 def test_empty_tables(spark):
     assert near_dedup.link(cases.empty(spark)).count() == 0
     bare = [r for r in cases.documents() if not (r[1] or "").strip()]
