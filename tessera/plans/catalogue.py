@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import archives, events, facts, flows, governance, lifecycle, relational, retrieval, scoring, store  # noqa: F401  they register their queries
+from tessera.plans import archives, events, facts, flows, governance, indexed, lifecycle, relational, retrieval, scoring, store  # noqa: F401  they register their queries
 from tessera.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
