@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -16,7 +17,24 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from tessera.sources.scratch import stored
 
-_ATOMS = re.compile(r"\d+(?:[.:/-]\d+)*|\"[^\"]*\"|\b(?:not|no|never|nicht|ne|pas)\b", re.I)
+# What two near copies have in common for sure.
+PROTECTED_WORDS = frozenset(
+    """january february march april may june july august september october november december
+    today tomorrow yesterday morning afternoon evening night monday tuesday wednesday thursday friday saturday sunday
+    not no never without cannot can't couldn't didn't doesn't don't false hadn't hasn't haven't isn't true shouldn't wasn't weren't won't wouldn't""".split()
+)
+PLAIN_CAPITALS = frozenset("a an i the this that user".split())
+_CHINESE = "大前天 前天 昨天 今天 明天 后天 早晨 早上 上午 中午 下午 傍晚 晚上 凌晨 没有 禁止 不 没 未 无 (?:星期|周)[一二三四五六日天]"
+
+_WORD = re.compile(r"\w+(?:[-']\w+)*")
+#: Kinds of atoms and how each is found; the text of an atom is its first group that matched.
+_ATOMS = {
+    "literal": re.compile(r"(?<![A-Za-z0-9_])(v?\d+(?:\.\d+)+|\d+)(?![A-Za-z0-9_])|((?:[A-Za-z]:\\|/)[^\s\"']+)", re.I),
+    "quoted": re.compile(r"\"([^\"\r\n]+)\"|\u201c([^\u201d\r\n]+)\u201d|(?<!\w)'([^'\r\n]+)'(?!\w)"),
+    "word": re.compile(r"(\w+(?:[-']\w+)*)"),
+    "cjk": re.compile(f"({_CHINESE.replace(' ', '|')})"),
+    "name": re.compile(r"(?<![A-Za-z0-9_])([A-Z][A-Za-z0-9_-]{2,})(?![A-Za-z0-9_])"),
+}
 
 
 def exact_groups(rows: DataFrame, key: Column, row_id: str) -> DataFrame:
@@ -39,13 +57,29 @@ def band_pairs(rows: DataFrame, block: list[str], row_id: str, score: Column, lo
 
 
 def near_copy_form(text: str) -> str:
-    words = re.findall(r"\w+", unicodedata.normalize("NFKC", text).casefold())
+    """The words of a text, in one case, without a leading article."""
+    words = _WORD.findall(unicodedata.normalize("NFKC", text).casefold())
     return " ".join(words[1:] if words[:1] == ["the"] else words)
 
 
+def atoms(text: str) -> tuple[str, ...]:
+    """Numbers, versions, paths, quotes, protected words and names of a text, in order: near copies have the same."""
+    text, found = unicodedata.normalize("NFKC", text), []
+    absent = {"word"} if PROTECTED_WORDS.isdisjoint(_WORD.findall(text.casefold())) else set()
+    for kind, pattern in _ATOMS.items():
+        if kind in absent or kind == "cjk" and text.isascii():
+            continue
+        for m in pattern.finditer(text):
+            atom = next(g for g in m.groups() if g is not None).casefold().strip()
+            if kind == "word" and atom not in PROTECTED_WORDS or kind == "name" and atom in PROTECTED_WORDS | PLAIN_CAPITALS or not atom:
+                continue
+            found.append((m.start(), m.end(), f"{kind}:{atom}"))
+    return tuple(a for _, _, a in sorted(found))
+
+
 def is_near_copy(left: str, right: str, least: float = 0.90) -> bool:
-    """Alike in wording, and the same in numbers, quotes and negations, in order."""
-    if _ATOMS.findall(left.casefold()) != _ATOMS.findall(right.casefold()):
+    """Alike in wording, with the same atoms."""
+    if not left.strip() or not right.strip() or atoms(left) != atoms(right):
         return False
     a, b = near_copy_form(left), near_copy_form(right)
     if a == b:
@@ -63,7 +97,7 @@ def near_copy(left: pd.Series, right: pd.Series) -> pd.Series:
 @F.pandas_udf(StructType([StructField("form", StringType()), StructField("atoms", StringType())]))
 def near_copy_key(text: pd.Series) -> pd.DataFrame:
     """What two texts have equal for sure to be near copies (``atoms``), and what is compared then (``form``)."""
-    return pd.DataFrame({"form": text.map(near_copy_form), "atoms": text.map(lambda t: "\x1f".join(_ATOMS.findall(t.casefold())))})
+    return pd.DataFrame({"form": text.map(near_copy_form), "atoms": text.map(lambda t: "\x1f".join(atoms(t)))})
 
 
 def _grams(forms: list[str], width: int = 2048) -> np.ndarray:
@@ -76,34 +110,54 @@ def _grams(forms: list[str], width: int = 2048) -> np.ndarray:
     return out
 
 
-def _links(left: pa.Table, right: pa.Table, same: bool, least: float, kind: pa.DataType | None = None) -> pa.Table:
-    """Near copies between two blocks, without those that others of the blocks already link."""
-    (ids, forms, atoms), (ids2, forms2, atoms2) = ([t[c].to_pylist() for c in ("line_id", "form", "atoms")] for t in (left, right))
-    root: dict = {}
+def alike(left: str, right: str, least: float) -> bool:
+    """Whether the ratio of two forms is ``least`` in either order; the longest common subsequence bounds it."""
+    if 2 * common_letters(left, right) < least * (len(left) + len(right)) - 1e-6:
+        return False
+    return any(difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= least for a, b in ((left, right), (right, left)))
+
+
+def share_enough(left: tuple[np.ndarray, int], right: tuple[np.ndarray, int], total: float, least: float) -> bool:
+    """Whether two forms have as many strings of four in common as the ratio needs, which is 7M - 3T - 3 with repeats."""
+    need = (3.5 * least - 3) * total - 3 + max(left[1], right[1])
+    return need <= 0 or len(np.intersect1d(left[0], right[0], assume_unique=True)) >= need
+
+
+def _group_links(ids: list[str], forms: list[str], side: np.ndarray, least: float) -> list[tuple[str, str]]:
+    """Links among the rows of a group: of side 1 with side 2, or of all if there is only side 0."""
+    size, root = np.array([len(f) for f in forms], np.float32), list(range(len(ids)))
 
-    def find(x):
-        while root.get(x, x) != x:
-            root[x] = x = root.get(root[x], root[x])
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
         return x
 
-    found: list[tuple] = []
-    if ids and ids2:
-        codes = {a: i for i, a in enumerate({*atoms, *atoms2})}
-        kinds, kinds2 = (np.array([codes[a] for a in x]) for x in (atoms, atoms2))
-        size, size2 = (np.array([len(f) for f in x], np.float32) for x in (forms, forms2))
-        grams, grams2 = _grams(forms), _grams(forms2)
-        total, lost, lost2 = size[:, None] + size2, grams.sum(1) - size, grams2.sum(1) - size2
-        # A ratio r needs M = rT/2 letters in common, in at most T - 2M + 1 runs, so at least 5M - 2T - 2 equal strings.
-        fits = (grams @ grams2.T >= np.maximum(lost[:, None], lost2) + (2.5 * least - 2) * total - 1e-3) & (kinds[:, None] == kinds2) & (2 * np.minimum(size[:, None], size2) >= least * total - 1e-3)
-        for i, j in zip(*np.nonzero(np.triu(fits, 1) if same else fits), strict=True):
-            x, y = find(ids[i]), find(ids2[j])
-            if x == y:
+    @functools.cache
+    def fours(k: int) -> tuple[np.ndarray, int]:
+        c = np.frombuffer(forms[k].encode("utf-32-le", "replace"), np.uint32)
+        h = (c[:-3] * np.uint32(0x9E3779B1) ^ c[1:-2] * np.uint32(0x85EBCA77) ^ c[2:-1] * np.uint32(0xC2B2AE3D) ^ c[3:] * np.uint32(0x27D4EB2F)) if len(c) > 3 else c[:0]
+        own = np.unique(h)
+        return own, len(own) - len(c)
+
+    left, right = (np.flatnonzero(side == k) for k in ((0, 0) if (side == 0).any() else (1, 2)))
+    same, found = (side == 0).any(), []
+    grams = _grams(forms) if len(ids) > 16 else None
+    for block in np.array_split(left, max(1, len(left) // 512)):
+        total = size[block, None] + size[right]
+        fits = 2 * np.minimum(size[block, None], size[right]) >= least * total - 1e-3
+        if grams is not None:
+            # A ratio r needs M = rT/2 letters in common, in at most T - 2M + 1 runs, so at least 5M - 2T - 2 equal strings of three.
+            lost = grams.sum(1) - size
+            fits &= grams[block] @ grams[right].T >= np.maximum(lost[block, None], lost[right]) + (2.5 * least - 2) * total - 1e-3
+        for i, j in zip(*np.nonzero(fits), strict=True):
+            a, b = int(block[i]), int(right[j])
+            if same and a >= b:
                 continue
-            match = difflib.SequenceMatcher(None, forms[i], forms2[j], autojunk=False)
-            if 2 * common_letters(forms[i], forms2[j]) >= least * (len(forms[i]) + len(forms2[j])) - 1e-6 and (match.ratio() >= least or match_back(forms2[j], forms[i], least)):
+            x, y = find(a), find(b)
+            if x != y and share_enough(fours(a), fours(b), float(total[i, j]), least) and alike(forms[a], forms[b], least):
                 root[max(x, y)] = min(x, y)
-                found.append((min(ids[i], ids2[j]), max(ids[i], ids2[j])))
-    return pa.table({c: pa.array([f[k] for f in found], kind or pa.string()) for k, c in enumerate(("left_id", "right_id"))})
+                found.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+    return found
 
 
 def common_letters(left: str, right: str) -> int:
@@ -118,78 +172,58 @@ def common_letters(left: str, right: str) -> int:
     return len(left) - v.bit_count()
 
 
-def match_back(left: str, right: str, least: float) -> bool:
-    """The ratio depends on the order of the two."""
-    return difflib.SequenceMatcher(None, left, right, autojunk=False).ratio() >= least
-
-
 def near_copy_links(lines: DataFrame, block_rows: int = 2000, least: float = 0.90) -> DataFrame:
     """``left_id, right_id``: links whose classes are those of all near copies among ``lines`` (``line_id, line``).
 
-    Lines of one form and equal numbers, quotes and negations are linked to the least of them. Those left are dealt to
-    ranges of length and, within these, to blocks of about ``block_rows``; a task compares two blocks whose lengths
-    can be alike, so no pair is missed and none is a row but for links. Work grows with the square of a range.
+    Lines of one form and the same atoms are linked to the least of them. Near copies have the same atoms and their lengths
+    differ by (2 - r) / r at most, so the others meet where atoms are equal and lengths fall in one range or two
+    neighbouring ones. What meets is cut in blocks of about ``block_rows``, and each pair of blocks is a group of its own, so that a
+    frequent key is many tasks; most groups are a few lines, and a task compares many of them. Work grows with the
+    square of the lines that share atoms and length.
     """
-    keyed = stored(lines.where("line is not null").select("line_id", near_copy_key("line").alias("k")).select("line_id", "k.form", "k.atoms"), "near-copy-keys")
+    keyed = stored(lines.where("trim(line) <> ''").select("line_id", near_copy_key("line").alias("k")).select("line_id", "k.form", "k.atoms"), "near-copy-keys")
     firsts = stored(keyed.groupBy("form", "atoms").agg(F.min("line_id").alias("line_id")), "near-copy-firsts")
     equal = keyed.withColumnRenamed("line_id", "right_id").join(firsts.withColumnRenamed("line_id", "left_id"), ["form", "atoms"]).where("left_id <> right_id").select("left_id", "right_id")
 
-    # Lengths of near copies differ by (2 - r) / r at most, so their ranges are the same or neighbours.
     step = float(np.log((2 - least) / least + 1e-4))
-    ranged = firsts.where("form <> ''").withColumn("span", F.floor(F.log(F.length("form").cast("double")) / step).cast("int"))
-    parts = {r.span: -(-r.n // block_rows) for r in ranged.groupBy("span").agg(F.count("*").alias("n")).collect()}
-    pairs = [(s, p, t, q) for s in parts for t in (s, s + 1) if t in parts for p in range(parts[s]) for q in range(p if s == t else 0, parts[t])]
-    if not pairs:
-        return equal
-    spark = lines.sparkSession
-    sizes = F.create_map(*(F.lit(x) for s, n in parts.items() for x in (s, n)))
-    blocks = ranged.withColumn("part", F.pmod(F.xxhash64("line_id"), sizes[F.col("span")]).cast("int"))
-    tasks = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "task int, s int, p int, t int, q int")
-    columns = ["task", "same", "line_id", "form", "atoms"]
-    side = lambda s, p: blocks.join(F.broadcast(tasks.select("task", F.col(s).alias("span"), F.col(p).alias("part"), ((F.col("s") == F.col("t")) & (F.col("p") == F.col("q"))).alias("same"))), ["span", "part"]).select(*(F.col(c).alias(f"{s}_{c}") for c in columns))
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        left, right = (t.rename_columns(columns).sort_by("line_id") for t in (left, right))
-        return _links(left, right, bool(len(left)) and left["same"][0].as_py(), least)
-
-    found = side("s", "p").groupBy("s_task").cogroup(side("t", "q").groupBy("t_task")).applyInArrow(compare, "left_id string, right_id string")
-    return equal.unionByName(found)
-
-
-def near_copies_within(docs: DataFrame, id_col: str, text_col: str, block_rows: int = 1000, least: float = 0.90) -> DataFrame:
-    """``doc_id, left_line, right_line``: links whose classes are those of all near copies among the lines of a text.
-
-    Candidates share a subject, which here is the text, as near copies of facts are looked for among facts of one
-    subject. Lines are numbered from 0; each different line is named by its first number. A text's lines are compared
-    in blocks of ``block_rows``, so memory is bounded, and nothing is shuffled. Null and empty texts have no links.
-    """
+    ranged = firsts.where("form <> ''").select("line_id", "form", F.md5("atoms").alias("key"), F.floor(F.log(F.length("form").cast("double")) / step).cast("int").alias("span"))
+    parts = ranged.groupBy("key", "span").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"), F.count("*").alias("n"))
+    beside = lambda by, name: parts.select("key", (F.col("span") + by).alias("span"), F.col("parts").alias(name))
+    parts = parts.join(beside(1, "under"), ["key", "span"], "left").join(beside(-1, "over"), ["key", "span"], "left")
+    parts = parts.where("n > 1 or under is not null or over is not null").select("key", "span", "parts", "under", "over")
+    rows = ranged.join(parts, ["key", "span"]).withColumn("part", F.pmod(F.xxhash64("line_id"), F.col("parts")).cast("int"))
+
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.coalesce(n, F.lit(0))), lambda i: i < F.coalesce(n, F.lit(0)))
+    place = lambda kind, lower, upper, side: F.struct(F.lit(kind).alias("kind"), (F.col("span") - (1 if side == 2 and kind else 0)).alias("at"), lower.alias("lower"), upper.alias("upper"), F.lit(side).alias("side"))
+    own, part = upto(F.col("parts")), F.col("part")
+    within = F.transform(own, lambda i: F.struct(F.lit(0).alias("kind"), F.col("span").alias("at"), F.least(i, part).alias("lower"), F.greatest(i, part).alias("upper"), F.when(i == part, 0).when(i > part, 1).otherwise(2).alias("side")))
+    above = F.transform(upto(F.col("over")), lambda i: place(1, part, i, 1))
+    below = F.transform(upto(F.col("under")), lambda i: place(1, i, part, 2))
+    dealt = rows.select("key", "line_id", "form", F.explode(F.concat(within, above, below)).alias("p"))
+    dealt = dealt.select(F.xxhash64("key", "p.kind", "p.at", "p.lower", "p.upper").alias("group"), F.col("p.side").alias("side"), "line_id", "form")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def links() -> list[tuple[str, str]]:
+            return _group_links([h[2] for h in held], [h[3] for h in held], np.array([h[1] for h in held]), least) if len(held) > 1 else []
+
         for batch in batches:
-            for at, text in enumerate(batch.column(1).to_pylist()):
-                first: dict[str, int] = {}
-                for i, line in enumerate((text or "").split("\n")):
-                    first.setdefault(line, i)
-                kept: dict[tuple[str, str], int] = {}
-                links = []
-                for line, i in first.items():
-                    key = near_copy_form(line), "\x1f".join(_ATOMS.findall(line.casefold()))
-                    if key[0] and kept.setdefault(key, i) != i:
-                        links.append((kept[key], i))
-                rows = sorted((len(form), i, form, atoms) for (form, atoms), i in kept.items() if form)
-                blocks = [rows[k : k + block_rows] for k in range(0, len(rows), block_rows)]
-                tables = [pa.table({"line_id": [r[1] for r in b], "form": [r[2] for r in b], "atoms": [r[3] for r in b]}) for b in blocks]
-                for x, left in enumerate(blocks):
-                    for y in range(x, len(blocks)):
-                        if 2 * left[-1][0] >= least * (left[-1][0] + blocks[y][0][0]) - 1e-3:
-                            found = _links(tables[x], tables[y], x == y, least, pa.int64())
-                            links += zip(found["left_id"].to_pylist(), found["right_id"].to_pylist(), strict=True)
-                if links:
-                    ids = batch.column(0).take(pa.array([at] * len(links)))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array([e[k] for e in links], pa.int64()) for k in (0, 1))], names=["doc_id", "left_line", "right_line"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(compare, f"doc_id {kind}, left_line long, right_line long")
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    found += links()
+                    held.clear()
+                held.append(row)
+            yield _pairs(found)
+        yield _pairs(links())
+
+    links = dealt.repartition("group").sortWithinPartitions("group", "line_id").mapInArrow(compare, "left_id string, right_id string")
+    return equal.unionByName(links.distinct())
+
+
+def _pairs(found: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["left_id", "right_id"])
 
 
 def resolve(same_value: Column, same_time: Column, newer: Column, exclusive: Column) -> Column:

@@ -230,8 +230,9 @@ def label_band(spark, d):
 
 @query("n05_near_copies")
 def near_copies(spark, d):
-    """Lines of one document alike in wording: links between classes of a document's lines, whatever their first words."""
-    return D.near_copies_within(table(spark, d, "documents"), "doc_id", "text")
+    """Links between classes of lines alike in wording, among the different lines of all documents."""
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''").distinct()
+    return D.near_copy_links(lines.select("line", F.sha2("line", 256).alias("line_id")))
 
 
 RES = """with p as (select o_custkey, o_orderkey, o_orderstatus, o_orderdate, o_orderpriority, lag(o_orderstatus) over w as was, lag(o_orderdate) over w as was_at from orders window w as (partition by o_custkey, o_orderpriority order by o_orderdate, o_orderkey)),

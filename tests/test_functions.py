@@ -46,6 +46,10 @@ def test_near_copies():
     assert dedup.is_near_copy("The service runs on port 8080.", "service runs on port 8080")
     assert not dedup.is_near_copy("The service runs on port 8080", "The service runs on port 8081")
     assert not dedup.is_near_copy("It is on", "It is not on")
+    assert not dedup.is_near_copy("The release went out on Monday to all users", "The release went out on Friday to all users")
+    assert not dedup.is_near_copy("The config of Redis is in /etc/app.conf now", "The config of Nginx is in /etc/app.conf now")
+    assert not dedup.is_near_copy('The title is "old one" for every page', 'The title is "old two" for every page')
+    assert dedup.atoms("This User ran v1.2.3 at /opt/x on 8080, didn't stop: “a b” and Redis") == ("literal:v1.2.3", "literal:/opt/x", "literal:8080", "word:didn't", "quoted:a b", "name:redis")
 
 
 def test_chunks_hold_whole_lines(spark):
