@@ -16,6 +16,8 @@ from tessera.llm.shingles import shingle_sets
 
 #: 2 ** 7 registers in 32 bands of 4. A pair of similarity 0.8 shares no band with probability below 1e-7.
 BITS, BAND = 7, 4
+#: Bands that are looked at first. They join nearly all that the others would, and what they joined is not compared again.
+FIRST_BANDS = 6
 REGISTERS = 1 << BITS
 MANTISSA = 10
 EMPTY = 0xFFFF
@@ -196,19 +198,22 @@ def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(labels.join(tops, "tree", "left").select("fp", F.coalesce("root", "tree").alias("tree")), "near-trees")
 
 
-def spanning(rows: DataFrame, payload: DataFrame, limit: int, work: Work) -> DataFrame:
+def spanning(rows: DataFrame, payload: DataFrame, limit: int, work: Work, known: DataFrame | None = None) -> DataFrame:
     """``fp, tree`` of every fp of ``rows`` (``group, fp, weight``): its component by links within groups.
 
+    Trees that are ``known`` (``fp, tree``) stay joined, and groups that lie in one of them are not compared.
     Groups are cut at random into parts of about ``limit`` weight, each compared in full. Where a group had several
     parts, one row of each tree found meets those of the other trees, which joins families of copies whatever their size.
     Only where a group still has several trees are rows of different trees compared: all others with the heaviest, in
     pairs of parts, and among each other. So no group is a task and no link is missed. The work grows with the rows of a
     family of copies; rows of one group that nothing links are compared part by part, which grows with their square.
     """
-    sizes = stored(rows.groupBy("group").agg(F.ceil(F.sum("weight") / limit).alias("parts"), F.count("*").alias("n")).where("n > 1").select("group", "parts"), "near-parts")
+    rows = rows.withColumn("tree", F.col("fp")) if known is None else rows.join(known, "fp", "left").withColumn("tree", F.coalesce("tree", "fp"))
+    sizes = stored(rows.groupBy("group").agg(F.ceil(F.sum("weight") / limit).alias("parts"), (F.min("tree") < F.max("tree")).alias("apart")).where("apart").select("group", "parts"), "near-parts")
     own = stored(rows.join(sizes, "group"), "near-groups")
-    dealt = own.select(F.xxhash64("group", F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("part"), "fp", F.col("fp").alias("tree"))
-    edges = stored(_compared(dealt, payload, work), "near-edges")
+    dealt = own.select(F.xxhash64("group", F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("part"), "fp", "tree")
+    edges = _compared(dealt, payload, work)
+    edges = stored(edges if known is None else edges.unionByName(known.select(F.col("fp").alias("a"), F.col("tree").alias("b"))), "near-edges")
     labels = components(edges).select(F.col("node").alias("fp"), F.col("root").alias("tree"))
     large = own.where("parts > 1").select("group", "fp", "weight")
     if large.isEmpty():
@@ -261,8 +266,10 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     classes = stored(classes, "near-classes")
 
     banded = classes.select("fp", F.posexplode("bands").alias("band", "value")).where("value <> -1")
-    banded = banded.select(F.xxhash64("band", "value").alias("group"), "fp", F.lit(1).cast("long").alias("weight"))
-    clusters = spanning(banded, classes.select("fp", "bands"), BUCKET_ROWS, bucket_links(percent))
+    banded = banded.select("band", F.xxhash64("band", "value").alias("group"), "fp", F.lit(1).cast("long").alias("weight"))
+    registered = classes.select("fp", "bands")
+    clusters = spanning(banded.where(F.col("band") < FIRST_BANDS).drop("band"), registered, BUCKET_ROWS, bucket_links(percent))
+    clusters = spanning(banded.where(F.col("band") >= FIRST_BANDS).drop("band"), registered, BUCKET_ROWS, bucket_links(percent), stored(clusters, "near-first"))
 
     grouped = stored(clusters.join(classes.select("fp", "n", "row"), "fp").select(F.col("tree").alias("group"), "fp", (F.col("n") + ROW).alias("weight"), "row"), "near-clusters")
     rows = grouped.select(F.col("row.doc_id").alias("r_doc"), F.col("row.text_id").alias("r_text")).distinct()
