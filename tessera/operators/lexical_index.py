@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import terms
-from tessera.operators.retrieval import top
+from tessera.operators.retrieval import pruned_top
 from tessera.sources.scratch import stored
 
 #: Buckets of terms, documents of a block, and a query's rarest terms that are scored first.
@@ -204,9 +204,7 @@ class LexicalIndex:
     def search(self, asked: DataFrame, k: int, places: int = 6) -> DataFrame:
         """``query_id, doc_id, score, rank``: the k best of each query, as ``scores`` has them, rounded, ties to lesser ids.
 
-        A query's rarest terms are scored first; the k-th best sum bounds what the best documents reach. Its frequent
-        terms whose greatest weights add up to less find no documents of their own: they only add to documents that the
-        others found and that can still reach the bound, so their postings meet candidates instead of being summed.
+        See ``pruned_top``; a block's greatest tf and least length bound what a term adds.
         """
         manifest = self.manifest()
         if not manifest["segments"]:
@@ -214,26 +212,7 @@ class LexicalIndex:
         asked = stored(asked.select("query_id", "term").distinct(), "asked")
         idf, share = self._weighed(manifest, asked)
         blocks = self._blocks_of(manifest, asked).select("term", "max_tf", "min_terms").groupBy("term").agg(F.max(share("max_tf", "min_terms")).alias("most"))
-        known = idf.join(blocks, "term").select("term", "idf", (F.col("idf") * F.col("most")).alias("bound"))
-        known = stored(asked.join(known, "term"), "asked-bounds")
-        rows = self._live(self._postings(manifest, asked), manifest).join(idf.select("term", "idf"), "term").select("doc_id", "term", (F.col("idf") * share("tf", "doc_terms")).alias("weight"))
-        rows = stored(rows, "asked-postings")
-
-        leads = top(known, LEADS, [F.col("idf").desc(), F.col("term")]).select("query_id", "term")
-        first = leads.join(rows, "term").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
-        least = top(first, k, [F.col("score").desc(), F.col("doc_id")]).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
-        # A margin, as scores are rounded before they are ranked.
-        known = known.join(least.select("query_id", F.col("least") - 2 * 10.0**-places), "query_id", "left").toDF("query_id", "term", "idf", "bound", "least")
-        by = F.struct("bound", "term")
-        steps = known.groupBy("query_id", "least").agg(F.sort_array(F.collect_list(by)).alias("terms"))
-        grown = F.aggregate("terms", F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<struct<term: string, upto: double>>").alias("out")), lambda a, t: F.struct((a["sum"] + t["bound"]).alias("sum"), F.concat(a["out"], F.array(F.struct(t["term"].alias("term"), (a["sum"] + t["bound"]).alias("upto")))).alias("out")))["out"]
-        steps = steps.select("query_id", "least", F.explode(grown).alias("t")).select("query_id", "least", "t.*")
-        steps = stored(steps.withColumn("finds", F.col("least").isNull() | (F.col("upto") >= F.col("least"))), "asked-steps")
-        rest = steps.where("not finds").groupBy("query_id").agg(F.max("upto").alias("rest"))
-
-        found = steps.where("finds").select("query_id", "term", "least").join(rows, "term").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"), F.first("least").alias("least"))
-        found = found.join(rest, "query_id", "left").where("least is null or score + coalesce(rest, 0) >= least").select("query_id", "doc_id", "score")
-        found = stored(found, "candidates")
-        more = steps.where("not finds").select("query_id", "term").join(rows, "term").join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", F.col("weight").alias("score"))
-        whole = found.unionByName(more).groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), places).alias("score"))
-        return top(whole, k, [F.col("score").desc(), F.col("doc_id")]).select("query_id", "doc_id", "score", "rank")
+        known = idf.join(blocks, "term").select("term", F.col("idf").alias("factor"), (F.col("idf") * F.col("most")).alias("bound"))
+        rows = self._live(self._postings(manifest, asked), manifest).select("term", "doc_id", share("tf", "doc_terms").alias("value"))
+        rows = stored(rows.join(idf.select("term"), "term", "left_semi"), "asked-postings")
+        return pruned_top(asked.join(known, "term").select("query_id", "term", "factor", "bound"), rows, k, places, LEADS)

@@ -51,6 +51,51 @@ def top(scored: DataFrame, k: int, by: list[Column], per: tuple[str, ...] = ("qu
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
+def pruned_top(known: DataFrame, rows: DataFrame, k: int, places: int = 6, leads: int = 6) -> DataFrame:
+    """``query_id, doc_id, score, rank``: the k documents of each query with the greatest rounded sums, ties to lesser ids.
+
+    A document's score is the sum of ``factor * value`` over the terms that ``known`` (``query_id, term, factor, bound``) and
+    ``rows`` (``term, doc_id, value``, all positive and stored) share; ``bound`` is the most that a term adds to any document.
+
+    A query's terms of the greatest factors are scored first; the k-th best sum bounds what the best documents reach. Terms
+    whose bounds add up to less find no documents of their own: they only add to documents that the others found and
+    that can still reach the bound, so their postings meet candidates instead of being summed.
+    """
+    known = stored(known, "asked-bounds")
+    weighed = lambda some: some.join(rows, "term").withColumn("weight", F.col("factor") * F.col("value"))
+    first = top(known, leads, [F.col("factor").desc(), F.col("term")]).select("query_id", "term", "factor")
+    first = weighed(first).groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
+    least = top(first, k, [F.col("score").desc(), F.col("doc_id")]).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
+    # A margin, as scores are rounded before they are ranked.
+    least = least.select("query_id", (F.col("least") - 2 * 10.0**-places).alias("least"))
+    upto = F.sum("bound").over(Window.partitionBy("query_id").orderBy("bound", "term"))
+    steps = known.withColumn("upto", upto).join(least, "query_id", "left")
+    steps = stored(steps.withColumn("finds", F.col("least").isNull() | (F.col("upto") >= F.col("least"))), "asked-steps")
+    rest = steps.where("not finds").groupBy("query_id").agg(F.max("upto").alias("rest"))
+
+    found = weighed(steps.where("finds").select("query_id", "term", "factor", "least")).groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"), F.first("least").alias("least"))
+    found = found.join(rest, "query_id", "left").where("least is null or score + coalesce(rest, 0) >= least").select("query_id", "doc_id", "score")
+    found = stored(found, "candidates")
+    more = weighed(steps.where("not finds").select("query_id", "term", "factor")).join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    whole = found.unionByName(more.select("query_id", "doc_id", F.col("weight").alias("score"))).groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), places).alias("score"))
+    return top(whole, k, [F.col("score").desc(), F.col("doc_id")]).select("query_id", "doc_id", "score", "rank")
+
+
+def sparse_nearest(queries: DataFrame, vectors: DataFrame, k: int, places: int = 6) -> DataFrame:
+    """``query_id, doc_id, score, rank``: the k greatest inner products of sparse vectors with those of ``queries``.
+
+    Both have an id (``query_id``, ``doc_id``) and ``weights``, a map from dimensions to weights; weights that are null or not
+    positive count as 0. The vectors' dimensions are postings with the greatest weight of each, which bounds what a
+    dimension adds. Vectors without a common dimension are not found.
+    """
+    flat = lambda df, c, name: df.select(c, F.explode("weights").alias("term", name)).where(F.col(name) > 0)
+    asked = stored(flat(queries, "query_id", "factor"), "sparse-asked")
+    rows = stored(flat(vectors, "doc_id", "value").join(asked.select("term").distinct(), "term", "left_semi"), "sparse-postings")
+    most = rows.groupBy("term").agg(F.max("value").alias("most"))
+    known = asked.join(most, "term").select("query_id", "term", "factor", (F.col("factor") * F.col("most")).alias("bound"))
+    return pruned_top(known, rows, k, places)
+
+
 def _unit(column: pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks()
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)

@@ -362,12 +362,25 @@ def semantic_candidate(spark, d):
     return rows.withColumn("outcome", F.when(F.col("score") >= 0.4, "semantic_candidate").otherwise("new"))
 
 
-@query("y05_fused_ranks", f"with {DENSE}, s as (select query_id, vec_id, row_number() over (partition by query_id order by abs(vec_id - query_id), vec_id) as rank from dtop), u as (select query_id, vec_id, 0.7 / (60 + rank) as w from dtop union all select query_id, vec_id, 0.3 / (60 + rank) from s) select query_id, vec_id, round(sum(w), 8) as fused from u group by all")
-def fused_ranks(spark, d):
-    """Two orders of the same candidates, weighed 7 to 3."""
-    rows = stored(dense(spark, d).select("query_id", "vec_id", "rank"), "dense")
-    near = Window.partitionBy("query_id").orderBy(F.abs(F.col("vec_id") - F.col("query_id")), "vec_id")
-    second = rows.select("query_id", F.lit("near").alias("channel"), F.col("vec_id").alias("doc_id"), F.row_number().over(near).alias("rank"), F.lit(0.3).alias("weight"))
-    first = rows.select("query_id", F.lit("dense").alias("channel"), F.col("vec_id").alias("doc_id"), "rank", F.lit(0.7).alias("weight"))
-    return fusion.rrf(first.unionByName(second)).select("query_id", F.col("doc_id").alias("vec_id"), F.round("rrf", 8).alias("fused"))
+Y05 = f"""with words as (select doc_id, {TERMS.format('text')} as words from documents where doc_id in (select vec_id from embeddings)),
+v as (select doc_id, term, 1 + ln(count(*)) as w from (select doc_id, unnest(words) as term from words) group by all),
+sp as (select a.doc_id as query_id, b.doc_id as vec_id, round(sum(a.w * b.w), 6) as score from v a join v b using (term) where a.doc_id % 50 = 0 and a.doc_id <> b.doc_id group by 1, 2),
+dn as (select a.vec_id as query_id, b.vec_id, round({COS}, 6) as score from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+ranked as (select query_id, vec_id, 0.6 as share, row_number() over (partition by query_id order by score desc, vec_id) as rank from dn union all select query_id, vec_id, 0.4, row_number() over (partition by query_id order by score desc, vec_id) from sp),
+fused as (select query_id, vec_id, round(sum(share / (60 + rank)), 8) as fused from ranked where rank <= 50 group by all)
+select query_id, vec_id, fused, rank from (select *, row_number() over (partition by query_id order by fused desc, vec_id) as rank from fused) where rank <= 10"""
+
 
+@query("y05_fused_ranks", Y05)
+def fused_ranks(spark, d):
+    """Dense and sparse vectors of the same rows: the ranks of both searches, fused 6 to 4."""
+    ids = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")).distinct()
+    tf = table(spark, d, "documents").join(ids, "doc_id", "left_semi").select("doc_id", F.explode(X.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    sparse = stored(tf.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", 1 + F.log("tf")))).alias("weights")), "sparse-vectors")
+    queries = sparse.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    near = retrieval.sparse_nearest(queries, sparse, 51).where("query_id <> doc_id").drop("rank")
+    near = retrieval.top(near, 50, [F.col("score").desc(), F.col("doc_id")])
+    first = dense(spark, d, 50).select("query_id", F.lit("dense").alias("channel"), F.col("vec_id").alias("doc_id"), "rank", F.lit(0.6).alias("weight"))
+    second = near.select("query_id", F.lit("sparse").alias("channel"), "doc_id", "rank", F.lit(0.4).alias("weight"))
+    found = fusion.rrf(first.unionByName(second)).withColumn("rrf", F.round("rrf", 8))
+    return retrieval.top(found, 10, [F.col("rrf").desc(), F.col("doc_id")]).select("query_id", F.col("doc_id").alias("vec_id"), F.col("rrf").alias("fused"), "rank")

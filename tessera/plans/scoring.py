@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import fusion, retrieval
+from tessera.operators import calibration, fusion, retrieval
 from tessera.plans.facts import H, NOW, at, history
 from tessera.plans.registry import query
 from tessera.plans.retrieval import DENSE, GOLD, INDEX, asked, dense, judged
@@ -153,40 +153,39 @@ def pending_pairs(spark, d):
 
 # Evaluation.
 
-DRAWS = "('0x' || substr(md5({} || '|' || b), 1, 8))::bigint % 3"
+_U = "(('0x' || substr(md5({} || '|' || b), 1, 8))::bigint / 4294967296.0::double)"
+DRAWS = "(" + " + ".join(f"({_U} >= {p!r}::double)::int" for p in calibration.POISSON) + ")"
+_BOOT = """, m as (select b, sum(total * w) / sum(n * w)::double as mean from (select *, {w} as w from x, (select unnest(range(1, {k} + 1)) as b)) group by b)
+select round(max(mean) filter (r = {low}), 6) as low, round(max(mean) filter (r = {high}), 6) as high from (select *, row_number() over (order by mean, b) as r from m)"""
 
 
-def draws(key):
-    """How often a resample takes a row: 0, 1 or 2, by a hash of the row and the resample's number."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", key, "b")), 1, 8), 16, 10).cast("long") % 3
-
-
-def _interval(rows, key):
-    """Means of a hundred hashed resamples, and the ranks that bound nine in ten."""
-    b = F.explode(F.sequence(F.lit(1), F.lit(100))).alias("b")
-    w = draws(key)
-    means = rows.select("*", b).groupBy("b").agg((F.sum(F.col("quality") * w) / F.sum(w)).alias("mean"))
-    ranked = means.withColumn("r", F.row_number().over(Window.orderBy("mean", "b")))
-    return ranked.agg(F.round(F.max(F.when(F.col("r") == 6, F.col("mean"))), 6).alias("low"), F.round(F.max(F.when(F.col("r") == 95, F.col("mean"))), 6).alias("high"))
-
-
-_BOOT = "select round(max(mean) filter (r = 6), 6) as low, round(max(mean) filter (r = 95), 6) as high from (select *, row_number() over (order by mean, b) as r from (select b, sum(quality * w) / sum(w)::double as mean from x group by b))"
-
-
-@query("v06_bootstrap", f"with x as (select quality, b, {DRAWS.format('doc_id')} as w from labels, (select unnest(range(1, 101)) as b)) " + _BOOT)
+@query("v06_bootstrap", "with x as (select substr(md5(doc_id::varchar), 1, 3) as unit, sum(quality) as total, count(quality) as n from labels group by 1)" + _BOOT.format(w=DRAWS.replace("{}", "unit"), k=1000, low=26, high=975))
 def bootstrap(spark, d):
-    return _interval(table(spark, d, "labels").select("doc_id", "quality"), F.col("doc_id").cast("string"))
+    return calibration.bootstrap_mean(table(spark, d, "labels"), F.col("quality"), F.col("doc_id").cast("string"), 1000)
 
 
-@query("v07_cluster_bootstrap", f"with x as (select quality, b, {DRAWS.format('source')} as w from labels join documents using (doc_id), (select unnest(range(1, 101)) as b) where source is not null) " + _BOOT)
+@query("v07_cluster_bootstrap", "with x as (select source as unit, sum(quality) as total, count(quality) as n from labels join documents using (doc_id) where source is not null group by 1)" + _BOOT.format(w=DRAWS.replace("{}", "unit"), k=2000, low=51, high=1950))
 def cluster_bootstrap(spark, d):
-    """All rows of a source are drawn together; they are summed before the resamples."""
-    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").where("source is not null")
-    sums = rows.groupBy("source").agg(F.sum("quality").alias("good"), F.count("quality").alias("n"))
-    w = draws(F.col("source"))
-    means = sums.select("*", F.explode(F.sequence(F.lit(1), F.lit(100))).alias("b")).groupBy("b").agg((F.sum(F.col("good") * w) / F.sum(F.col("n") * w)).alias("mean"))
-    ranked = means.withColumn("r", F.row_number().over(Window.orderBy("mean", "b")))
-    return ranked.agg(F.round(F.max(F.when(F.col("r") == 6, F.col("mean"))), 6).alias("low"), F.round(F.max(F.when(F.col("r") == 95, F.col("mean"))), 6).alias("high"))
+    """All rows of a source are drawn together."""
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return calibration.bootstrap_mean(rows, F.col("quality"), F.col("source"), 2000, grouped=False)
+
+
+U12 = r"""with recursive cells as (select round(least(1, n_chars / 5000.0), 2)::double as x, round(length(regexp_replace(text, '[^0-9*#$%&!]', '', 'g')) / greatest(n_chars, 1)::double, 2) as z, quality::double as y, count(*) as n
+    from documents join labels using (doc_id) where quality is not null group by all),
+total as (select sum(n) as total from cells),
+g(step, b, wx, wz) as (select 0, 0.0::double, 0.0::double, 0.0::double
+    union all select step + 1, b - 0.1 / total * sum(n * e), wx - 0.1 / total * sum(n * e * x), wz - 0.1 / total * sum(n * e * z)
+    from (select g.*, x, z, n, total, 1 / (1 + exp(-greatest(-35, least(35, b + wx * x + wz * z)))) - y as e from g, cells, total where step < 1000) group by step, b, wx, wz, total)
+select unnest(['intercept', 'x', 'z']) as name, round(unnest([b, wx, wz]), 6) as weight from g where step = 1000"""
+
+
+@query("u12_calibration", U12)
+def calibrated(spark, d):
+    """A document's label by its length and its share of digits and marks: weights of a logistic model."""
+    marks = F.length(F.regexp_replace("text", "[^0-9*#$%&!]", "")) / F.greatest("n_chars", F.lit(1))
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("quality", F.round(F.least(F.lit(1.0), F.col("n_chars") / 5000.0), 2).alias("x"), F.round(marks, 2).alias("z"))
+    return calibration.fit_logistic(rows, ["x", "z"], "quality").select("name", F.round("weight", 6).alias("weight"))
 
 
 @query("v08_hits", GOLD + " select count(distinct query_id) as queries, count(distinct case when want = got and rank = 1 then query_id end) as hit1, count(distinct case when want = got and rank <= 3 then query_id end) as hit3, round(count(*) filter (want = got and rank <= 3) / (3.0 * count(distinct query_id)), 6) as precision3 from g")
