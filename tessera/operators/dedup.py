@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import difflib
 import functools
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,6 +174,76 @@ def common_letters(left: str, right: str) -> int:
     return len(left) - v.bit_count()
 
 
+def meeting(rows: DataFrame, row_id: str, block_rows: int) -> DataFrame:
+    """``rows`` (with ``key`` and ``span``) dealt to groups, so that rows of one key and the same or neighbouring spans meet.
+
+    A key's span is cut at random in blocks of about ``block_rows``, and each pair of blocks is a group: of all its rows
+    (``side`` 0), or of those of side 1 with those of side 2. Rows that would meet none are left out.
+    """
+    parts = rows.groupBy("key", "span").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"), F.count("*").alias("n"))
+    beside = lambda by, name: parts.select("key", (F.col("span") + by).alias("span"), F.col("parts").alias(name))
+    parts = parts.join(beside(1, "under"), ["key", "span"], "left").join(beside(-1, "over"), ["key", "span"], "left")
+    parts = parts.where("n > 1 or under is not null or over is not null").select("key", "span", "parts", "under", "over")
+    part, upto = F.pmod(F.xxhash64(row_id), F.col("parts")).cast("int"), lambda n: F.filter(F.sequence(F.lit(0), F.coalesce(n, F.lit(0))), lambda i: i < F.coalesce(n, F.lit(0)))
+    place = lambda kind, at, lower, upper, side: F.struct(F.lit(kind).alias("kind"), at.alias("at"), lower.alias("lower"), upper.alias("upper"), side.alias("side"))
+    own, span = F.col("part"), F.col("span")
+    within = F.transform(upto(F.col("parts")), lambda i: place(0, span, F.least(i, own), F.greatest(i, own), F.when(i == own, 0).when(i > own, 1).otherwise(2)))
+    above = F.transform(upto(F.col("over")), lambda i: place(1, span, own, i, F.lit(1)))
+    below = F.transform(upto(F.col("under")), lambda i: place(1, span - 1, i, own, F.lit(2)))
+    dealt = rows.join(parts, ["key", "span"]).withColumn("part", part).select(*rows.columns, F.explode(F.concat(within, above, below)).alias("p"))
+    return dealt.select(F.xxhash64("key", "p.kind", "p.at", "p.lower", "p.upper").alias("group"), F.col("p.side").alias("side"), *rows.columns)
+
+
+def similar_pairs(vectors: DataFrame, key: str, low: float, high: float, row_id: str = "vec_id", vector: str = "embedding", block_rows: int = 2000) -> DataFrame:
+    """``left_id, right_id, score`` of rows of one ``key`` whose cosine is in [low, high), left_id the lesser.
+
+    Unit vectors of a cosine of ``low`` or more are at most r = sqrt(2 - 2 low) apart, and so are their distances to any
+    pivot: rows are ringed by their distance to the vector of least hash in steps of r, and only the same and
+    neighbouring rings meet, block by block. Null vectors and those with a norm of 0 or without one are left out; scores have six places.
+    """
+    r = float(np.sqrt(max(2 - 2 * low, 1e-9))) + 1e-6
+    rows = vectors.select(F.col(key).cast("string").alias("key"), F.col(row_id).alias("row_id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    rows = rows.withColumn("norm", norm).where("norm > 0 and norm < double('infinity')").select("key", "row_id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+    rows = stored(rows, "unit-vectors")
+    pivot = rows.orderBy(F.xxhash64("row_id"), "row_id").limit(1).select(F.col("v").alias("pivot"))
+    apart = F.sqrt(F.aggregate(F.zip_with("v", "pivot", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    ringed = rows.join(F.broadcast(pivot), F.lit(True)).withColumn("span", F.floor(apart / r).cast("int")).drop("pivot")
+
+    def work(rows: list[tuple]) -> list[tuple]:
+        ids, side = np.array([h[2] for h in rows]), np.array([h[1] for h in rows])
+        v, found = np.array([h[3] for h in rows], np.float64), []
+        left, right = (np.flatnonzero(side == k) for k in ((0, 0) if (side == 0).any() else (1, 2)))
+        for block in np.array_split(left, max(1, len(left) // 512)):
+            scores = np.round(v[block] @ v[right].T, 6)
+            for i, j in zip(*np.nonzero((scores >= low) & (scores < high)), strict=True):
+                a, b = int(ids[block[i]]), int(ids[right[j]])
+                if a < b or (side == 1).any() and a != b:
+                    found.append((min(a, b), max(a, b), float(scores[i, j])))
+        return found
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in grouped(batches, work):
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["left_id", "right_id", "score"])
+
+    dealt = meeting(ringed, "row_id", block_rows).select("group", "side", "row_id", "v")
+    return dealt.repartition("group").sortWithinPartitions("group", "row_id").mapInArrow(compare, "left_id long, right_id long, score double")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], work) -> Iterator[list]:
+    """What ``work`` makes of each group of rows, of a stream sorted by its first column; the open group is held."""
+    held: list[tuple] = []
+    for batch in batches:
+        found: list = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][0] != row[0]:
+                found += work(held) if len(held) > 1 else []
+                held = []
+            held.append(row)
+        yield found
+    yield work(held) if len(held) > 1 else []
+
+
 def near_copy_links(lines: DataFrame, block_rows: int = 2000, least: float = 0.90) -> DataFrame:
     """``left_id, right_id``: links whose classes are those of all near copies among ``lines`` (``line_id, line``).
 
@@ -187,45 +259,103 @@ def near_copy_links(lines: DataFrame, block_rows: int = 2000, least: float = 0.9
 
     step = float(np.log((2 - least) / least + 1e-4))
     ranged = firsts.where("form <> ''").select("line_id", "form", F.md5("atoms").alias("key"), F.floor(F.log(F.length("form").cast("double")) / step).cast("int").alias("span"))
-    parts = ranged.groupBy("key", "span").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"), F.count("*").alias("n"))
-    beside = lambda by, name: parts.select("key", (F.col("span") + by).alias("span"), F.col("parts").alias(name))
-    parts = parts.join(beside(1, "under"), ["key", "span"], "left").join(beside(-1, "over"), ["key", "span"], "left")
-    parts = parts.where("n > 1 or under is not null or over is not null").select("key", "span", "parts", "under", "over")
-    rows = ranged.join(parts, ["key", "span"]).withColumn("part", F.pmod(F.xxhash64("line_id"), F.col("parts")).cast("int"))
+    dealt = meeting(ranged, "line_id", block_rows).select("group", "side", "line_id", "form")
 
-    upto = lambda n: F.filter(F.sequence(F.lit(0), F.coalesce(n, F.lit(0))), lambda i: i < F.coalesce(n, F.lit(0)))
-    place = lambda kind, lower, upper, side: F.struct(F.lit(kind).alias("kind"), (F.col("span") - (1 if side == 2 and kind else 0)).alias("at"), lower.alias("lower"), upper.alias("upper"), F.lit(side).alias("side"))
-    own, part = upto(F.col("parts")), F.col("part")
-    within = F.transform(own, lambda i: F.struct(F.lit(0).alias("kind"), F.col("span").alias("at"), F.least(i, part).alias("lower"), F.greatest(i, part).alias("upper"), F.when(i == part, 0).when(i > part, 1).otherwise(2).alias("side")))
-    above = F.transform(upto(F.col("over")), lambda i: place(1, part, i, 1))
-    below = F.transform(upto(F.col("under")), lambda i: place(1, i, part, 2))
-    dealt = rows.select("key", "line_id", "form", F.explode(F.concat(within, above, below)).alias("p"))
-    dealt = dealt.select(F.xxhash64("key", "p.kind", "p.at", "p.lower", "p.upper").alias("group"), F.col("p.side").alias("side"), "line_id", "form")
+    def links(rows: list[tuple]) -> list[tuple[str, str]]:
+        return _group_links([h[2] for h in rows], [h[3] for h in rows], np.array([h[1] for h in rows]), least)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def links() -> list[tuple[str, str]]:
-            return _group_links([h[2] for h in held], [h[3] for h in held], np.array([h[1] for h in held]), least) if len(held) > 1 else []
-
-        for batch in batches:
-            found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][0] != row[0]:
-                    found += links()
-                    held.clear()
-                held.append(row)
+        for found in grouped(batches, links):
             yield _pairs(found)
-        yield _pairs(links())
 
-    links = dealt.repartition("group").sortWithinPartitions("group", "line_id").mapInArrow(compare, "left_id string, right_id string")
-    return equal.unionByName(links.distinct())
+    near = dealt.repartition("group").sortWithinPartitions("group", "line_id").mapInArrow(compare, "left_id string, right_id string")
+    return equal.unionByName(near.distinct())
 
 
 def _pairs(found: list[tuple[str, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["left_id", "right_id"])
 
 
+def term_cosine(left: str, right: str) -> float:
+    """The cosine of the counts of two texts' words."""
+    a, b = (Counter(near_copy_form(t).split()) for t in (left, right))
+    norm = math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+    return sum(n * b[w] for w, n in a.items()) / norm if norm else 0.0
+
+
+def folded(items: list[tuple], pairs: list[tuple], least: float) -> list[list]:
+    """Ranked items (id, text) as lists of ids, the one that stays first.
+
+    Confirmed pairs whose texts are near copies are united; then each item in turn goes to the one that stays of its set, or
+    to the first that stays and is a near copy of it. Near copies are alike by the cosine of their words, too.
+    """
+    texts, root = dict(items), {i: i for i, _ in items}
+    near = lambda a, b: term_cosine(texts[a], texts[b]) >= least and (is_near_copy(texts[a], texts[b]) or is_near_copy(texts[b], texts[a]))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in pairs:
+        if a in root and b in root and find(a) != find(b) and near(a, b):
+            root[find(b)] = find(a)
+    stays: dict = {}
+    out: dict = {}
+    for i, _ in items:
+        own = find(i)
+        if own not in stays:
+            stays[own] = next((k for k in out if near(i, k)), i)
+        out.setdefault(stays[own], []).append(i)
+    return list(out.values())
+
+
+def fold_near(rows: DataFrame, pairs: DataFrame | None = None, least: float = 0.82) -> DataFrame:
+    """``query_id, rank, doc_id, folded, members`` of ranked results (``query_id, rank, doc_id, text``), a bounded number a query.
+
+    ``pairs`` (``left_id, right_id``) are confirmed; of them, those within a query's results count. Null texts fold with nothing.
+    """
+    items = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "text"))).alias("items"))
+    if pairs is not None:
+        both = rows.select("query_id", F.col("doc_id").alias("left_id")).join(pairs, "left_id").join(rows.select("query_id", F.col("doc_id").alias("right_id")), ["query_id", "right_id"])
+        known = both.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("left_id", "right_id"))).alias("pairs"))
+        items = items.join(known, "query_id", "left")
+    else:
+        items = items.withColumn("pairs", F.array().cast("array<struct<left_id: bigint, right_id: bigint>>"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for q, ranked, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rank = {r["doc_id"]: r["rank"] for r in ranked}
+                for ids in folded([(r["doc_id"], r["text"] or "") for r in ranked], [(p["left_id"], p["right_id"]) for p in known or ()], least):
+                    out.append((q, rank[ids[0]], ids[0], len(ids) - 1, ids))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["query_id", "rank", "doc_id", "folded", "members"])
+
+    return items.select("query_id", "items", "pairs").mapInArrow(fold, "query_id long, rank long, doc_id long, folded long, members array<long>")
+
+
+def write_search(new: DataFrame, held: DataFrame, cosine: Column, nearest: DataFrame, least: float = 0.82) -> DataFrame:
+    """``new_id, id, outcome`` for each row of ``new`` (``id, key, value, embedding``) among those of ``held`` with its key.
+
+    ``exact``: the least id of the same value; else ``near_duplicate``: of near copies with a cosine of ``least`` or more,
+    the nearest; else ``semantic_candidate``: the nearest of all (``nearest``: ``new_id, id, score``), if that near; else ``new``.
+    ``cosine`` is over the embeddings of aliases n and h.
+    """
+    value = lambda df: df.withColumn("hash", F.sha2(F.coalesce("value", F.lit("")), 256))
+    n, h = value(new), value(held)
+    exact = n.join(h.select("key", "hash", F.col("id").alias("of")), ["key", "hash"]).groupBy("id").agg(F.min("of").alias("exact"))
+    marked = lambda df: df.where("trim(value) <> ''").withColumn("atoms", near_copy_key("value")["atoms"])
+    pairs = marked(new).alias("n").join(marked(held).alias("h"), (F.col("n.key") == F.col("h.key")) & (F.col("n.atoms") == F.col("h.atoms")))
+    pairs = pairs.select(F.col("n.id").alias("id"), F.col("h.id").alias("of"), cosine.alias("score"), F.col("n.value").alias("a"), F.col("h.value").alias("b")).where(F.col("score") >= least)
+    near = pairs.where(near_copy(F.col("a"), F.col("b"))).groupBy("id").agg(F.min_by("of", F.struct(-F.col("score"), "of")).alias("near"))
+    best = nearest.where(F.col("score") >= least).groupBy(F.col("new_id").alias("id")).agg(F.min_by(nearest["id"], F.struct(-F.col("score"), nearest["id"])).alias("semantic"))
+    found = new.select("id").join(exact, "id", "left").join(near, "id", "left").join(best, "id", "left")
+    outcome = F.when(F.col("exact").isNotNull(), "exact").when(F.col("near").isNotNull(), "near_duplicate").when(F.col("semantic").isNotNull(), "semantic_candidate").otherwise("new")
+    return found.select(F.col("id").alias("new_id"), F.coalesce("exact", "near", "semantic").alias("id"), outcome.alias("outcome"))
+
+
 def resolve(same_value: Column, same_time: Column, newer: Column, exclusive: Column) -> Column:
     """What a new fact is to an existing one of its conflict key."""
     return F.when(same_value, "entails").when(~exclusive, "compatible").when(newer, "state_change").when(same_time, "contradicts").otherwise("uncertain")
