@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,6 +85,28 @@ def intent(query: Column) -> Column:
     )
 
 
+def canonical(value):
+    """A JSON value in one form: strings in one case without outer spaces, keys in order."""
+    if isinstance(value, str):
+        return unicodedata.normalize("NFKC", value).strip().casefold()
+    if isinstance(value, dict):
+        return {k: canonical(v) for k, v in sorted(value.items())}
+    return [canonical(v) for v in value] if isinstance(value, list) else value
+
+
+def _canonical_text(text: str | None) -> str | None:
+    try:
+        return None if text is None else json.dumps(canonical(json.loads(text)), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    except (json.JSONDecodeError, RecursionError):
+        return None
+
+
+@F.pandas_udf(StringType())
+def canonical_json(text: pd.Series) -> pd.Series:
+    """JSON texts in one form, as hashes of facts need it; null where a text is not JSON. Of equal keys the last counts."""
+    return text.map(_canonical_text)
+
+
 class _Porter:
     """M. Porter's stemmer of 1980: measure-guarded suffix rules in five steps."""
 

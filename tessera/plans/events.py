@@ -224,8 +224,7 @@ def pair_key(spark, d):
 
 @query("c15_label_band", f"select a.vec_id as left_id, b.vec_id as right_id, round({COS}, 6) as score from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where round({COS}, 6) >= 0.35 and round({COS}, 6) < 1.1")
 def label_band(spark, d):
-    v = table(spark, d, "embeddings")
-    return D.band_pairs(v, ["label"], "vec_id", F.round(cosine(F.col("a.embedding"), F.col("b.embedding")), 6), 0.35, 1.1)
+    return D.similar_pairs(table(spark, d, "embeddings"), "label", 0.35, 1.1)
 
 
 @query("n05_near_copies")
