@@ -9,18 +9,18 @@ only one writer can create, so readers see whole states and a crash leaves the o
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import terms
 from tessera.operators.retrieval import pruned_top
 from tessera.sources.scratch import stored
+from tessera.sources.version_log import VersionLog
 
 #: Buckets of terms, documents of a block, and a query's rarest terms that are scored first.
 BUCKETS, BLOCK, LEADS = 64, 128, 6
@@ -28,10 +28,6 @@ K1, B = 1.2, 0.75
 _BLOCKS = "bucket int, term string, low long, high long, max_tf int, min_terms int, docs array<long>, tfs array<int>, sizes array<int>"
 
 
-class Conflict(ValueError):
-    """Another writer made the next manifest first."""
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``bucket, term, doc_id, tf, doc_terms``, sorted by term and document, in blocks."""
     for batch in batches:
@@ -51,40 +47,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(head), batch.column(1).take(head), *stats, *lists], names=names)
 
 
-class LexicalIndex:
+class LexicalIndex(VersionLog):
     """An index at ``path``; every change returns nothing and makes a new version, every read is of the newest one."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def version(self) -> int:
-        folder = self._at("manifest")
-        if not self._fs.exists(folder):
-            return -1
-        return max((int(f.getPath().getName().split(".")[0]) for f in self._fs.listStatus(folder) if f.getPath().getName().endswith(".json")), default=-1)
-
-    def manifest(self, version: int | None = None) -> dict:
-        version = self.version() if version is None else version
-        if version < 0:
-            return {"version": -1, "segments": [], "docs": 0, "terms": 0, "clean": True}
-        return json.loads(self.spark.read.text(f"{self.path}/manifest/{version}.json", wholetext=True).first()[0])
-
-    def commit(self, base: dict, **new) -> None:
-        """Make the next version after ``base``, or raise Conflict if there is one already."""
-        made = {**base, **new, "version": base["version"] + 1}
-        hidden, place = self._at(f"manifest/.{uuid.uuid4().hex}"), self._at(f"manifest/{made['version']}.json")
-        stream = self._fs.create(hidden, False)
-        try:
-            stream.write(json.dumps(made).encode())
-        finally:
-            stream.close()
-        if self._fs.exists(place) or not self._fs.rename(hidden, place):
-            self._fs.delete(hidden, False)
-            raise Conflict(f"version {made['version']} exists")
+    EMPTY = {"segments": [], "docs": 0, "terms": 0, "clean": True}
 
     def _table(self, name: str, manifest: dict) -> DataFrame | None:
         parts = [self.spark.read.parquet(f"{self.path}/segments/{s}/{name}").withColumn("seq", F.lit(k)) for k, s in enumerate(manifest["segments"])]
@@ -112,7 +78,7 @@ class LexicalIndex:
         Ids are unique whole numbers. Null texts have no terms.
         """
         base = self.manifest() if base is None else base
-        name, folder = uuid.uuid4().hex, None
+        name = uuid.uuid4().hex
         folder = f"{self.path}/segments/{name}"
         words = docs.select(F.col(doc_id).cast("long").alias("doc_id"), terms(F.col(text) if isinstance(text, str) else text).alias("words"))
         words.select("doc_id", F.size("words").alias("doc_terms"), F.array_distinct("words").alias("terms")).write.parquet(f"{folder}/docs")
@@ -144,7 +110,7 @@ class LexicalIndex:
     def rebuild(self, docs: DataFrame, doc_id: str = "doc_id", text: Column | str = "text") -> None:
         """Replace all segments by one of ``docs``, at once."""
         base = self.manifest()
-        self.write(docs, doc_id, text, base={"version": base["version"], "segments": [], "docs": 0, "terms": 0, "clean": True})
+        self.write(docs, doc_id, text, base={"version": base["version"], **self.EMPTY})
 
     def merge(self) -> None:
         """All segments as one, without what is dead. Texts are not read."""

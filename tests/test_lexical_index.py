@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import lexical_index
-from tessera.operators.lexical_index import Conflict, LexicalIndex
+from tessera.operators.lexical_index import LexicalIndex
+from tessera.sources.version_log import Conflict
 
 WORDS = [a + b for a in ("ba", "ke", "lo", "mi", "nu") for b in ("n", "rt", "sh", "l", "ck")]
 
