@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions.times import occurrence
 from tessera.functions import rules as R
 from tessera.functions import temporal as T
 from tessera.functions import text as X
@@ -223,12 +224,20 @@ def attributes(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(R.attribute(F.col("text")), F.lit("none")).alias("attribute"))
 
 
-@query("h20_occurrences")
+OCCURS = """with r as (select conv_id, turn, turn % 7 as k, date '2024-01-15' + (conv_id % 28)::int as d from conversations),
+w as (select *, (isodow(d) - 1)::int as dow from r),
+o as (select conv_id, turn, case k when 0 then d - 1 when 1 then d - 14 when 2 then d - (case when dow = 0 then 7 else dow end) when 3 then date '2024-01-02' when 5 then d + 3 when 6 then d - dow + 7 end as s,
+  case k when 0 then 1 when 3 then 4 when 6 then 7 else 1 end as days from w)
+select conv_id, turn, s::timestamp as start, (s + days::int)::timestamp as "end" from o"""
+
+
+@query("h20_occurrences", OCCURS)
 def occurrences(spark, d):
     """What time a message means, if it says so in words."""
     said = F.lit("2024-01-15").cast("timestamp_ntz") + F.make_dt_interval((F.col("conv_id") % 28).cast("int"))
-    phrase = F.element_at(F.array(*map(F.lit, ("yesterday", "two weeks ago", "last month", "3 days ago", "soon"))), (F.col("turn") % 5 + 1).cast("int"))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", R.occurs(F.concat_ws(" ", phrase, "text"), said).alias("o"))
+    phrases = "yesterday", "two weeks ago", "last monday", "from 2024-01-02 to 2024-01-05", "soon", "in 3 days", "next week"
+    phrase = F.element_at(F.array(*map(F.lit, phrases)), (F.col("turn") % 7 + 1).cast("int"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", occurrence(F.concat_ws(" ", phrase, "text"), said).alias("o"))
     return rows.select("conv_id", "turn", F.col("o.start").alias("start"), F.col("o.end").alias("end"))
 
 

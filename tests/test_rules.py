@@ -1,32 +1,5 @@
-from datetime import datetime
-
-import pytest
-
 from tessera.functions import rules as R
 
-SAID = datetime(2024, 3, 31, 15, 30)
-
-
-@pytest.mark.parametrize(
-    ("text", "start", "end"),
-    [
-        ("seen yesterday", (2024, 3, 30), (2024, 3, 31)),
-        ("Tomorrow then", (2024, 4, 1), (2024, 4, 2)),
-        ("3 days ago", (2024, 3, 28), (2024, 3, 29)),
-        ("a week ago", (2024, 3, 24), (2024, 3, 25)),
-        ("one month ago", (2024, 2, 29), (2024, 3, 1)),
-        ("two years ago", (2022, 3, 31), (2022, 4, 1)),
-        ("last week", (2024, 3, 18), (2024, 3, 25)),
-        ("last month", (2024, 2, 1), (2024, 3, 1)),
-        ("soon", None, None),
-        (None, None, None),
-    ],
-)
-def test_occurrence(text, start, end):
-    found = R.occurrence(text, SAID)
-    assert found == (None if start is None else (datetime(*start), datetime(*end)))
-
-
 def test_names(spark):
     df = spark.createDataFrame([("Ｆoo  BAR",), (" straße ",), (None,)], "name string")
     assert [r[0] for r in df.select(R.entity_id("name")).collect()] == ["foo bar", "strasse", None]
