@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
 from tessera.sources import archive
+from tessera.sources.benchmarks import long_memory_cases
 from tessera.sources.scratch import shared_dir, stored
 from tessera.sources.tables import table
 
@@ -53,3 +54,28 @@ def import_report(spark, d):
     rows = stored(archive.read_archive(spark, path, 1 << 20), "archive-lines")
     report = archive.import_report(archive.import_archive(rows, log))
     return report.withColumn("file", F.regexp_extract("file", "file=([0-9]+)", 1).cast("long"))
+
+
+# Conversations as a benchmark's records: a list and an object for a session, times and roles under several names.
+CASES = """with m as (select conv_id, turn, text, role, case when turn < 3 then '0' else 's' || conv_id end as session_id, row_number() over (partition by conv_id order by turn) - 1 as place from conversations where conv_id % 10 <> 0 and turn is not null)
+select 'c' || conv_id as case_id, 'lme:c' || conv_id || ':' || session_id || ':' || case when turn < 3 then turn else place end as event_id, place,
+    case when turn >= 3 and role = 'assistant' then 'assistant' when turn >= 3 then 'user' when role in ('user', 'assistant', 'system', 'tool') then role else 'user' end as actor_type, sha256(coalesce(text, '')) as sha,
+    case when turn < 3 then '2024-05-0' || (turn + 1) else '2000-01-01T00:00:0' || place || '+00:00' end as occurred_at, turn = 1 and conv_id % 2 = 0 as gold
+from m"""
+
+
+@query("a09_benchmark_cases", CASES)
+def benchmark_cases(spark, d):
+    """Records of a conversation each, some without an id, as events; those that the answer names are marked."""
+    early, rows = F.col("turn") < 3, table(spark, d, "conversations").where("turn is not null")
+    message = F.when(early, F.to_json(F.struct(F.col("turn").cast("string").alias("message_id"), "role", F.col("text").alias("content"), F.concat(F.lit("2024-05-0"), F.col("turn") + 1).alias("date"))))
+    message = message.otherwise(F.to_json(F.struct(F.when(F.col("role") == "assistant", "AI").otherwise("human").alias("speaker"), "text")))
+    listed = lambda cond: F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("turn", message.alias("m"))))), lambda x: x.m), ","), F.lit("]"))
+    records = rows.groupBy("conv_id").agg(listed(early).alias("a"), listed(~early).alias("b"))
+    head = F.when(F.col("conv_id") % 10 != 0, F.concat(F.lit('"question_id": "c'), F.col("conv_id"), F.lit('", '))).otherwise(F.lit(""))
+    gold = F.when(F.col("conv_id") % 2 == 0, F.lit('"answer_message_ids": ["0:1", "none"], ')).otherwise(F.lit(""))
+    record = F.concat(F.lit("{"), head, gold, F.lit('"sessions": ['), F.col("a"), F.lit(', {"id": "s'), F.col("conv_id"), F.lit('", "messages": '), F.col("b"), F.lit("}]}"))
+    events, cases, _ = long_memory_cases(records.select(record.alias("record")))
+    named = cases.select(F.explode("gold").alias("event_id"), F.lit(True).alias("gold"))
+    found = events.join(named, "event_id", "left")
+    return found.select("case_id", "event_id", "place", "actor_type", F.sha2("text", 256).alias("sha"), "occurred_at", F.coalesce("gold", F.lit(False)).alias("gold"))

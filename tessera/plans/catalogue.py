@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import archives, events, fact_writes, facts, flows, governance, indexed, lifecycle, matching, relational, retrieval, scoring, splitting, store  # noqa: F401  they register their queries
+from tessera.plans import archives, events, fact_writes, facts, flows, governance, indexed, lifecycle, matching, recall, relational, retrieval, scoring, splitting, store  # noqa: F401  they register their queries
 from tessera.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 

@@ -9,6 +9,7 @@ from tessera.functions import text as X
 from tessera.functions.vector import cosine
 from tessera.operators import dedup as D
 from tessera.operators import experience as E
+from tessera.operators.ranking import placed
 from tessera.plans.facts import H, history
 from tessera.plans.registry import query
 from tessera.plans.retrieval import COS
@@ -61,9 +62,8 @@ def late_snapshot(spark, d):
 
 @query("s15_daily_budget", "select event_id, day, round(used, 3) as used, used <= 3000 as allowed from (select event_id, strftime(ts, '%Y-%m-%d') as day, sum(value) over (partition by ts::date order by ts, event_id rows unbounded preceding) as used from events)")
 def daily_budget(spark, d):
-    day = F.date_format("ts", "yyyy-MM-dd")
-    used = F.sum("value").over(Window.partitionBy(day).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return table(spark, d, "events").select("event_id", day.alias("day"), used.alias("raw")).select("event_id", "day", F.round("raw", 3).alias("used"), (F.col("raw") <= 3000).alias("allowed"))
+    rows = placed(table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_id", "value"), ["day"], ["ts", "event_id"], "value")
+    return rows.select("event_id", "day", F.round("upto", 3).alias("used"), (F.col("upto") <= 3000).alias("allowed"))
 
 
 @query("b09_json_path", "select event_id, json_extract_string(props, '$.k')::int as k from events where json_extract_string(props, '$.k')::int >= 50")
@@ -186,8 +186,8 @@ RANKED = "with r as (select event_type, value, row_number() over (partition by e
 
 
 def ranked_values(spark, d):
-    order, every = Window.partitionBy("event_type").orderBy("value", "event_id"), Window.partitionBy("event_type")
-    return table(spark, d, "events").select("event_type", "value", F.row_number().over(order).alias("k"), F.count("*").over(every).alias("n"))
+    rows = placed(table(spark, d, "events").select("event_type", "value", "event_id"), ["event_type"], ["value", "event_id"])
+    return rows.select("event_type", "value", F.col("place").alias("k"), F.col("members").alias("n"))
 
 
 @query("d13_percentiles", RANKED + "select event_type, max(value) filter (k = ceil(0.5 * n)) as p50, max(value) filter (k = ceil(0.95 * n)) as p95, max(value) filter (k = ceil(0.99 * n)) as p99 from r group by 1")
@@ -198,9 +198,8 @@ def percentiles(spark, d):
 
 @query("d14_daily_report", "with r as (select strftime(ts, '%Y-%m-%d') as day, event_type, value, row_number() over (partition by ts::date order by value, event_id) as k, count(*) over (partition by ts::date) as n from events) select day, count(*) as calls, round(count(*) filter (event_type <> 'error') / count(*)::double, 6) as success, max(value) filter (k = greatest(1, floor(0.95 * n))) as p95 from r group by 1")
 def daily_report(spark, d):
-    day = F.date_format("ts", "yyyy-MM-dd")
-    order = Window.partitionBy(day).orderBy("value", "event_id")
-    rows = table(spark, d, "events").select(day.alias("day"), "event_type", "value", F.row_number().over(order).alias("k"), F.count("*").over(Window.partitionBy(day)).alias("n"))
+    rows = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", "value", "event_id")
+    rows = placed(rows, ["day"], ["value", "event_id"]).select("day", "event_type", "value", F.col("place").alias("k"), F.col("members").alias("n"))
     p95 = F.max(F.when(F.col("k") == F.greatest(F.lit(1), F.floor(F.lit(0.95) * F.col("n"))), F.col("value")))
     return rows.groupBy("day").agg(F.count("*").alias("calls"), F.round(F.count_if(F.col("event_type") != "error") / F.count("*"), 6).alias("success"), p95.alias("p95"))
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions.times import occurrence
 from tessera.functions import rules as R
 from tessera.functions import temporal as T
 from tessera.functions import text as X
+from tessera.functions.times import occurrence
 from tessera.operators import lifecycle as L
+from tessera.operators.ranking import placed
 from tessera.plans.facts import H, at, history
 from tessera.plans.registry import ORACLE_SQL, query
 from tessera.sources import event_log
@@ -169,10 +170,9 @@ def remaining_expired(spark, d):
   select lang, count(*) as taken, max(used)::bigint as used from u where used <= case lang when 'en' then 20000 else 5000 end group by 1""")
 def quota_pack(spark, d):
     """Shortest first, each kind within its own quota."""
-    order = Window.partitionBy("lang").orderBy("n_chars", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     quota = F.when(F.col("lang") == "en", 20000).otherwise(5000)
-    rows = table(spark, d, "documents").select("lang", "doc_id", F.sum("n_chars").over(order).alias("used")).where(F.col("used") <= quota)
-    return rows.groupBy("lang").agg(F.count("*").alias("taken"), F.max("used").alias("used"))
+    rows = placed(table(spark, d, "documents").select("lang", "doc_id", "n_chars"), ["lang"], ["n_chars", "doc_id"], "n_chars").where(F.col("upto") <= quota)
+    return rows.groupBy("lang").agg(F.count("*").alias("taken"), F.max("upto").alias("used"))
 
 
 @query("e07_covered_versions", H + "select o_custkey, count(*) filter (version < last) as covered, max(o_orderkey) filter (version = last) as tip from (select *, max(version) over (partition by o_custkey) as last from h) group by 1")
