@@ -28,9 +28,6 @@ CLOSES_P = BLOCK - {"caption", "optgroup", "option", "td", "th", "tr", "tbody",
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}, "body": {"head"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}, "body": {"html"}}
 
-#: Elements nested deeper than this have no node in the style tree; their text and their rules are those of any other.
-TREE_DEPTH = 1000
-
 RAW_TEXT = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("iframe", "script", "style", "textarea", "title")}
 NAME = re.compile(r"/?[a-z][^\s/>]*", re.I)
 COMMENT_END = re.compile(r"--!?>")
@@ -207,7 +204,8 @@ def walk(page: str, low: frozenset[int] = frozenset(), host: str = "", marks: bo
 
     def say(text: str) -> None:
         nonlocal linked, plain
-        piece.append(text)
+        if flags[-1] & NOISE <= flags[block_at[-1]] & NOISE:  # else it is in an inline element that is no content
+            piece.append(text)
         bare = text.strip()
         if bare:
             node = tree[-1]
@@ -238,19 +236,18 @@ def walk(page: str, low: frozenset[int] = frozenset(), host: str = "", marks: bo
                 block_at.pop()
                 if tag != "p":
                     solid_at.pop()
-        if len(tags) < TREE_DEPTH:
-            node = tree.pop()
-            up = tree[-1]
-            up.children.append(tag)
-            up.content = zlib.crc32(node.content.to_bytes(4, "big"), up.content)
-            up.linked += node.linked
-            up.plain += node.plain
-            if tag in BLOCK:
-                seen = found.setdefault(node.path, [0, 0, 0, 0])
-                seen[0] = zlib.crc32(" ".join(node.children).encode(), seen[0])
-                seen[1] = zlib.crc32(node.content.to_bytes(4, "big"), seen[1])
-                seen[2] += node.linked
-                seen[3] += node.plain
+        node = tree.pop()
+        up = tree[-1]
+        up.children.append(tag)
+        up.content = zlib.crc32(node.content.to_bytes(4, "big"), up.content)
+        up.linked += node.linked
+        up.plain += node.plain
+        if tag in BLOCK:
+            seen = found.setdefault(node.path, [0, 0, 0, 0])
+            seen[0] = zlib.crc32(" ".join(node.children).encode(), seen[0])
+            seen[1] = zlib.crc32(node.content.to_bytes(4, "big"), seen[1])
+            seen[2] += node.linked
+            seen[3] += node.plain
 
     def enter(tag: str, attributes: str) -> None:
         kind, name, ruled, holds = element_kind(tag, attributes)
@@ -263,13 +260,12 @@ def walk(page: str, low: frozenset[int] = frozenset(), host: str = "", marks: bo
         if noise and soft and level > upper and kind != "comments":
             noise = soft = 0
         own = kind == "comments" or ruled or (tag == "header" and marks or kind == "noise") and not (tag in ("article", "h1", "h2") or upper and ("header" in name.lower() and kind != "comments" and tag in ("header", "div", "hgroup")))
-        if len(tags) < TREE_DEPTH:
-            path = f"{tree[-1].path}>{name}"
-            if len(path) > 400:
-                path = xxhash.xxh64_hexdigest(path)
-            if not own and low and tag in BLOCK and (not upper or (tag in ("div", "section", "ul", "table") and not name.endswith(".#"))):
-                own = tag not in ("article", "main", "body", "html") and xxhash.xxh64_intdigest(host + path) in low
-            tree.append(Node(path))
+        path = f"{tree[-1].path}>{name}"
+        if len(path) > 400:
+            path = xxhash.xxh64_hexdigest(path)
+        if not own and low and tag in BLOCK and (not upper or (tag in ("div", "section", "ul", "table") and not name.endswith(".#"))):
+            own = tag not in ("article", "main", "body", "html") and xxhash.xxh64_intdigest(host + path) in low
+        tree.append(Node(path))
         if own and not noise:
             noise, soft = NOISE, SOFT if kind == "noise" and not ruled else 0
         where.setdefault(tag, []).append(len(tags))

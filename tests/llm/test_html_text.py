@@ -194,3 +194,14 @@ def test_importance_is_that_of_brute_force(spark):
             if 0.1 * entropy([r.style for r in rs]) + 0.9 * content < 0.3:
                 low.add(key)
     assert low and {(r.host, r.node) for r in html_text.low_importance(nodes).collect()} == low
+
+
+@pytest.mark.parametrize("inline", ["<span hidden>SECRET</span>", '<span style="display: none">SECRET</span>', '<i aria-hidden="true">SECRET</i>', '<span class="ad">SECRET</span>', '<a class="share" href="x">SECRET</a>', "<button>SECRET</button>", "<video>SECRET</video>", '<span hidden><b>SECRET</b> <i class="x">SECRET</i></span>'])
+def test_inline_elements_that_are_no_content(inline):
+    blocks, _ = html_text.walk(f"<p>Text {inline} goes <b>on</b></p>")
+    assert [b[:2] for b in blocks] == [("Text goes on", 0)]
+
+
+def test_the_tree_has_nodes_at_any_depth():
+    _, nodes = html_text.walk("<div>" * 3000 + "deep" + "</div>" * 3000)
+    assert sum(1 for n in nodes.values() if n[3]) == 3000
