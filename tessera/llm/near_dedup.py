@@ -21,7 +21,7 @@ MANTISSA = 10
 EMPTY = 0xFFFF
 _U = np.uint64
 #: What one task compares at a time: rows of a bucket, and shingles of a cluster, where a row counts as ROW more.
-BUCKET_ROWS, CLUSTER_SHINGLES, ROW = 512, 100_000, 100
+BUCKET_ROWS, CLUSTER_SHINGLES, ROW = 2048, 100_000, 100
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
