@@ -79,3 +79,28 @@ def pre_filter(text: Column) -> Column:
 def contains_literal(text: Column, literal: str) -> Column:
     """A literal in any ASCII case, whatever signs it holds."""
     return F.contains(F.lower(text), F.lit(literal.lower()))
+
+
+# What a message says of its writer or of a service, in the order in which the rules are tried.
+EXTRACTION = (
+    (r"现在(?:用|使用)\s*(.+?)(?:[。！!]|$)", "preference"),
+    (r"我喜欢\s*(.+?)(?:[。！!]|$)", "preference"),
+    (r"记住\s*(.+?)(?:[。！!]|$)", "explicit_memory"),
+    (r"使用\s*(.+?)(?:[。！!]|$)", "uses"),
+    (r"(.+?现在挂了)(?:[。！!]|$)", "service_status"),
+)
+NOW, DOWN = "现在", "现在挂了"
+
+
+def extracted(text: Column) -> Column:
+    """The fact of the first rule that matches: predicate, value, how long it holds and whether it changes a state; or null."""
+    fact = F.lit(None)
+    for pattern, predicate in reversed(EXTRACTION):
+        value, status = F.trim(F.regexp_extract(text, pattern, 1)), predicate == "service_status"
+        service = F.coalesce(F.nullif(F.trim(F.regexp_replace(value, f"{DOWN}$", "")), F.lit("")), F.lit("unknown")) if status else F.lit(None).cast("string")
+        made = F.struct(
+            F.lit(predicate).alias("predicate"), value.alias("value"), service.alias("service"), F.lit("ephemeral" if status else "stable").alias("volatility"),
+            F.lit("temporal" if status else "permanent").alias("scope"), (F.lit(status) | text.startswith(NOW)).alias("state_change"),
+        )
+        fact = F.when(text.rlike(pattern), made).otherwise(fact)
+    return fact

@@ -167,7 +167,8 @@ def usefulness_upsert(spark, d):
     sums = {"helpful": F.col("event_type").isin("purchase", "signup"), "unhelpful": F.col("event_type") == "error", "success": bought & (F.col("value") >= 100), "outcomes": bought}
     cut = F.lit("2024-01-16").cast("timestamp")
     total = lambda rows: rows.groupBy("user_id").agg(*(F.count_if(c).alias(k) for k, c in sums.items()))
-    both = total(e.where(F.col("ts") < cut)).unionByName(total(e.where(F.col("ts").isNull() | (F.col("ts") >= cut))))
+    held = stored(total(e.where(F.col("ts") < cut)), "usefulness-totals")
+    both = held.unionByName(total(e.where(F.col("ts").isNull() | (F.col("ts") >= cut))))
     both = both.groupBy("user_id").agg(*(F.sum(k).alias(k) for k in sums))
     return both.withColumn("score", F.round(lifecycle.usefulness(*map(F.col, sums)), 6))
 

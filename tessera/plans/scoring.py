@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions.rules import extracted
 from tessera.functions import text as X
 from tessera.operators import calibration, fusion, retrieval
 from tessera.plans.facts import H, NOW, at, history
@@ -143,6 +144,24 @@ def rule_extraction(spark, d):
     return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", rule.alias("rule"), value.alias("value"))
 
 
+SAID = ("现在用", "我喜欢 ", "请记住", "他们使用 ", "", "现在使用", "无")
+RULES = r"""with t as (select conv_id, turn, (['现在用', '我喜欢 ', '请记住', '他们使用 ', '', '现在使用', '无'])[turn % 7 + 1] || split_part(coalesce(text, ''), ' ', 1) || case when turn % 7 = 4 then ' 现在挂了' else '' end || '。' as text from conversations where turn is not null),
+m as (select *, trim(regexp_extract(text, '现在(?:用|使用)\s*(.+?)(?:[。！!]|$)', 1)) as a, trim(regexp_extract(text, '我喜欢\s*(.+?)(?:[。！!]|$)', 1)) as b, trim(regexp_extract(text, '记住\s*(.+?)(?:[。！!]|$)', 1)) as c,
+  trim(regexp_extract(text, '使用\s*(.+?)(?:[。！!]|$)', 1)) as d, trim(regexp_extract(text, '(.+?现在挂了)(?:[。！!]|$)', 1)) as e from t)
+select conv_id, turn, case when a <> '' or b <> '' then 'preference' when c <> '' then 'explicit_memory' when d <> '' then 'uses' else 'service_status' end as predicate, coalesce(nullif(a, ''), nullif(b, ''), nullif(c, ''), nullif(d, ''), e) as value,
+  case when a || b || c || d = '' then coalesce(nullif(trim(regexp_replace(e, '现在挂了$', '')), ''), 'unknown') end as service, a || b || c || d = '' or starts_with(text, '现在') as state_change
+from m where a || b || c || d || e <> ''"""
+
+
+@query("t04_rules", RULES)
+def rules(spark, d):
+    """Facts that messages state in words of the five rules."""
+    start = F.element_at(F.array(*map(F.lit, SAID)), (F.col("turn") % 7 + 1).cast("int"))
+    text = F.concat(start, F.split_part(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(1)), F.when(F.col("turn") % 7 == 4, " 现在挂了").otherwise(""), F.lit("。"))
+    rows = table(spark, d, "conversations").where("turn is not null").select("conv_id", "turn", extracted(text).alias("f")).where("f is not null")
+    return rows.select("conv_id", "turn", "f.predicate", "f.value", "f.service", "f.state_change")
+
+
 @query("n11_pending_pairs", f"with {DENSE}, n as (select least(query_id, vec_id) as left_id, greatest(query_id, vec_id) as right_id, max(score) as score from dtop where score >= 0.3 group by 1, 2) select left_id, right_id, score from n order by score desc, left_id, right_id limit 50")
 def pending_pairs(spark, d):
     """Pairs over the floor wait for review, each once; the backlog holds fifty, the nearest first."""
