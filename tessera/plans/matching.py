@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from tessera.operators import dedup as D
 from tessera.operators import retrieval
 from tessera.plans.registry import query
 from tessera.plans.retrieval import COS, fused
-from tessera.sources.scratch import stored
+from tessera.sources.pair_backlog import PairBacklog
+from tessera.sources.scratch import shared_dir, stored
 from tessera.sources.tables import table
 
 
@@ -69,3 +72,30 @@ def cross_subject(spark, d):
     on = (F.col("a.namespace") == F.col("b.namespace")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")) & (F.col("a.subject") != F.col("b.subject"))
     pairs = a.join(b, on).select("a.namespace", F.col("a.vec_id").alias("left_id"), F.col("b.vec_id").alias("right_id"), F.round(cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("score"))
     return pairs.where("score >= 0.3")
+
+
+BACKLOG = f"""with p as (select a.vec_id as left_id, b.vec_id as right_id, round({COS}, 6) as similarity from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where round({COS}, 6) >= 0.3 and round({COS}, 6) < 2),
+w as (select *, row_number() over (order by similarity desc, left_id, right_id) as r from p)
+"""
+
+
+def backlog(spark, d):
+    """Pairs of one label wait, up to 10,000; no vectors of these tables are as alike as 0.88, so the floor is 0.3."""
+    waiting = PairBacklog(spark, f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}")
+    pairs = stored(D.similar_pairs(table(spark, d, "embeddings"), "label", 0.3, 2.0).withColumnRenamed("score", "similarity"), "backlog-pairs")
+    waiting.add(pairs, floor=0.3)
+    waiting.add(pairs, floor=0.3)
+    return waiting
+
+
+@query("n10_drained_pairs", BACKLOG + "select left_id, right_id, case when similarity < 0.35 then 'dismissed_below_floor' end as decision from w where r <= 10000")
+def drained_pairs(spark, d):
+    """What is below 0.35 is dismissed as the set that was counted."""
+    waiting = backlog(spark, d)
+    waiting.drain(0.35, waiting.inspect(0.35)["candidates"])
+    return waiting.read().select("left_id", "right_id", "decision")
+
+
+@query("n09_pairs_in_turn", BACKLOG + "select left_id, right_id, similarity, row_number() over (order by (left_id < 250)::int, left_id, right_id) as rank from w where r <= 10000 qualify rank <= 20")
+def pairs_in_turn(spark, d):
+    return backlog(spark, d).next_in_turn(20, (249, 10**12))
