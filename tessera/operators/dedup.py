@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
+from tessera.functions.temporal import overlap
 from tessera.sources.scratch import stored
 
 # What two near copies have in common for sure.
@@ -336,6 +337,82 @@ def fold_near(rows: DataFrame, pairs: DataFrame | None = None, least: float = 0.
     return items.select("query_id", "items", "pairs").mapInArrow(fold, "query_id long, rank long, doc_id long, folded long, members array<long>")
 
 
+def entity(name: str | None) -> str:
+    return " ".join(unicodedata.normalize("NFKC", name or "").casefold().split())
+
+
+def mentions(value: str, entities: tuple[str, ...]) -> tuple[str, ...]:
+    """Which entities a value names, in the order and as often as it does; ASCII names only as whole words."""
+    value, found = unicodedata.normalize("NFKC", value).casefold(), set()
+    for name in entities:
+        plain = unicodedata.normalize("NFKC", name).casefold().strip()
+        if plain:
+            edge = lambda c, side: side if re.match("[a-z0-9_]", c) else ""
+            pattern = edge(plain[0], "(?<![A-Za-z0-9_])") + re.escape(plain) + edge(plain[-1], "(?![A-Za-z0-9_])")
+            found |= {(m.start(), m.end(), name) for m in re.finditer(pattern, value)}
+    return tuple(name for _, _, name in sorted(found))
+
+
+def projected(left: str, right: str, left_value: str, right_value: str) -> tuple[str, str] | None:
+    """The subjects ``user`` and ``user's X`` as one, if both values name X."""
+    user, other = (left, right) if left == "user" else (right, left)
+    if user != "user" or not other.startswith("user's "):
+        return None
+    words = near_copy_form(other.removeprefix("user's ")).split()
+    both = set(near_copy_form(left_value).split()) & set(near_copy_form(right_value).split())
+    return (user, other) if words and both.issuperset(words) else None
+
+
+def same_fact(subjects: tuple, values: tuple, entities: tuple, differ: bool, least: float = 0.90) -> bool:
+    """Whether two values are near copies that speak of the same: subjects and named entities agree as well.
+
+    With ``differ``, a user's projection may stand for the user. Entities are the same and named alike, or, between such
+    subjects, are only these two and hold each its own subject.
+    """
+    if any(v is None for v in values):
+        return False
+    a, b = map(entity, subjects)
+    pair = None
+    if a != b:
+        pair = projected(a, b, *values) if differ else None
+        if pair is None:
+            return False
+    x, y = (tuple(sorted({entity(e) for e in es if e is not None})) if es is not None else () for es in entities)
+    if x == y:
+        if mentions(values[0], x) != mentions(values[1], y):
+            return False
+    elif pair is None or not x or not y or not {*x, *y} <= {*pair} or a not in x or b not in y:
+        return False
+    return is_near_copy(*values, least) or is_near_copy(*values[::-1], least)
+
+
+def safe_near_duplicate(similarity: Column, least: float = 0.82, differ: bool = False) -> Column:
+    """Whether rows of aliases a and b are one fact beyond doubt, by cheap signs first.
+
+    Rows have ``status, namespace, subject, predicate, slot, attribute, qualifiers`` (a map), ``valid_from, valid_to, entities`` and
+    ``value``. Both are alike by ``similarity``; neither is disputed; what says where and of what they hold is the same, nulls
+    included; their times overlap; and ``same_fact`` holds.
+    """
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    same = lambda c: a(c).eqNullSafe(b(c))
+    listed = lambda q: F.sort_array(F.map_entries(F.coalesce(q, F.create_map().cast("map<string,string>"))))
+
+    @F.pandas_udf(BooleanType())
+    def speak_of_one(sa: pd.Series, sb: pd.Series, va: pd.Series, vb: pd.Series, ea: pd.Series, eb: pd.Series) -> pd.Series:
+        return pd.Series([same_fact((p, q), (v, w), (x, y), differ) for p, q, v, w, x, y in zip(sa, sb, va, vb, ea, eb, strict=True)], dtype=bool)
+
+    cheap = (similarity >= least) & (F.coalesce(a("status"), F.lit("active")) != "disputed") & (F.coalesce(b("status"), F.lit("active")) != "disputed")
+    for c in ("namespace", "predicate", "slot", "attribute"):
+        cheap = cheap & same(c)
+    cheap = cheap & (listed(a("qualifiers")) == listed(b("qualifiers"))) & overlap(a("valid_from"), a("valid_to"), b("valid_from"), b("valid_to"))
+    return cheap & speak_of_one(a("subject"), b("subject"), a("value"), b("value"), a("entities"), b("entities"))
+
+
+def mutually_exclusive(slot_a: Column, slot_b: Column, value_a: Column, value_b: Column, exclusive: tuple[str, ...]) -> Column:
+    """Whether two values cannot both hold: they differ, in one slot that holds one at a time."""
+    return F.coalesce((slot_a == slot_b) & slot_a.isin(*exclusive), F.lit(False)) & ~value_a.eqNullSafe(value_b)
+
+
 def write_search(new: DataFrame, held: DataFrame, cosine: Column, nearest: DataFrame, least: float = 0.82) -> DataFrame:
     """``new_id, id, outcome`` for each row of ``new`` (``id, key, value, embedding``) among those of ``held`` with its key.
 

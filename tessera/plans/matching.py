@@ -74,6 +74,17 @@ def cross_subject(spark, d):
     return pairs.where("score >= 0.3")
 
 
+@query("n14_safe_duplicates")
+def safe_duplicates(spark, d):
+    """Among a query's ten results, as facts of their source: pairs that are one fact beyond doubt."""
+    none = F.lit(None).cast("string")
+    docs = table(spark, d, "documents").join(fused(spark, d).select("query_id", "rank", "doc_id"), "doc_id")
+    facts = docs.select("query_id", "rank", "doc_id", F.col("lang").alias("namespace"), F.lit("user").alias("subject"), none.alias("predicate"), none.alias("slot"), none.alias("attribute"), F.create_map().cast("map<string,string>").alias("qualifiers"), none.alias("status"), (F.col("doc_id") % 7).alias("valid_from"), F.lit(None).cast("long").alias("valid_to"), F.array("lang").alias("entities"), F.col("text").alias("value"))
+    facts = stored(facts, "safe-facts")
+    pairs = facts.alias("a").join(facts.alias("b"), (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.rank") < F.col("b.rank")))
+    return pairs.where(D.safe_near_duplicate(F.lit(1.0))).select("a.query_id", F.col("a.doc_id").alias("left_id"), F.col("b.doc_id").alias("right_id"))
+
+
 BACKLOG = f"""with p as (select a.vec_id as left_id, b.vec_id as right_id, round({COS}, 6) as similarity from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where round({COS}, 6) >= 0.3 and round({COS}, 6) < 2),
 w as (select *, row_number() over (order by similarity desc, left_id, right_id) as r from p)
 """

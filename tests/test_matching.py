@@ -98,3 +98,47 @@ def test_similar_pairs_as_all_pairs(spark, block_rows):
         got = sorted((r.left_id, r.right_id) for r in dedup.similar_pairs(df, "label", low, high, block_rows=block_rows).collect())
         label = lambda i: 2 if i == 203 else i % 3
         assert got == [(a, b) for x, a in enumerate(ids) for y, b in enumerate(ids) if a < b and label(a) == label(b) and low <= s[x, y] < high]
+
+
+FACT = "namespace string, subject string, predicate string, slot string, attribute string, qualifiers map<string,string>, status string, valid_from int, valid_to int, entities array<string>, value string"
+TEXT = "the billing service of the user's laptop writes its logs to the shared disk every night"
+
+
+def fact(**other):
+    base = {"namespace": "n", "subject": "User", "predicate": "runs", "slot": None, "attribute": "x", "qualifiers": {"k": "v"}, "status": None, "valid_from": 1, "valid_to": None, "entities": ["billing"], "value": TEXT}
+    return tuple((base | other).values())
+
+
+def test_each_guard_alone_keeps_facts_apart(spark):
+    pairs = [
+        (fact(), fact(), 0.9, False, True),
+        (fact(), fact(value=TEXT.replace("writes", "write"), subject=" user ", qualifiers={"k": "v"}), 0.82, False, True),
+        (fact(), fact(), 0.81, False, False),
+        (fact(status="disputed"), fact(), 1.0, False, False),
+        (fact(), fact(namespace="m"), 1.0, False, False),
+        (fact(), fact(subject="other"), 1.0, True, False),
+        (fact(), fact(predicate="uses"), 1.0, False, False),
+        (fact(slot="s"), fact(), 1.0, False, False),
+        (fact(), fact(attribute=None), 1.0, False, False),
+        (fact(), fact(qualifiers=None), 1.0, False, False),
+        (fact(qualifiers=None), fact(qualifiers={}), 1.0, False, True),
+        (fact(valid_to=5), fact(valid_from=5), 1.0, False, False),
+        (fact(valid_to=6), fact(valid_from=5), 1.0, False, True),
+        (fact(), fact(entities=["laptop"]), 1.0, False, False),
+        (fact(entities=["billing", "laptop"]), fact(entities=["Laptop", "billing"], value=TEXT.replace("laptop", "laptops")), 1.0, False, False),
+        (fact(), fact(value=TEXT + " on 8080"), 1.0, False, False),
+        (fact(), fact(value=TEXT[::-1]), 1.0, False, False),
+        (fact(), fact(value=None), 1.0, False, False),
+        (fact(), fact(subject="user's laptop"), 1.0, False, False),
+        (fact(), fact(subject="user's laptop"), 1.0, True, True),
+        (fact(), fact(subject="user's phone"), 1.0, True, False),
+        (fact(entities=["user"]), fact(subject="user's laptop", entities=["user's laptop"]), 1.0, True, True),
+        (fact(entities=["disk"]), fact(subject="user's laptop", entities=["user's laptop"]), 1.0, True, False),
+    ]
+    for differ in (False, True):
+        rows = [(i, a, b, s) for i, (a, b, s, d, _) in enumerate(pairs) if d == differ]
+        df = spark.createDataFrame(rows, f"i int, a struct<{FACT.replace(' ', ': ').replace(',: ', ', ')}>, b struct<{FACT.replace(' ', ': ').replace(',: ', ', ')}>, s double")
+        got = {r.i: r.ok for r in df.select("i", dedup.safe_near_duplicate(F.col("s"), differ=differ).alias("ok")).collect()}
+        assert got == {i: pairs[i][4] for i, *_ in rows}
+    one = df.select(dedup.mutually_exclusive(F.lit("p"), F.lit("p"), F.lit(1), F.lit(2), ("p",)), dedup.mutually_exclusive(F.lit("p"), F.lit("p"), F.lit(1), F.lit(1), ("p",)), dedup.mutually_exclusive(F.lit("q"), F.lit("q"), F.lit(1), F.lit(2), ("p",)), dedup.mutually_exclusive(F.lit(None).cast("string"), F.lit("p"), F.lit(1), F.lit(2), ("p",))).first()
+    assert tuple(one) == (True, False, False, False)
