@@ -78,4 +78,4 @@ def benchmark_cases(spark, d):
     events, cases, _ = long_memory_cases(records.select(record.alias("record")))
     named = cases.select(F.explode("gold").alias("event_id"), F.lit(True).alias("gold"))
     found = events.join(named, "event_id", "left")
-    return found.select("case_id", "event_id", "place", "actor_type", F.sha2("text", 256).alias("sha"), "occurred_at", F.coalesce("gold", F.lit(False)).alias("gold"))
+    return found.select("case_id", "event_id", F.col("place").cast("long").alias("place"), "actor_type", F.sha2("text", 256).alias("sha"), "occurred_at", F.coalesce("gold", F.lit(False)).alias("gold"))

@@ -22,7 +22,7 @@ select doc_id, row_number() over (partition by doc_id order by path) as piece, l
 def bisect(spark, d):
     """Documents cut near the middle, at ends of sentences or lines, until pieces have 1,500 characters or are three cuts deep."""
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(splitting.bisected(F.col("text"), 1500)).alias("piece", "part"))
-    return rows.select("doc_id", (F.col("piece") + 1).alias("piece"), F.length("part").alias("n_chars"), F.sha2("part", 256).alias("sha"))
+    return rows.select("doc_id", (F.col("piece") + 1).cast("long").alias("piece"), F.length("part").cast("long").alias("n_chars"), F.sha2("part", 256).alias("sha"))
 
 
 # The JSON around a turn's text takes 26 characters and the role.
@@ -41,7 +41,7 @@ def turn_split(spark, d):
     """Turns as JSON objects of at most 200 characters, each with as much of the text as fits."""
     room = 200 - 26 - F.length("role")
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(splitting.fitted(F.col("text"), room)).alias("piece", "part"))
-    return rows.select("conv_id", "turn", (F.col("piece") + 1).alias("piece"), F.length("part").alias("n_chars"), F.sha2("part", 256).alias("sha"))
+    return rows.select("conv_id", "turn", (F.col("piece") + 1).alias("piece"), F.length("part").cast("long").alias("n_chars"), F.sha2("part", 256).alias("sha"))
 
 
 @query("h38_canonical_json", r"""select event_id, '{"k":' || (props::json->>'k') || ',"tags":["' || lower(event_type) || '",null],"who":{"a":' || user_id || ',"name":"user ' || user_id || '"}}' as canonical from events""")
