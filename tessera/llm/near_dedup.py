@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._shared import row_id, stored, table
@@ -196,6 +196,12 @@ def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(labels.join(tops, "tree", "left").select("fp", F.coalesce("root", "tree").alias("tree")), "near-trees")
 
 
+def _parts(weight: Column, limit: int) -> Column:
+    """Into how many parts of at most about ``limit`` a group is cut: a power of two, so that the parts of one family are
+    the same in most of its groups, and so are the edges found in them."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.ceil(weight / limit).cast("double")))).cast("long")
+
+
 def spanning(rows: DataFrame, payload: DataFrame, limit: int, work: Work) -> DataFrame:
     """``fp, tree`` of every fp of ``rows`` (``group, fp, weight``): its component by links within groups.
 
@@ -205,7 +211,7 @@ def spanning(rows: DataFrame, payload: DataFrame, limit: int, work: Work) -> Dat
     pairs of parts, and among each other. So no group is a task and no link is missed. The work grows with the rows of a
     family of copies; rows of one group that nothing links are compared part by part, which grows with their square.
     """
-    sizes = stored(rows.groupBy("group").agg(F.ceil(F.sum("weight") / limit).alias("parts"), F.count("*").alias("n")).where("n > 1").select("group", "parts"), "near-parts")
+    sizes = stored(rows.groupBy("group").agg(_parts(F.sum("weight"), limit).alias("parts"), F.count("*").alias("n")).where("n > 1").select("group", "parts"), "near-parts")
     own = stored(rows.join(sizes, "group"), "near-groups")
     dealt = own.select(F.xxhash64("group", F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("part"), "fp", F.col("fp").alias("tree"))
     edges = stored(_compared(dealt, payload, work), "near-edges")
@@ -216,7 +222,7 @@ def spanning(rows: DataFrame, payload: DataFrame, limit: int, work: Work) -> Dat
     labels = stored(large.select("fp").distinct().join(labels, "fp", "full").select("fp", F.coalesce("tree", "fp").alias("tree")), "near-trees")
 
     trees = large.join(labels, "fp").groupBy("group", "tree").agg(F.min(F.struct("fp", "weight")).alias("one")).select("group", "tree", "one.*")
-    sizes = stored(trees.groupBy("group").agg(F.ceil(F.sum("weight") / limit).alias("parts"), F.count("*").alias("n")).where("n > 1").select("group", "parts"), "near-parts")
+    sizes = stored(trees.groupBy("group").agg(_parts(F.sum("weight"), limit).alias("parts"), F.count("*").alias("n")).where("n > 1").select("group", "parts"), "near-parts")
     if sizes.isEmpty():
         return labels
     dealt = trees.join(sizes, "group").select(F.xxhash64("group", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")), F.lit(1)).alias("part"), "fp", "tree")
