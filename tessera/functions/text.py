@@ -28,6 +28,13 @@ def distinct_terms(text: Column) -> Column:
     return F.array_distinct(terms(text))
 
 
+def initial(text: Column) -> Column:
+    """The first letter in upper case, as one letter always: where that has none of its own, as it is."""
+    first = F.translate(F.substring(text, 1, 1), "ß", "ẞ")
+    one = lambda c: F.when(F.char_length(c) <= 1, c)
+    return F.coalesce(one(F.upper(first)), one(F.initcap(first)), first)
+
+
 def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor((F.length(F.coalesce(text, F.lit(""))) + 1) / 2)).cast("long")
 

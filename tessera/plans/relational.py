@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -204,7 +205,7 @@ def table_rows(spark, d):
 
 @query("h26_text_features", "select doc_id, length(text) as n, len(string_split(text, chr(10))) as lines, upper(substr(text, 1, 1)) as initial, sha256(text) as sha from documents where text is not null")
 def text_features(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.length("text").cast("long").alias("n"), F.size(F.split("text", "\n")).cast("long").alias("lines"), F.upper(F.substring("text", 1, 1)).alias("initial"), F.sha2("text", 256).alias("sha"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.length("text").cast("long").alias("n"), F.size(F.split("text", "\n")).cast("long").alias("lines"), X.initial(F.col("text")).alias("initial"), F.sha2("text", 256).alias("sha"))
 
 
 @query("h12_index_text", "select o_orderkey, 'customer ' || o_custkey || ': ' || case o_orderstatus when 'O' then 'open' when 'F' then 'filled' else 'pending' end || ' (' || lower(o_orderpriority) || ')' as index_text from orders")

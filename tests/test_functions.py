@@ -12,6 +12,14 @@ def test_porter(word, stem):
     assert X.porter(word) == stem
 
 
+def test_initials_are_one_letter(spark):
+    import duckdb
+
+    texts = ["ßen", "ßß", "ﬁne", "ŉ", "ᾀs", "ǰ", "été", "ñ", "ა", "ǆ", "", "9", " a", "🙂", "ﬃ", "ΐ", "abc"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.initial(F.col("t"))).collect()]
+    assert got == [duckdb.execute("select upper(substr(?, 1, 1))", [t]).fetchall()[0][0] for t in texts]
+
+
 def test_intervals(spark):
     df = spark.createDataFrame([(None, None), (1, None), (None, 5), (1, 5), (5, 9), (6, 9)], "a int, b int")
     assert [r[0] for r in df.select(T.within(F.col("a"), F.col("b"), F.lit(5))).collect()] == [True, True, False, False, True, False]
