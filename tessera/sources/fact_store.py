@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import placed
 from tessera.sources.scratch import stored
 from tessera.sources.version_log import VersionLog
 
@@ -97,14 +98,17 @@ class FactStore(VersionLog):
         """Rewrite ``index_text`` of the next ``size`` facts after the cursor, by id; returns how many were stale.
 
         The cursor goes on with the version, so a run that failed goes on where the last version ended; it is null again at the end.
+        Where a batch ends is told by places of ids alone, so whole rows are never sorted and no task has a batch.
         """
         base = self.manifest() if base is None else base
         rows = self.read(base["version"])
         if base["cursor"] is not None:
             rows = rows.where(F.col("id") > base["cursor"])
-        batch = stored(rows.orderBy("id").limit(size).withColumn("target", text()), "facts-backfill")
-        last, n = batch.agg(F.max("id"), F.count("*")).first()
+        end = placed(rows.select("id", F.lit(0).alias("all")), ["all"], ["id"]).where(F.col("place") == size).select("id").first()
+        last = None if end is None else end[0]
+        batch = rows if last is None else rows.where(F.col("id") <= last)
+        batch = stored(batch.withColumn("target", text()), "facts-backfill")
         stale = batch.where(~F.col("index_text").eqNullSafe(F.col("target")))
         count = stale.count()
-        self._write(stale.withColumn("index_text", F.col("target")).drop("target"), base, cursor=last if n == size else None)
+        self._write(stale.withColumn("index_text", F.col("target")).drop("target"), base, cursor=last)
         return count

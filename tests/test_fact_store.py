@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.sources import fact_store
 from tessera.sources.fact_store import FactStore, natural_text, value_text
 from tessera.sources.version_log import Conflict
 
@@ -67,3 +68,28 @@ def test_backfill_goes_on_from_its_cursor(spark, store):
     store = FactStore(spark, store.path)
     assert store.backfill(4, value_text) == 2 and store.manifest()["cursor"] is None
     assert [state(store)[i][2] for i in (0, 4, 9)] == ["v0", "s1", "v9"]
+
+
+def test_no_task_has_a_whole_batch(spark, tmp_path, monkeypatch):
+    """Of 600 facts, batches of 300 are dealt to several tasks, whatever their order."""
+    store = FactStore(spark, f"{tmp_path}/store")
+    store.insert(spark.range(600).selectExpr("(id * 7) % 600 as id", "'s' as subject", "'p' as predicate", "concat('v', id) as value", "0L as valid_from").repartition(4))
+    parts = []
+
+    def seen(df, name, keep=fact_store.stored):
+        found = keep(df, name)
+        if name == "facts-backfill":
+            parts.append(df.select("id").groupBy(F.spark_partition_id()).count().collect())
+        return found
+
+    monkeypatch.setattr(fact_store, "stored", seen)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for cursor in (299, 599, None):
+            store.backfill(300, value_text)
+            assert store.manifest()["cursor"] == cursor
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [sum(r[1] for r in p) for p in parts] == [300, 300, 0]
+    assert all(len(p) > 1 for p in parts[:2])
+    assert all(r.index_text == r.value for r in store.read().collect())
