@@ -167,6 +167,19 @@ class LexicalIndex(VersionLog):
         rows = self._live(self._postings(manifest, asked), manifest).join(idf, "term").select("doc_id", "term", (F.col("idf") * share("tf", "doc_terms")).alias("weight"))
         return asked.join(rows.repartition("doc_id"), "term").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"), F.count("*").alias("hits"))
 
+    def hits(self, asked: DataFrame, pairs: DataFrame) -> DataFrame:
+        """``query_id, doc_id, hits``: how many of a query's different terms (``query_id, term``) a document has, for ``pairs``.
+
+        Pairs that have none in common are left out. Documents' own terms are read, and no postings.
+        """
+        docs = self.docs()
+        if docs is None:
+            return self.scores(asked).select("query_id", "doc_id", "hits")
+        own = docs.select("doc_id", "terms").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+        wanted = asked.groupBy("query_id").agg(F.collect_set("term").alias("wanted"))
+        found = pairs.select("query_id", "doc_id").distinct().join(wanted, "query_id").join(own, "doc_id")
+        return found.select("query_id", "doc_id", F.size(F.array_intersect("wanted", "terms")).cast("long").alias("hits")).where("hits > 0")
+
     def search(self, asked: DataFrame, k: int, places: int = 6) -> DataFrame:
         """``query_id, doc_id, score, rank``: the k best of each query, as ``scores`` has them, rounded, ties to lesser ids.
 

@@ -96,3 +96,25 @@ def test_only_asked_buckets_are_read(spark, tmp_path):
     found = index._blocks_of(index.manifest(), one)
     files = {r[0] for r in found.select(F.input_file_name()).distinct().collect()}
     assert len(files) == 1
+
+
+def test_hits_are_those_of_all_scores(spark, tmp_path, asked):
+    _, table = asked
+    index = LexicalIndex(spark, f"{tmp_path}/index")
+    pairs = table.select("query_id").distinct().crossJoin(spark.range(70).select(F.col("id").alias("doc_id")))
+    assert index.hits(table, pairs).count() == 0
+    index.write(frame(spark, texts(60, 1)))
+    index.write(frame(spark, {1: "ban ban", 62: "kel ban"}), gone=spark.createDataFrame([(2,)], "doc_id long"))
+    every = index.scores(table).select("query_id", "doc_id", "hits")
+    assert sorted(map(tuple, index.hits(table, pairs.unionByName(pairs)).collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_reranking_never_scores_every_document(spark, tmp_path, monkeypatch):
+    from tessera.plans import catalogue
+
+    docs = [(i, f"alpha word{i % 7}", "en", "src0", 10 + i) for i in range(80)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "alpha word3")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(LexicalIndex, "scores", lambda *_: pytest.fail("every document was scored"))
+    assert catalogue.QUERIES["k10_rerank_blend"](spark, str(tmp_path)).count() == 10
