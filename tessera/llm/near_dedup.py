@@ -202,16 +202,23 @@ def _parts(weight: Column, limit: int) -> Column:
     return F.pow(F.lit(2.0), F.ceil(F.log2(F.ceil(weight / limit).cast("double")))).cast("long")
 
 
+def _members() -> list[Column]:
+    """What tells the set of a group's rows from other sets: two hashes of 64 bits over rows in any order."""
+    return [F.bit_xor(F.xxhash64(F.lit(k), "fp")).alias(f"set{k}") for k in (1, 2)]
+
+
 def spanning(rows: DataFrame, payload: DataFrame, limit: int, work: Work) -> DataFrame:
     """``fp, tree`` of every fp of ``rows`` (``group, fp, weight``): its component by links within groups.
 
+    Of groups that have the same rows, as the bands of near copies do, one stands for all: it finds the same links.
     Groups are cut at random into parts of about ``limit`` weight, each compared in full. Where a group had several
     parts, one row of each tree found meets those of the other trees, which joins families of copies whatever their size.
     Only where a group still has several trees are rows of different trees compared: all others with the heaviest, in
     pairs of parts, and among each other. So no group is a task and no link is missed. The work grows with the rows of a
     family of copies; rows of one group that nothing links are compared part by part, which grows with their square.
     """
-    sizes = stored(rows.groupBy("group").agg(_parts(F.sum("weight"), limit).alias("parts"), F.count("*").alias("n")).where("n > 1").select("group", "parts"), "near-parts")
+    sizes = rows.groupBy("group").agg(_parts(F.sum("weight"), limit).alias("parts"), F.count("*").alias("n"), *_members()).where("n > 1")
+    sizes = stored(sizes.groupBy("n", "parts", "set1", "set2").agg(F.min("group").alias("group")).select("group", "parts"), "near-parts")
     own = stored(rows.join(sizes, "group"), "near-groups")
     dealt = own.select(F.xxhash64("group", F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("part"), "fp", F.col("fp").alias("tree"))
     edges = stored(_compared(dealt, payload, work), "near-edges")

@@ -92,3 +92,20 @@ def test_estimates_are_near(spark):
             true = (len(u) - 2 * cut) / len(u)
             found.append(near_dedup.estimate(near_dedup.registers(a), near_dedup.registers(b))[0] - true)
         assert abs(np.mean(found)) < 0.03
+
+
+def test_groups_of_the_same_rows_are_compared_once(spark, monkeypatch):
+    """Two near copies share most of their bands; they and their registers are dealt to one group."""
+    words = [f"w{i}" for i in range(400)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(f"x{i}" for i in range(400)))]
+    seen = {}
+
+    def counted(df, name, keep=near_dedup.stored):
+        found = keep(df, name)
+        seen.setdefault(name, found.count() if name == "near-groups" else 0)
+        return found
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    rows = near_dedup.link(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {1: 1, 2: 1, 3: 3}
+    assert seen["near-groups"] == 2
