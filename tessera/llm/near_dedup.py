@@ -22,6 +22,8 @@ EMPTY = 0xFFFF
 _U = np.uint64
 #: What one task compares at a time: rows of a bucket, and shingles of a cluster, where a row counts as ROW more.
 BUCKET_ROWS, CLUSTER_SHINGLES, ROW = 2048, 100_000, 100
+#: Rows to compare that are sent to where registers and sets are, rather than shuffled with all of those: at most this many.
+MOST_BROADCAST = 200_000
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -184,8 +186,13 @@ Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def _compared(dealt: DataFrame, payload: DataFrame, work: Work) -> DataFrame:
-    """Edges that ``work`` finds between trees of one part; ``dealt`` has ``part, fp, tree``, ``payload`` a row for each fp."""
-    rows = dealt.join(payload, "fp").select("part", "fp", "tree", *(c for c in payload.columns if c != "fp"))
+    """Edges that ``work`` finds between trees of one part; ``dealt`` has ``parts, fp, tree``, ``payload`` a row for each fp.
+
+    Few rows are broadcast, so that only their own registers or sets are shuffled and not all that are stored.
+    """
+    if dealt.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        dealt = F.broadcast(dealt)
+    rows = dealt.join(payload, "fp").select(F.explode("parts").alias("part"), "fp", "tree", *(c for c in payload.columns if c != "fp"))
     return rows.repartition("part").sortWithinPartitions("part", "fp").mapInArrow(work, "a binary, b binary")
 
 
@@ -221,6 +228,7 @@ def spanning(rows: DataFrame, payload: DataFrame, limit: int, work: Work) -> Dat
     sizes = stored(sizes.groupBy("n", "parts", "set1", "set2").agg(F.min("group").alias("group")).select("group", "parts"), "near-parts")
     own = stored(rows.join(sizes, "group"), "near-groups")
     dealt = own.select(F.xxhash64("group", F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("part"), "fp", F.col("fp").alias("tree"))
+    dealt = dealt.select(F.array("part").alias("parts"), "fp", "tree")
     edges = stored(_compared(dealt, payload, work), "near-edges")
     labels = components(edges).select(F.col("node").alias("fp"), F.col("root").alias("tree"))
     large = own.where("parts > 1").select("group", "fp", "weight")
@@ -233,6 +241,7 @@ def spanning(rows: DataFrame, payload: DataFrame, limit: int, work: Work) -> Dat
     if sizes.isEmpty():
         return labels
     dealt = trees.join(sizes, "group").select(F.xxhash64("group", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")), F.lit(1)).alias("part"), "fp", "tree")
+    dealt = stored(dealt.select(F.array("part").alias("parts"), "fp", "tree"), "near-dealt")
     labels = _relabel(labels, stored(_compared(dealt, payload, work), "near-edges"))
 
     rows = stored(large.join(labels, "fp"), "near-split")
@@ -249,8 +258,8 @@ def spanning(rows: DataFrame, payload: DataFrame, limit: int, work: Work) -> Dat
     with_top = F.transform(upto("tops"), lambda i: i * F.col("others") + F.col("place"))
     each_other = F.transform(upto("others"), lambda j: among + F.least("place", j) * F.col("others") + F.greatest("place", j))
     parts = F.when(F.col("tree") == F.col("top"), with_others).otherwise(F.concat(with_top, each_other))
-    dealt = rows.join(trees, "group").withColumn("place", place).select("group", "fp", "tree", F.explode(parts).alias("pair"))
-    dealt = dealt.select(F.xxhash64("group", "pair", F.lit(2)).alias("part"), "fp", "tree")
+    parts = F.transform(parts, lambda pair: F.xxhash64("group", pair, F.lit(2)))
+    dealt = stored(rows.join(trees, "group").withColumn("place", place).select(parts.alias("parts"), "fp", "tree"), "near-dealt")
     return _relabel(labels, stored(_compared(dealt, payload, work), "near-edges"))
 
 
@@ -280,7 +289,10 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     grouped = stored(clusters.join(classes.select("fp", "n", "row"), "fp").select(F.col("tree").alias("group"), "fp", (F.col("n") + ROW).alias("weight"), "row"), "near-clusters")
     rows = grouped.select(F.col("row.doc_id").alias("r_doc"), F.col("row.text_id").alias("r_text")).distinct()
     texts = docs.join(rows, docs[id_col].eqNullSafe(rows["r_doc"]) & (row_id(docs[text_col]) == rows["r_text"]), "left_semi")
-    sets = stored(full_sets(texts, width, id_col, text_col).dropDuplicates(["fp"]), "near-sets")
+    sets = full_sets(texts, width, id_col, text_col)
+    # Only where a row of a cluster is repeated with its id has its set to be found once more by a shuffle of sets.
+    found = signed.join(rows, signed["doc_id"].eqNullSafe(rows["r_doc"]) & (signed["text_id"] == rows["r_text"]), "left_semi")
+    sets = stored(sets.dropDuplicates(["fp"]) if found.count() > grouped.count() else sets, "near-sets")
     roots = spanning(grouped.select("group", "fp", "weight"), sets, CLUSTER_SHINGLES, cluster_links(percent)).withColumnRenamed("tree", "top")
 
     tops = classes.select("fp", "least").join(roots, "fp", "left").withColumn("top", F.coalesce("top", "fp"))

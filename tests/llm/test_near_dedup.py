@@ -109,3 +109,34 @@ def test_groups_of_the_same_rows_are_compared_once(spark, monkeypatch):
     rows = near_dedup.link(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()
     assert {r.doc_id: r.component_id for r in rows} == {1: 1, 2: 1, 3: 3}
     assert seen["near-groups"] == 2
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_sets_are_shuffled_only_to_be_compared(spark, monkeypatch, repeated):
+    """Stored sets come straight from the texts, unless a row is repeated with its id; then each set is there once."""
+    words = [f"w{i}" for i in range(400)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(f"x{i}" for i in range(400)))]
+    docs += [docs[0]] * 3 if repeated else []
+    plans, sets = [], []
+
+    def seen(df, name, keep=near_dedup.stored):
+        found = keep(df, name)
+        if name == "near-sets":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            sets.append(found.count())
+        return found
+
+    monkeypatch.setattr(near_dedup, "stored", seen)
+    rows = near_dedup.link(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == sorted((d[0], 3 if d[0] == 3 else 1) for d in docs)
+    assert sets == [2] and plans[0].lstrip().startswith("Aggregate") == repeated
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_few_rows_are_sent_to_the_sets(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dedup, "MOST_BROADCAST", most)
+    dealt = spark.createDataFrame([([1, 2], bytearray(b"a"), bytearray(b"a")), ([2], bytearray(b"b"), bytearray(b"b"))], "parts array<long>, fp binary, tree binary")
+    payload = spark.createDataFrame([(bytearray(b"a"), 1), (bytearray(b"b"), 2), (bytearray(b"c"), 3)], "fp binary, n int")
+    found = near_dedup._compared(dealt, payload, lambda batches: (b.rename_columns(["part", "a", "b", "n"]).select(["a", "b"]) for b in batches))
+    assert found.count() == 3
+    assert ("strategy=broadcast" in found._jdf.queryExecution().analyzed().toString()) == (most > 0)
