@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm._shared import row_id, stored, table
 from tessera.llm.components import components
 from tessera.llm.shingles import shingle_sets
+from tessera.sources.scratch import release
 
 #: 2 ** 7 registers in 32 bands of 4. A pair of similarity 0.8 shares no band with probability below 1e-7.
 BITS, BAND = 7, 4
@@ -41,9 +42,14 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimate(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def codes(regs: np.ndarray) -> np.ndarray:
+    """A byte for each register, 0 for an EMPTY one: equal registers stay equal, and one in 255 of the others becomes so."""
+    return np.where(regs == EMPTY, 0, regs % 255 + 1).astype(np.uint8)
+
+
+def estimate(left: np.ndarray, right: np.ndarray, empty: int = EMPTY) -> tuple[np.ndarray, np.ndarray]:
     """Jaccard estimate of register rows, less the collisions expected by chance, and the registers it rests on."""
-    used = (left != EMPTY) | (right != EMPTY)
+    used = (left != empty) | (right != empty)
     same = (left == right) & used
     n = used.sum(axis=-1)
     by_chance = 0.169919487159739 * 2.0 ** (BITS - MANTISSA + 1)
@@ -51,9 +57,9 @@ def estimate(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def plausible(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Whether a similarity of ``percent`` is within six standard errors of the estimate."""
+    """Whether a similarity of ``percent`` is within six standard errors of the estimate by ``codes``."""
     s = percent / 100
-    found, n = estimate(left, right)
+    found, n = estimate(left, right, 0)
     return found >= s - 6 * np.sqrt(s * (1 - s) / np.maximum(n, 1)) - 1 / np.maximum(n, 1)
 
 
@@ -80,9 +86,9 @@ def by_group(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table, np.nda
     """Call ``work`` on whole groups of a stream that is sorted by its first column, many small groups at a time."""
 
     def done(part: pa.Table) -> pa.RecordBatch:
-        key = part.column(0).to_numpy()
+        key, kind = part.column(0).to_numpy(), part.column(1).type
         edges = work(part, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])))
-        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], kind), pa.array([e[1] for e in edges], kind)], names=["a", "b"])
 
     held: list[pa.Table] = []
     for batch in batches:
@@ -104,11 +110,11 @@ def _codes(names: pa.ChunkedArray) -> np.ndarray:
 
 
 def bucket_links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows ``part, fp, tree, bands``: edges between trees of each part whose registers allow a link."""
+    """Rows ``part, fp, tree, codes``: edges between trees of each part whose registers allow a link."""
 
     def work(part: pa.Table, at: np.ndarray) -> list[tuple[bytes, bytes]]:
         fps, tree = part["fp"].to_pylist(), _codes(part["tree"])
-        regs = part["bands"].combine_chunks().flatten().to_numpy().view(np.uint16).reshape(-1, REGISTERS)
+        regs = np.frombuffer(b"".join(part["codes"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
         edges = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             own = regs[a:b]
@@ -119,12 +125,18 @@ def bucket_links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return lambda batches: by_group(batches, work)
 
 
-def cluster_links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows ``part, fp, tree, shingles``: edges between trees of each part that are linked by their full sets."""
+def cluster_links(percent: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows ``part, fp, tree, digest, text``: edges between trees of each part that are linked by their texts' full sets.
+
+    A text whose set has not the digest shares no more than its row's ids with the one that is meant, and is left out.
+    """
 
     def work(part: pa.Table, at: np.ndarray) -> list[tuple[bytes, bytes]]:
+        sets = list(shingle_sets(part["text"], width))
+        meant = np.array([_fingerprint(s) == d for s, d in zip(sets, part["digest"].to_pylist(), strict=True)], bool)
+        part, at = part.filter(pa.array(meant)), np.concatenate([[0], np.cumsum(meant)])[at]
+        sets = [np.ascontiguousarray(s.T) for s, m in zip(sets, meant, strict=True) if m]
         fps, tree = part["fp"].to_pylist(), _codes(part["tree"])
-        sets = [np.frombuffer(s, np.uint64).reshape(2, -1) for s in part["shingles"].to_pylist()]
         edges = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             own = sets[a:b]
@@ -172,14 +184,16 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     return rows.mapInArrow(compute, f"doc_id {kind}, text_id long, n_shingles long, fp binary, bands array<long>")
 
 
-def full_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def coded(classes: DataFrame) -> DataFrame:
+    """``fp, codes`` of rows ``fp, bands``: what is sent to be compared, half of the registers' bytes."""
+
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                sets = list(shingle_sets(batch.slice(first, 500).column(0), width))
-                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([s.T.tobytes() for s in sets], pa.binary())], names=["fp", "shingles"])
+            flat = codes(batch.column(1).flatten().to_numpy().view(np.uint16)).tobytes()
+            rows = [flat[k : k + REGISTERS] for k in range(0, len(flat), REGISTERS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["fp", "codes"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(compute, "fp binary, shingles binary")
+    return classes.select("fp", "bands").mapInArrow(compute, f"fp {classes.schema['fp'].dataType.simpleString()}, codes binary")
 
 
 Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -188,12 +202,13 @@ Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 def _compared(dealt: DataFrame, payload: DataFrame, work: Work) -> DataFrame:
     """Edges that ``work`` finds between trees of one part; ``dealt`` has ``parts, fp, tree``, ``payload`` a row for each fp.
 
-    Few rows are broadcast, so that only their own registers or sets are shuffled and not all that are stored.
+    Few rows are broadcast, so that only their own registers or texts are shuffled and not all that are stored.
     """
     if dealt.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         dealt = F.broadcast(dealt)
     rows = dealt.join(payload, "fp").select(F.explode("parts").alias("part"), "fp", "tree", *(c for c in payload.columns if c != "fp"))
-    return rows.repartition("part").sortWithinPartitions("part", "fp").mapInArrow(work, "a binary, b binary")
+    kind = dealt.schema["fp"].dataType.simpleString()
+    return rows.repartition("part").sortWithinPartitions("part", "fp").mapInArrow(work, f"a {kind}, b {kind}")
 
 
 def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -224,7 +239,10 @@ def spanning(rows: DataFrame, payload: DataFrame, limit: int, work: Work) -> Dat
     pairs of parts, and among each other. So no group is a task and no link is missed. The work grows with the rows of a
     family of copies; rows of one group that nothing links are compared part by part, which grows with their square.
     """
-    sizes = rows.groupBy("group").agg(_parts(F.sum("weight"), limit).alias("parts"), F.count("*").alias("n"), *_members()).where("n > 1")
+    # Most groups are one row, so rows are counted before anything else is known of a group.
+    many = stored(rows.groupBy("group").count().where("count > 1").select("group"), "near-many")
+    rows = stored(rows.join(many, "group"), "near-several")
+    sizes = rows.groupBy("group").agg(_parts(F.sum("weight"), limit).alias("parts"), F.count("*").alias("n"), *_members())
     sizes = stored(sizes.groupBy("n", "parts", "set1", "set2").agg(F.min("group").alias("group")).select("group", "parts"), "near-parts")
     own = stored(rows.join(sizes, "group"), "near-groups")
     dealt = own.select(F.xxhash64("group", F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("part"), "fp", F.col("fp").alias("tree"))
@@ -278,26 +296,30 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     The only chance of a missed link is in the bands and the six-sigma bound. Null ids never are the smallest; a component without ids has a null ``component_id`` and its rows are
     kept. No rows, no result; other columns are not read.
     """
-    signed = stored(signatures(docs, width, id_col, text_col), "near-signatures")
-    classes = signed.where("n_shingles > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "text_id")).alias("row"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = stored(classes, "near-classes")
+    whole = stored(signatures(docs, width, id_col, text_col), "near-signatures")
+    classes = whole.where("n_shingles > 0").groupBy(F.col("fp").alias("digest")).agg(F.min(F.struct("doc_id", "text_id")).alias("row"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    # From here on a number stands for the digest of a class, and the registers are kept once.
+    classes = stored(classes.withColumn("fp", F.monotonically_increasing_id()), "near-classes")
+    signed = stored(whole.select("doc_id", "text_id", "n_shingles", F.col("fp").alias("digest")), "near-digests")
+    release(whole)
 
     banded = classes.select("fp", F.posexplode("bands").alias("band", "value")).where("value <> -1")
     banded = banded.select(F.xxhash64("band", "value").alias("group"), "fp", F.lit(1).cast("long").alias("weight"))
-    clusters = spanning(banded, classes.select("fp", "bands"), BUCKET_ROWS, bucket_links(percent))
-
-    grouped = stored(clusters.join(classes.select("fp", "n", "row"), "fp").select(F.col("tree").alias("group"), "fp", (F.col("n") + ROW).alias("weight"), "row"), "near-clusters")
-    rows = grouped.select(F.col("row.doc_id").alias("r_doc"), F.col("row.text_id").alias("r_text")).distinct()
-    texts = docs.join(rows, docs[id_col].eqNullSafe(rows["r_doc"]) & (row_id(docs[text_col]) == rows["r_text"]), "left_semi")
-    sets = full_sets(texts, width, id_col, text_col)
-    # Only where a row of a cluster is repeated with its id has its set to be found once more by a shuffle of sets.
+    clusters = spanning(banded, coded(classes), BUCKET_ROWS, bucket_links(percent))
+
+    grouped = stored(clusters.join(classes.select("fp", "digest", "n", "row"), "fp").select(F.col("tree").alias("group"), "fp", "digest", (F.col("n") + ROW).alias("weight"), "row"), "near-clusters")
+    rows = grouped.select("fp", "digest", F.col("row.doc_id").alias("r_doc"), F.col("row.text_id").alias("r_text"))
+    # The texts of the sets: a set has 16 bytes for each word, which no codec makes less.
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sets = texts.join(rows, texts["doc_id"].eqNullSafe(rows["r_doc"]) & (row_id(F.col("text")) == rows["r_text"])).select("fp", "digest", "text")
+    # Only where a row of a cluster is repeated with its id has its text to be found once more by a shuffle of texts.
     found = signed.join(rows, signed["doc_id"].eqNullSafe(rows["r_doc"]) & (signed["text_id"] == rows["r_text"]), "left_semi")
-    sets = stored(sets.dropDuplicates(["fp"]) if found.count() > grouped.count() else sets, "near-sets")
-    roots = spanning(grouped.select("group", "fp", "weight"), sets, CLUSTER_SHINGLES, cluster_links(percent)).withColumnRenamed("tree", "top")
+    sets = stored(sets.distinct() if found.count() > grouped.count() else sets, "near-sets")
+    roots = spanning(grouped.select("group", "fp", "weight"), sets, CLUSTER_SHINGLES, cluster_links(percent, width)).withColumnRenamed("tree", "top")
 
-    tops = classes.select("fp", "least").join(roots, "fp", "left").withColumn("top", F.coalesce("top", "fp"))
-    ids = stored(tops.groupBy("top").agg(F.min("least").alias("component_id")).join(tops.select("fp", "top"), "top").select("fp", "component_id"), "near-components")
-    found = signed.select("doc_id", "text_id", "n_shingles", "fp").join(ids, "fp", "left")
+    tops = classes.select("fp", "digest", "least").join(roots, "fp", "left").withColumn("top", F.coalesce("top", "fp"))
+    ids = stored(tops.groupBy("top").agg(F.min("least").alias("component_id")).join(tops.select("digest", "top"), "top").select("digest", "component_id"), "near-components")
+    found = signed.join(ids, "digest", "left")
     found = found.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return found.select("doc_id", "text_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import near_dedup
@@ -140,3 +141,42 @@ def test_few_rows_are_sent_to_the_sets(spark, monkeypatch, most):
     found = near_dedup._compared(dealt, payload, lambda batches: (b.rename_columns(["part", "a", "b", "n"]).select(["a", "b"]) for b in batches))
     assert found.count() == 3
     assert ("strategy=broadcast" in found._jdf.queryExecution().analyzed().toString()) == (most > 0)
+
+
+def test_what_is_sent_to_be_compared_is_small(spark, monkeypatch):
+    """A byte for each register, and texts in place of their sets of 16 bytes a shingle; signatures go once classes are kept."""
+    words = [f"w{i}" for i in range(400)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(f"x{i}" for i in range(400)))]
+    most, gone = [], []
+
+    def seen(dealt, payload, work, keep=near_dedup._compared):
+        most.append(max(sum(len(v) for v in r if isinstance(v, (bytearray, str))) for r in payload.collect()))
+        return keep(dealt, payload, work)
+
+    monkeypatch.setattr(near_dedup, "_compared", seen)
+    monkeypatch.setattr(near_dedup, "release", lambda *tables, keep=near_dedup.release: (gone.extend(tables), keep(*tables)))
+    rows = near_dedup.link(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {1: 1, 2: 1, 3: 3}
+    assert most == [near_dedup.REGISTERS, 16 + max(len(d[1]) for d in docs[:2])] and len(gone) == 1
+
+
+def test_codes_lose_no_link():
+    """Equal registers have equal codes and only empty ones have none, so no estimate falls."""
+    rng = np.random.default_rng(1)
+    u = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64) * np.uint64(2))
+    for cut in (0, 1, 20, 299):
+        a, b = near_dedup.registers(u), near_dedup.registers(u[cut:])
+        x, y = near_dedup.codes(a), near_dedup.codes(b)
+        assert ((x == 0) == (a == near_dedup.EMPTY)).all() and (x == y)[a == b].all()
+        (one, n), (two, m) = near_dedup.estimate(a, b), near_dedup.estimate(x, y, 0)
+        assert n == m and two >= one
+
+
+def test_another_text_of_the_same_ids_is_left_out():
+    """Of rows that cannot be told apart by their ids, the set with the digest is compared."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), "another text", " ".join([*words, "more"])]
+    digest = [near_dedup._fingerprint(next(near_dedup.shingle_sets(pa.array([t]), 3))) for t in (texts[0], texts[0], texts[2])]
+    batch = pa.record_batch({"part": [1, 1, 1], "fp": [7, 7, 8], "tree": [7, 7, 8], "digest": digest, "text": texts})
+    found = [r for b in near_dedup.cluster_links(85, 3)(iter([batch])) for r in b.to_pylist()]
+    assert found == [{"a": 7, "b": 8}]
