@@ -199,14 +199,17 @@ def coded(classes: DataFrame) -> DataFrame:
 Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def _sent(few: DataFrame) -> DataFrame:
+    """``few`` with a hint to broadcast it, where it is MOST_BROADCAST rows at most."""
+    return F.broadcast(few) if few.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else few
+
+
 def _compared(dealt: DataFrame, payload: DataFrame, work: Work) -> DataFrame:
     """Edges that ``work`` finds between trees of one part; ``dealt`` has ``parts, fp, tree``, ``payload`` a row for each fp.
 
     Few rows are broadcast, so that only their own registers or texts are shuffled and not all that are stored.
     """
-    if dealt.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        dealt = F.broadcast(dealt)
-    rows = dealt.join(payload, "fp").select(F.explode("parts").alias("part"), "fp", "tree", *(c for c in payload.columns if c != "fp"))
+    rows = _sent(dealt).join(payload, "fp").select(F.explode("parts").alias("part"), "fp", "tree", *(c for c in payload.columns if c != "fp"))
     kind = dealt.schema["fp"].dataType.simpleString()
     return rows.repartition("part").sortWithinPartitions("part", "fp").mapInArrow(work, f"a {kind}, b {kind}")
 
@@ -308,7 +311,8 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     clusters = spanning(banded, coded(classes), BUCKET_ROWS, bucket_links(percent))
 
     grouped = stored(clusters.join(classes.select("fp", "digest", "n", "row"), "fp").select(F.col("tree").alias("group"), "fp", "digest", (F.col("n") + ROW).alias("weight"), "row"), "near-clusters")
-    rows = grouped.select("fp", "digest", F.col("row.doc_id").alias("r_doc"), F.col("row.text_id").alias("r_text"))
+    # Few rows are sent to the documents, so that no text is shuffled that is in no cluster.
+    rows = _sent(grouped.select("fp", "digest", F.col("row.doc_id").alias("r_doc"), F.col("row.text_id").alias("r_text")))
     # The texts of the sets: a set has 16 bytes for each word, which no codec makes less.
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = texts.join(rows, texts["doc_id"].eqNullSafe(rows["r_doc"]) & (row_id(F.col("text")) == rows["r_text"])).select("fp", "digest", "text")

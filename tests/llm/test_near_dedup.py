@@ -150,7 +150,7 @@ def test_what_is_sent_to_be_compared_is_small(spark, monkeypatch):
     most, gone = [], []
 
     def seen(dealt, payload, work, keep=near_dedup._compared):
-        most.append(max(sum(len(v) for v in r if isinstance(v, (bytearray, str))) for r in payload.collect()))
+        most.append(max(sum(len(v) for v in r if isinstance(v, (bytes, bytearray, str))) for r in payload.collect()))
         return keep(dealt, payload, work)
 
     monkeypatch.setattr(near_dedup, "_compared", seen)
@@ -160,6 +160,16 @@ def test_what_is_sent_to_be_compared_is_small(spark, monkeypatch):
     assert most == [near_dedup.REGISTERS, 16 + max(len(d[1]) for d in docs[:2])] and len(gone) == 1
 
 
+def test_texts_in_no_cluster_are_not_shuffled(spark, monkeypatch):
+    """Rows of clusters are sent to the documents whatever Spark's own bound on broadcasts is."""
+    words = [f"w{i}" for i in range(400)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(f"x{i}" for i in range(400)))]
+    plans, keep = [], near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().analyzed().toString()) if name == "near-sets" else None, keep(df, name))[1])
+    assert near_dedup.link(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).count() == 3
+    assert len(plans) == 1 and "strategy=broadcast" in plans[0]
+
+
 def test_codes_lose_no_link():
     """Equal registers have equal codes and only empty ones have none, so no estimate falls."""
     rng = np.random.default_rng(1)
