@@ -3,6 +3,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tessera.llm import components as components_module
 from tessera.llm.components import components
 
 
@@ -44,3 +45,20 @@ def test_edges_that_differ_when_they_are_made_again(spark):
     for _ in range(3):
         edges = spark.range(0, 50, 1, 1).select(F.col("id")).mapInArrow(star, "a long, b long")
         assert {r.root for r in components(edges).collect()} == {0}
+
+
+def test_rounds_go_on_with_fewer_edges(spark, monkeypatch):
+    """Rows of many stars: what later rounds join is a small part of the edges, whatever the rounds."""
+    edges = [(c, i) for i in range(100, 1000) for c in {i * k % 97 for k in (1, 2, 3, 5)}] + [(i, i + 1) for i in range(2000, 2200)]
+    sizes, keep = [], components_module.stored
+
+    def seen(df, name):
+        found = keep(df, name)
+        if name == "cc-edges":
+            sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(components_module, "stored", seen)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    assert {r.node: r.root for r in components(df).collect()} == roots(edges)
+    assert sizes[-1] == 0 and sum(sizes[1:]) < sizes[0] / 4
