@@ -39,6 +39,25 @@ def test_tags_count_every_document(spark, tmp_path):
     assert got == [(1, "es", 4), (1, "src1", 2), (22, "es", 4), (22, "src2", 2)]
 
 
+def vectors(spark, d, rows):
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{d}/embeddings.parquet")
+
+
+def test_every_vector_is_judged(spark, tmp_path):
+    vectors(spark, tmp_path, [(i, [1.0, float(i), 0.5], i % 2) for i in range(1, 8)])
+    ap = {r.query_id: r.ap for r in catalogue.QUERIES["y04_average_precision"](spark, str(tmp_path)).collect()}
+    assert sorted(ap) == list(range(1, 8))
+    # The six others of 7 are 6, 5, 4, 3, 2, 1: 5, 3 and 1 have its label.
+    assert ap[7] == pytest.approx((1 / 2 + 2 / 4 + 3 / 6) / 3, abs=1e-6)
+
+
+def test_scores_alike_in_six_places_go_by_id(spark, tmp_path):
+    # Nearer by less than six places show, the greater the id.
+    vectors(spark, tmp_path, [(0, [1.0, 0.0], 1)] + [(i, [1.0, 1e-4 + (100 - i) * 1e-6], 1) for i in range(1, 100)])
+    got = catalogue.QUERIES["j05_cosine_topk"](spark, str(tmp_path)).where("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 11)) and {r.score for r in got} == {1.0}
+
+
 def classes(ids, links):
     up = {i: i for i in ids}
 
