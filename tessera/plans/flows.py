@@ -10,7 +10,7 @@ from tessera.operators import fusion, lifecycle, retrieval
 from tessera.plans.facts import H, history
 from tessera.plans.lifecycle import SCORE
 from tessera.plans.registry import ORACLE_SQL, query
-from tessera.plans.retrieval import DENSE, FUSED, GOLD, INDEX, RERANK, SCORED, TERMS, asked, channels, fused, index, judged, needed, scored
+from tessera.plans.retrieval import DENSE, FUSED, GOLD_ALL, INDEX, RERANK, SCORED, TERMS, asked, channels, fused, index, judged, needed, scored
 from tessera.plans.scoring import TOP10
 from tessera.sources.scratch import stored
 from tessera.sources.tables import table
@@ -176,10 +176,10 @@ def usefulness_upsert(spark, d):
 # Comparisons of rankings.
 
 
-@query("y16_label_scores", GOLD + ", s as (select query_id, want, count(*) filter (want = got) as hits, coalesce(max(case when want = got then 1.0 / rank end), 0) as rr from g group by all) select want as category, count(*) as queries, round(avg(case when hits > 0 then 1.0 else 0 end), 6) as hit_rate, round(avg(hits / 10.0), 6) as precision, round(avg(rr), 6) as mrr from s group by 1")
+@query("y16_label_scores", GOLD_ALL + ", s as (select query_id, want, count(*) filter (want = got) as hits, coalesce(max(case when want = got then 1.0 / rank end), 0) as rr from g group by all) select want as category, count(*) as queries, round(avg(case when hits > 0 then 1.0 else 0 end), 6) as hit_rate, round(avg(hits / 10.0), 6) as precision, round(avg(rr), 6) as mrr from s group by 1")
 def label_scores(spark, d):
-    """Hit rate, precision and reciprocal rank by the category of the question."""
-    each = judged(spark, d).groupBy("query_id", "want").agg(F.count_if("relevant").alias("hits"), F.coalesce(F.max(F.when(F.col("relevant"), 1.0 / F.col("rank"))), F.lit(0.0)).alias("rr"))
+    """Hit rate, precision and reciprocal rank by the category of the question; every vector is a question."""
+    each = judged(spark, d, 1).groupBy("query_id", "want").agg(F.count_if("relevant").alias("hits"), F.coalesce(F.max(F.when(F.col("relevant"), 1.0 / F.col("rank"))), F.lit(0.0)).alias("rr"))
     return each.groupBy(F.col("want").alias("category")).agg(F.count("*").alias("queries"), F.round(F.avg((F.col("hits") > 0).cast("double")), 6).alias("hit_rate"), F.round(F.avg(F.col("hits") / 10.0), 6).alias("precision"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 

@@ -49,6 +49,8 @@ def test_every_vector_is_judged(spark, tmp_path):
     assert sorted(ap) == list(range(1, 8))
     # The six others of 7 are 6, 5, 4, 3, 2, 1: 5, 3 and 1 have its label.
     assert ap[7] == pytest.approx((1 / 2 + 2 / 4 + 3 / 6) / 3, abs=1e-6)
+    scores = {r.category: (r.queries, r.hit_rate) for r in catalogue.QUERIES["y16_label_scores"](spark, str(tmp_path)).collect()}
+    assert scores == {0: (3, 1.0), 1: (4, 1.0)}
 
 
 def test_scores_alike_in_six_places_go_by_id(spark, tmp_path):
