@@ -76,12 +76,17 @@ def cross_subject(spark, d):
 
 @query("n14_safe_duplicates")
 def safe_duplicates(spark, d):
-    """Among a query's ten results, as facts of their source: pairs that are one fact beyond doubt."""
+    """Among a query's ten results, as facts of their source: pairs that are one fact beyond doubt.
+
+    Such texts have the same atoms, which are taken once a result; pairs are dealt to all tasks, as results are few rows.
+    """
     none = F.lit(None).cast("string")
     docs = table(spark, d, "documents").join(fused(spark, d).select("query_id", "rank", "doc_id"), "doc_id")
     facts = docs.select("query_id", "rank", "doc_id", F.col("lang").alias("namespace"), F.lit("user").alias("subject"), none.alias("predicate"), none.alias("slot"), none.alias("attribute"), F.create_map().cast("map<string,string>").alias("qualifiers"), none.alias("status"), (F.col("doc_id") % 7).alias("valid_from"), F.lit(None).cast("long").alias("valid_to"), F.array("lang").alias("entities"), F.col("text").alias("value"))
-    facts = stored(facts, "safe-facts")
-    pairs = facts.alias("a").join(facts.alias("b"), (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.rank") < F.col("b.rank")))
+    facts = stored(facts.where("value is not null").withColumn("atoms", F.md5(D.near_copy_key("value")["atoms"])), "safe-facts")
+    met = (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.atoms") == F.col("b.atoms")) & (F.col("a.rank") < F.col("b.rank"))
+    pairs = facts.alias("a").join(facts.alias("b"), met).select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
+    pairs = stored(pairs.repartition(4 * spark.sparkContext.defaultParallelism), "safe-pairs")
     return pairs.where(D.safe_near_duplicate(F.lit(1.0))).select("a.query_id", F.col("a.doc_id").alias("left_id"), F.col("b.doc_id").alias("right_id"))
 
 

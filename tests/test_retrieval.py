@@ -80,7 +80,7 @@ def test_the_best_by_bm25_are_those_of_all(spark, most):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("name", ["e02_relative_drop", "y07_weight_grid"])
+@pytest.mark.parametrize("name", ["e02_relative_drop", "y07_weight_grid", "n14_safe_duplicates"])
 def test_one_search_builds_no_index(spark, tmp_path, monkeypatch, name):
     docs = [(i, f"alpha word{i % 7}", "en", "src0", 10 + i) for i in range(80)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
