@@ -88,3 +88,20 @@ def test_one_search_builds_no_index(spark, tmp_path, monkeypatch, name):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     monkeypatch.setattr(LexicalIndex, "write", lambda *_: pytest.fail("an index was built"))
     assert catalogue.QUERIES[name](spark, str(tmp_path)).count() > 0
+
+
+def test_fused_ranks_store_no_pairs(spark, tmp_path, monkeypatch):
+    rng = random.Random(1)
+    texts = {i: " ".join(rng.choice("ab cd ef gh ij".split()) for _ in range(5)) for i in range(1, 70)} | {0: "ab cd ef gh ij", 33: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(60)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr("tessera.operators.retrieval.pruned_top", lambda *_: pytest.fail("pairs were stored"))
+    got = {(r.query_id, r.vec_id): r.fused for r in catalogue.QUERIES["y05_fused_ranks"](spark, str(tmp_path)).collect()}
+    dense = sorted(range(1, 60), key=lambda i: (-round(1 / (1 + i * i) ** 0.5, 6), i))
+    weight = lambda t: {w: 1 + np.log(t.split().count(w)) for w in set(t.split())}
+    sparse = {i: round(sum(weight(texts[i]).values()), 6) for i in range(1, 60) if texts[i]}
+    places = {i: 0.6 / (61 + r) for r, i in enumerate(dense[:50])}
+    for r, i in enumerate(sorted(sparse, key=lambda i: (-sparse[i], i))[:50]):
+        places[i] = places.get(i, 0) + 0.4 / (61 + r)
+    best = sorted(places, key=lambda i: (-round(places[i], 8), i))[:10]
+    assert {i: f for (q, i), f in got.items() if q == 0} == {i: pytest.approx(places[i], abs=1e-7) for i in best}
