@@ -142,3 +142,9 @@ def test_each_guard_alone_keeps_facts_apart(spark):
         assert got == {i: pairs[i][4] for i, *_ in rows}
     one = df.select(dedup.mutually_exclusive(F.lit("p"), F.lit("p"), F.lit(1), F.lit(2), ("p",)), dedup.mutually_exclusive(F.lit("p"), F.lit("p"), F.lit(1), F.lit(1), ("p",)), dedup.mutually_exclusive(F.lit("q"), F.lit("q"), F.lit(1), F.lit(2), ("p",)), dedup.mutually_exclusive(F.lit(None).cast("string"), F.lit("p"), F.lit(1), F.lit(2), ("p",))).first()
     assert tuple(one) == (True, False, False, False)
+
+
+def test_strings_count_as_often_as_both_lines_have_them(monkeypatch):
+    forms = ["abcde " * 80 + "vwxyz " * 5, "abcde " * 5 + "vwxyz " * 80]
+    monkeypatch.setattr(dedup, "common_letters", lambda *_: pytest.fail("compared letter by letter"))
+    assert dedup._group_links(["a", "b"], forms, np.zeros(2, int), 0.9) == []
